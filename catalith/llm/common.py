@@ -17,19 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate results: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder is taken.
+    Only where that is unset (tests, a laptop) a temporary folder is taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"{tempfile.gettempdir()}/catalith-checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/catalith-checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

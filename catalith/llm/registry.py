@@ -1,4 +1,8 @@
-"""Queries of this subpackage and their SQL for DuckDB."""
+"""Queries of this subpackage and their SQL for DuckDB.
+
+No SQL is given where it can't express the query (op3, op4, op6, op7) or is too
+slow on whole tables (op1, op9); tests hold those against brute force.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +12,85 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm.chat import op5_chat
 from catalith.llm.common import table
+from catalith.llm.decontaminate import overlaps
+from catalith.llm.licences import op3_licenses
 from catalith.llm.mixing import op2_mix
+from catalith.llm.near_dup import op1_minhash
 from catalith.llm.pages import op7_html
 from catalith.llm.pii import op4_pii
 from catalith.llm.quality import op8_quality
+from catalith.llm.repeats import op9_bytes, op10_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash": lambda s, d: op1_minhash(table(s, d, "documents")),
         "op2_mixing": lambda s, d: op2_mix(table(s, d, "documents")),
+        "op3_licenses": lambda s, d: op3_licenses(table(s, d, "documents")),
         "op4_pii": lambda s, d: op4_pii(table(s, d, "documents")),
         "op5_chat": lambda s, d: op5_chat(table(s, d, "conversations")),
+        "op6_decontaminate": lambda s, d: overlaps(table(s, d, "documents"), table(s, d, "benchmark")),
         "op7_html": lambda s, d: op7_html(table(s, d, "pages")),
         "op8_quality": lambda s, d: op8_quality(table(s, d, "documents")),
+        "op9_suffixes": lambda s, d: op9_bytes(table(s, d, "documents")),
+        "op10_substrings": lambda s, d: op10_words(table(s, d, "documents")),
+    }
+
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op2_mixing": rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE (r - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total,
+  coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(weight) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free,
+  row_number() OVER (ORDER BY cap / weight, source NULLS FIRST) AS rank FROM w),
+l AS (SELECT *, (total - before) / free AS level FROM o),
+f AS (SELECT *, cap > level * weight AS open FROM l),
+v AS (SELECT arg_min(level, rank) AS level FROM f WHERE open),
+t AS (SELECT source, source_size, CASE WHEN open THEN least(cap, (SELECT level FROM v) * weight) ELSE cap END AS target FROM f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
+q AS (SELECT *, greatest(0, round(target)::BIGINT - whole * source_size) AS rest FROM p),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM d)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - so_far)))::BIGINT AS taken
+FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source""",
+        "op5_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
+        "op8_quality": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+n AS (SELECT r, doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS up, (length(t) - length(regexp_replace(t, '\p{{Ll}}', '', 'g')))::BIGINT AS low,
+  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+k AS (SELECT r, count(DISTINCT j)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM h) GROUP BY r),
+a AS (SELECT n.*, coalesce(k.n, 0) AS n_repeat_words, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM n LEFT JOIN k USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * up > 4 * (up + low)) AS kept
+FROM b""",
+        "op10_substrings": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+h AS (SELECT r, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+k AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS j FROM h),
+p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+o AS (SELECT p.r, count(k.j)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p.j) FILTER (k.j IS NULL) AS kept FROM p LEFT JOIN k ON p.r = k.r AND p.j = k.j GROUP BY p.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (r)""",
     }
