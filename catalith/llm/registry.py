@@ -39,7 +39,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -75,7 +75,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_
 n AS (SELECT r, doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS up, (length(t) - length(regexp_replace(t, '\p{{Ll}}', '', 'g')))::BIGINT AS low,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
 k AS (SELECT r, count(DISTINCT j)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM h) GROUP BY r),
