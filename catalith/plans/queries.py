@@ -463,9 +463,9 @@ def lookup_default(t):
     return t.region.select(big("r_regionkey", "id"), vocab.lookup(F.col("r_name"), {"ASIA": "Asien", "EUROPE": "Europa"}).alias("name"))
 
 
-@query("ensure_templates", """SELECT DISTINCT p_type AS label FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size < 5)""")
+@query("ensure_templates", """SELECT DISTINCT p_type AS label FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey < 5)""")
 def ensure_templates(t):
-    have = t.part.where("p_size < 5").select(F.col("p_type").alias("label")).distinct()
+    have = t.part.where("p_partkey < 5").select(F.col("p_type").alias("label")).distinct()
     return vocab.ensure(have, t.part.select(F.col("p_type").alias("label")))
 
 
@@ -745,10 +745,10 @@ def add_set(t):
     return done.select("id", F.array_join(F.transform("item_sets", lambda x: x.cast("string")), ",").alias("sets"))
 
 
-@query("enrich_idempotent", """SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id < 500 AND f.user_id = e.user_id AND f.event_type = e.event_type)""")
+@query("enrich_idempotent", """SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_id < 20 AND f.user_id = e.user_id AND f.event_type = e.event_type)""")
 def enrich_idempotent(t):
     rows = t.events.select("user_id", "event_type")
-    return batches.upsert_new(rows, t.events.where("event_id < 500").select("user_id", "event_type"), ["user_id", "event_type"])
+    return batches.upsert_new(rows, t.events.where("event_id < 20").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
 @query("apply_inserts", f"""WITH {_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders WHERE o_orderkey <= 2000""")
@@ -769,9 +769,9 @@ def apply_updates(t):
     return changes.apply(rows, updates.unionByName(drops)).select("resource_id", "value", "lang")
 
 
-@query("delete_targets", """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("delete_targets", """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 25 = 0)""")
 def delete_targets(t):
-    return changes.delete(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("id")))
+    return changes.delete(t.customer.select(F.col("c_custkey").alias("id")), t.orders.where("o_orderkey % 25 = 0").select(F.col("o_custkey").alias("id")))
 
 
 @query("restore_ids", """SELECT n_nationkey::BIGINT AS resource_id, 'N' || n_nationkey AS value FROM nation WHERE n_nationkey % 2 = 1""")
