@@ -3,10 +3,11 @@
 A seed is a mask over twelve token positions of which eight count; tokens at the
 others may differ. Each mask gives every window of twelve tokens a hash.
 
-1. Hashes of the benchmark's windows go into a table and a bitmap. The bitmap has
-   a fixed largest size and is all that is broadcast without a count.
-2. One pass over the documents keeps windows whose hash the bitmap has. It only
-   saves work: what it lets through is joined with the table of hashes.
+1. Hashes of the benchmark's windows go into a table and a Bloom filter. The
+   filter has a fixed largest size and is all that is broadcast without a count.
+2. One pass over the documents keeps windows whose hash the filter has. It only
+   saves work: what it lets through is joined with the table of hashes. With 32
+   bits a hash and eight probes it lets one foreign window in 200 000 through.
 3. Each join hit names a diagonal (document position minus item position). On a
    diagonal the aligned tokens are compared, and the best stretch by +1 a match
    and -3 a mismatch is an overlap if it has ``least`` tokens, or the whole item
@@ -33,8 +34,8 @@ from catalith.llm.grams import LOWER, PUNCT, chunks, mix, stream, tokens, utf8
 
 MASKS = ("111010110101", "110110010111", "101101110011")
 SHORTEST, LEAST = 5, 13
-#: Largest bitmap, in bits, and rows of benchmark hashes up to which they are broadcast.
-BITMAP, BROADCAST_HASHES = 1 << 26, 1_000_000
+#: Largest Bloom filter, in bits, its probes, and rows of benchmark hashes up to which they are broadcast.
+BLOOM, PROBES, BROADCAST_HASHES = 1 << 27, 8, 1_000_000
 
 _U = np.uint64
 _PLACE = stream(64, 21)
@@ -102,10 +103,11 @@ def _scan(short: list[int], bits: int, bitmap):
                 ids, _, _, first = tokens(data, at[i : j + 1], LOWER, PUNCT)
                 found = []
                 for h, pos in _seeds(ids, first, short):
-                    bit = h & _U(bits - 1)
-                    hit = (has[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1
-                    keep = np.flatnonzero(hit)
-                    found.append((pos[keep], h[keep]))
+                    for k in range(PROBES):
+                        bit = (h + _U(k) * ((h >> _U(36)) | _U(1))) & _U(bits - 1)
+                        keep = np.flatnonzero((has[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1)
+                        pos, h = pos[keep], h[keep]
+                    found.append((pos, h))
                 pos = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
                 if not len(pos):
                     continue
@@ -171,9 +173,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataF
     short = sorted(r[0] for r in items.where(F.col("n") < span).select("n").distinct().collect())  # seven values at most
     hashes = cut(items.select("item", "tokens").mapInArrow(_item_hashes(short), "hash long, item long, at long"))
     n = hashes.count()
-    bits = min(BITMAP, max(1 << 16, 1 << (32 * max(1, n)).bit_length()))
-    words = hashes.groupBy(F.col("hash").bitwiseAND(bits - 1).alias("b")).agg(F.lit(1)).select(F.shiftright("b", 3).alias("byte"), F.expr("shiftleft(1, cast(b % 8 as int))").alias("bit"))
-    held = words.groupBy("byte").agg(F.bit_or("bit").alias("v")).toArrow()  # at most BITMAP / 8 rows
+    bits = min(BLOOM, max(1 << 16, 1 << (32 * n).bit_length()))
+    step = F.shiftrightunsigned("hash", 36).bitwiseOR(F.lit(1).cast("long"))
+    probes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.try_add(F.col("low"), k * F.col("step"))))
+    low = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long")).alias("low")
+    places = hashes.select(low, step.alias("step")).select(probes.alias("b")).select(F.col("b").bitwiseAND(F.lit(bits - 1).cast("long")).alias("b"))
+    held = places.groupBy(F.shiftright("b", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 as int))")).alias("v")).toArrow()  # at most BLOOM / 8 rows
     bitmap = np.zeros(bits // 8, np.uint8)
     bitmap[held["byte"].to_numpy()] = held["v"].to_numpy().astype(np.uint8)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
