@@ -1,8 +1,9 @@
 """License scans: TF-IDF cosine to templates, then inheritance down the tree.
 
-Passages of a file that speak of licensing (a line with a cue, and stretches of
-consecutive such lines) become sparse TF-IDF vectors; the template with the
-greatest cosine of at least ``LEAST`` names the licence. Inverse document
+Passages of a file that speak of licensing (a line with a cue, stretches of
+consecutive such lines, and windows around the cues of long lines) become sparse
+TF-IDF vectors; the template with the greatest cosine of at least ``LEAST``, or
+``LEAST_WINDOW`` for windows, names the licence. Inverse document
 frequencies are those of the template collection; a term that no template has
 weighs as much as the rarest, so foreign words lower the cosine.
 
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import cut
 
-LEAST = 0.55
-#: Terms in a passage; a longer line is looked at in windows around its cues.
-PASSAGE = 80
+LEAST, LEAST_WINDOW = 0.55, 0.7
+#: Terms in a line; a longer line is looked at in windows, too: from a few terms before a cue, of these lengths.
+PASSAGE, BEFORE, LENGTHS = 30, 6, (5, 8, 12, 20, 30)
 #: Licensed directories up to which their table is broadcast; it is counted first.
 BROADCAST_DIRECTORIES = 100_000
 
@@ -59,6 +60,7 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 )
 _CUE = re.compile(r"(?i)licen[sc]|copyright|rights reserved|spdx|public domain|permission is hereby|redistribution and use|creative commons|free software")
+_CUE_LINE = re.compile(rf"(?m)^.*?(?:{_CUE.pattern.removeprefix('(?i)')}).*$", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -86,44 +88,44 @@ for _k, (_, _v) in enumerate(_VECTORS):
         _LISTS.setdefault(_t, []).append((_k, _x))
 
 
-def passages(text: str) -> Iterator[list[str]]:
-    """Terms of each line with a cue, and of stretches of such lines."""
+def passages(text: str) -> Iterator[tuple[list[str], float]]:
+    """(terms, least cosine) of each line with a cue, of stretches of such lines, and of windows in long ones."""
     stretch: list[str] = []
     last = None
-    seen = -1
-    for m in _CUE.finditer(text):
-        if m.start() < seen:
-            continue
-        a = text.rfind("\n", 0, m.start()) + 1
-        b = text.find("\n", m.end())
-        b = len(text) if b < 0 else b
-        seen = b
-        if b - a > 12 * PASSAGE:  # a long line: windows around its cues
-            for c in _CUE.finditer(text, a, b):
-                yield terms(text[max(a, c.start() - 6 * PASSAGE) : c.start() + 6 * PASSAGE][:b])[:PASSAGE]
-                yield terms(text[c.start() : min(b, c.start() + 3 * PASSAGE)])
+    for m in _CUE_LINE.finditer(text):
+        a, b = m.span()
+        if b - a <= 12 * PASSAGE:
+            line = terms(m[0])
+            yield line, LEAST
+            stretch = stretch + line if last is not None and a - last <= 1 else line
+            last = b
+            if len(line) < len(stretch) <= 8 * PASSAGE:
+                yield stretch, LEAST
+            if len(line) <= PASSAGE:
+                continue
+        else:
             stretch, last = [], None
-            continue
-        line = terms(text[a:b])
-        yield line
-        stretch = stretch + line if last is not None and a - last <= 1 else line
-        last = b
-        if len(line) < len(stretch) <= 4 * PASSAGE:
-            yield stretch
+        for c in _CUE.finditer(text, a, b):
+            before = terms(text[max(a, c.start() - 80) : c.start()])[-BEFORE:]
+            after = terms(text[c.start() : min(b, c.start() + 12 * PASSAGE)])[:PASSAGE]
+            near = before + after
+            for i in range(len(before) + 1):
+                for n in LENGTHS:
+                    yield near[i : i + n], LEAST_WINDOW
 
 
 def classify(text: str | None) -> tuple[str | None, float]:
     """The best licence and its cosine; (None, 0.0) below the threshold."""
     best, found = 0.0, None
-    for words in passages(text or ""):
+    for words, least in passages(text or ""):
         score: dict[int, float] = {}
         for t, x in vector(Counter(words)).items():
             for k, y in _LISTS.get(t, ()):
                 score[k] = score.get(k, 0.0) + x * y
         for k, s in score.items():
-            if (round(s, 9), found is None or _VECTORS[k][0] < found) > (round(best, 9), False):
+            if s >= least and (round(s, 9), found is None or _VECTORS[k][0] < found) > (round(best, 9), False):
                 best, found = s, _VECTORS[k][0]
-    return (found, round(best, 6)) if best >= LEAST else (None, 0.0)
+    return found, round(best, 6)
 
 
 def scan(files: DataFrame) -> DataFrame:

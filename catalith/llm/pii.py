@@ -6,8 +6,8 @@ come from a chain of transducers: each rewrites pieces of a character stream
 spelled digits to digits, disguised "at" and "dot" to @ and .) while every
 output character keeps the source span it came from. Identifiers found in the
 normalised stream that cover at least one rewritten character are mapped back
-to source offsets; one that overlaps a base span is left out, so base spans
-stay as they are.
+to source offsets; one inside a base span is left out. Base spans stay as they
+are, also where a disguised identifier reaches beyond one.
 
 The scanners are linear in the text. Null texts count as empty. Offsets are
 code points, ends exclusive.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -99,31 +100,72 @@ def _glyphs() -> dict[str, str]:
         out |= {chr(zero + i): str(i) for i in range(10)}
     for first in (0x1D400, 0x1D5A0, 0x1D5D4, 0x1D670):  # mathematical alphabets
         out |= {chr(first + i): chr((65 if i < 26 else 71) + i) for i in range(52)}
-    out |= {"․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
+    out |= {"﹫": "@", "․": ".", "。": ".", "｡": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " "}
     return out | {c: "" for c in _INVISIBLE}
 
 
 _GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
+#: What is neither ASCII nor a letter of Latin-1: no other text can have a glyph to rewrite.
+_FOREIGN = re.compile("[^\x00-\x7f\xa1-\xac\xae-\xff]")
+
+
+def _has_glyph(text: str) -> bool:
+    return not text.isascii() and bool(_FOREIGN.search(text)) and bool(_GLYPH.search(text))
+
+# Names of the digits from zero on in English, German, French and Spanish.
+_NAMES = (
+    "zero oh null zéro cero",
+    "one eins un uno",
+    "two zwei zwo deux dos",
+    "three drei trois tres",
+    "four vier quatre cuatro",
+    "five fünf cinq cinco",
+    "six sechs seis",
+    "seven sieben sept siete",
+    "eight acht huit ocho",
+    "nine neun neuf nueve",
+)
+_NUMBERS = {name: str(n) for n, names in enumerate(_NAMES) for name in names.split()}
+_POINTS = frozenset("dot point punkt punto".split())
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_NAMED = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
+_POINT = "(?:" + "|".join(sorted(_POINTS)) + ")"
+_GAP = "[ ,-]{1,2}"
+_SPELLED = re.compile(
+    rf"(?i)(?:(?<![{_LETTER}])(?:plus|\+){_GAP}?)?(?<![{_LETTER}0-9])(?:{_NAMED}|[0-9]++)(?![{_LETTER}])"
+    rf"(?:{_GAP}(?:{_NAMED}|{_POINT}|[0-9]++)(?![{_LETTER}]))+"
+)
+_DIGIT_WORD = re.compile(rf"(?i)plus|\+|{_NAMED}|{_POINT}|[0-9]+")
+
 
-# English names of the digits.
-_NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NAMED = "(?:" + "|".join(_NUMBERS) + ")"
-_SPELLED = re.compile(rf"(?i)(?<![A-Za-z])(?:{_NAMED}|[0-9]+)(?:[ ,-]{{1,2}}(?:{_NAMED}|[0-9]+)(?![A-Za-z])|[ ,-]{{1,2}}(?:point|dot)(?![A-Za-z]))+")
-_DIGIT_WORD = re.compile(rf"(?i){_NAMED}|[0-9]+|point|dot")
-_SPELLED_HINT = re.compile(rf"(?i){_NAMED}[ ,-]{{1,2}}(?:{_NAMED}|dot|point|[0-9])")
+def _has_spelled(text: str) -> bool:
+    """At least three names of digits; a cheap test before the pattern."""
+    words = text.lower().replace(",", " ").replace("-", " ").split()
+    return not _NUMBERS.keys().isdisjoint(words) and sum(w in _NUMBERS for w in words) >= 3
+
+
+#: Digits with letters that look like them, and long digit groups with other separators.
+_ALIKE = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_MIXED = re.compile(rf"(?<![{_LETTER}0-9])\+?[0-9OolI](?:[ ().-]{{0,2}}[0-9OolI]){{6,}}+(?![{_LETTER}])")
+_MIXED_HINT = re.compile(r"[0-9][OolI]|[OolI][0-9]")
+_GROUPS = re.compile(r"(?<![0-9._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{2,7}(?![0-9._/])")
 
 _AT_MARK = r"\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}"
 _DOT_MARK = r"\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|\.)\s{0,2}[\])}>]\s{0,2}"
-_MARK = re.compile(rf"(?i)(?P<at>{_AT_MARK})|(?P<dot>{_DOT_MARK})")
-_MARK_HINT = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|dot|punkt|point|@|\.)\s{0,2}[\])}>]")
+_CODED = "&#64;|&#x40;|&commat;|%40", "&#46;|&#x2e;|&period;"
+_SPACED = r"(?<=[A-Za-z0-9])[ ]{1,2}@[ ]{1,2}(?=[A-Za-z0-9-]{1,63}(?:\.|[ ]\.[ ])[A-Za-z])"
+_MARK = re.compile(rf"(?i)(?P<at>{_AT_MARK}|{_CODED[0]}|{_SPACED})|(?P<dot>{_DOT_MARK}|{_CODED[1]})")
+_MARK_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,2}}(?:at|dot|punkt|point|@|\.)\s{{0,2}}[\])}}>]|{_CODED[0]}|{_CODED[1]}| @ ")
 #: Bare words: one "at" and then at least one "dot", with a top-level domain last.
 _BARE = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]{1,64}(?:(?:\.| dot )[a-z0-9_%+-]{1,64}){0,4}(?P<at> at |@)"
-    r"[a-z0-9-]{1,63}(?:(?:\.| dot )[a-z0-9-]{1,63}){0,4} dot [a-z]{2,24}(?![A-Za-z0-9])"
+    r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+]{1,64}(?:(?:\.|[ _-]dot[ _-])[a-z0-9_%+]{1,64}){0,4}(?P<at>[ _-]at[ _-]|@)"
+    r"[a-z0-9]{1,63}(?:(?:\.|[ _-]dot[ _-])[a-z0-9]{1,63}){0,4}[ _-]dot[ _-][a-z]{2,24}(?![A-Za-z0-9])"
 )
-_BARE_DOT = re.compile(r"(?i) dot ")
-_BARE_AT = re.compile(r"(?i) at ")
+_BARE_DOT = re.compile(r"(?i)[ _-]dot[ _-]")
+_BARE_HINT = re.compile(r"(?i)[ _-]dot[ _-]|[0-9](?: \.|\. )[ ]?[0-9]")
+_BARE_IP = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:(?: dot | \. | ?\. ?)[0-9]{1,3}){3}(?![0-9.])")
+_IP_POINT = re.compile(r"(?i) dot | ?\. ?")
 
 #: A normalised character with the source span that it stands for.
 Stream = tuple[str, list[int], list[int], bytearray]
@@ -166,17 +208,39 @@ def _glyph_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of at least seven spelled or written digits that hold a spelled one."""
+    """Runs of spelled digits: at least seven digits of which three are spelled, or four parts of an address."""
     out = []
     for m in _SPELLED.finditer(text):
         items = [(t.start() + m.start(), t.end() + m.start(), t[0].lower()) for t in _DIGIT_WORD.finditer(m[0])]
-        plain = "".join(_NUMBERS.get(w, w) for _, _, w in items if w not in ("dot", "point"))
-        dots = sum(w in ("dot", "point") for _, _, w in items)
-        if sum(w in _NUMBERS for _, _, w in items) < 3 or not (len(plain) >= 7 or dots == 3 and len(plain) >= 4):
+        plain = "".join(_NUMBERS.get(w, w) for _, _, w in items if w not in _POINTS and w not in ("plus", "+"))
+        named, dots = sum(w in _NUMBERS for _, _, w in items), sum(w in _POINTS for _, _, w in items)
+        if named < 3 or not (len(plain) >= 7 or dots == 3 and len(plain) >= 4):
             continue
         for k, (i, j, w) in enumerate(items):
             stop = items[k + 1][0] if k + 1 < len(items) else j  # the gap goes with the digit before it
-            out.append((i, stop, "." if w in ("dot", "point") else _NUMBERS.get(w, w)))
+            out.append((i, stop, "." if w in _POINTS else "+" if w in ("plus", "+") else _NUMBERS.get(w, w)))
+    return out
+
+
+def _alike_edits(text: str) -> list[tuple[int, int, str]]:
+    """O, l and I among mostly digits; dots and slashes between groups of four digits."""
+    out = []
+    for m in _MIXED.finditer(text):
+        letters = [k for k, c in enumerate(m[0]) if c in _ALIKE]
+        if letters and sum(c.isdigit() for c in m[0]) >= 2 * len(letters):
+            out += [(m.start() + k, m.start() + k + 1, _ALIKE[m[0][k]]) for k in letters]
+    for m in _GROUPS.finditer(text):
+        out += [(m.start() + k, m.start() + k + 1, "-") for k, c in enumerate(m[0]) if not c.isdigit()]
+    return sorted(set(out))
+
+
+def _spelled_phones(text: str) -> list[Span]:
+    """Ten to fifteen digits that are all spelled, without a plus sign before them."""
+    out: list[Span] = []
+    for m in _SPELLED.finditer(text):
+        words = [t[0].lower() for t in _DIGIT_WORD.finditer(m[0])]
+        if 10 <= len(words) <= 15 and all(w in _NUMBERS for w in words):
+            out.append(("phone", *m.span()))
     return out
 
 
@@ -189,33 +253,39 @@ def _mark_edits(text: str) -> list[tuple[int, int, str]]:
 
 def _bare_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
+    for m in _BARE_IP.finditer(text):
+        out += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _IP_POINT.finditer(m[0])]
     for m in _BARE.finditer(text):
         if m["at"] != "@":
             out.append((*m.span("at"), "@"))
         out += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _BARE_DOT.finditer(m[0])]
-    return sorted(out)
+    return sorted(set(out))
 
 
 def normalise(text: str) -> Stream | None:
     """The normalised stream, or None where no transducer has work."""
     stream, worked = _start(text), False
     for hint, edits in (
-        (None if text.isascii() else _GLYPH, _glyph_edits),
-        (_SPELLED_HINT, _digit_edits),
-        (_MARK_HINT, _mark_edits),
-        (_BARE_DOT, _bare_edits),
+        (_has_glyph, _glyph_edits),
+        (_has_spelled, _digit_edits),
+        (_MIXED_HINT.search, _alike_edits),
+        (_GROUPS.search, _alike_edits),
+        (_MARK_HINT.search, _mark_edits),
+        (_BARE_HINT.search, _bare_edits),
     ):
-        if hint and hint.search(stream[0]) and (found := edits(stream[0])):
+        if hint(stream[0]) and (found := edits(stream[0])):
             stream, worked = _rewrite(stream, found), True
     return stream if worked else None
 
 
 def _needs_work(text: str) -> bool:
     return bool(
-        (not text.isascii() and _GLYPH.search(text))
+        _has_glyph(text)
         or _MARK_HINT.search(text)
-        or _SPELLED_HINT.search(text)
-        or (_BARE_DOT.search(text) and (_BARE_AT.search(text) or "@" in text))
+        or _has_spelled(text)
+        or _MIXED_HINT.search(text)
+        or _GROUPS.search(text)
+        or _BARE_HINT.search(text)
     )
 
 
@@ -224,17 +294,19 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if not _needs_work(text) or (stream := normalise(text)) is None:
         return []
     plain, begin, end, new = stream
-    taken, out = sorted((i, j) for _, i, j in base), []
+    out: list[Span] = []
     for kind, i, j in base_spans(plain):
         if not any(new[i:j]):
             continue
         a, b = begin[i], max(end[i:j])
-        if any(x < b and a < y for x, y in taken):
+        if any(x <= a and b <= y for _, x, y in base):
             continue
         if kind == "email" and not re.search(r"\.[A-Za-z]{2,24}$", plain[i:j]):
             continue
         out.append((kind, a, b))
-        taken.append((a, b))
+    for span in _spelled_phones(text):
+        if not any(x < span[2] and span[1] < y for _, x, y in base + out):
+            out.append(span)
     return in_order(out)
 
 
@@ -261,7 +333,8 @@ def _joined(spans: list[Span]) -> str:
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pii``: an array of (kind, start, end, disguised)."""
-    schema = docs.schema.simpleString()[7:-1]
+    found = T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("disguised", "boolean")
+    schema = T.StructType([*docs.schema.fields, T.StructField("pii", T.ArrayType(found))])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +347,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows.append([{"kind": k, "start": i, "end": j, "disguised": (k, i, j) not in known} for k, i, j in in_order(base + more)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*names, "pii"])
 
-    return docs.mapInArrow(run, f"{schema}, pii array<struct<kind:string,start:bigint,end:bigint,disguised:boolean>>")
+    return docs.mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
