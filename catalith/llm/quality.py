@@ -170,8 +170,10 @@ def cascade(
 def quality_filter(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that no rule rejects, with the columns they came with."""
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_in"))
-    kept = cascade(held, "_in", order_rules(docs, text, rules)).where(F.col("failed_rule").isNull())
-    return kept.select("_row.*")
+    judged = cascade(held, "_in", order_rules(docs, text, rules)).withColumn("_at", F.monotonically_increasing_id())
+    # Over a column that isn't deterministic the filter stays where it is. Pushed down, the
+    # optimiser would copy each rule's condition into all later ones, once for each mention.
+    return judged.where(F.col("failed_rule").isNull() & (F.col("_at") >= 0)).select("_row.*")
 
 
 def op8_quality(docs: DataFrame) -> DataFrame:
