@@ -194,5 +194,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without an overlap, with the columns they came with; those with a null id stay."""
-    hit = overlaps(docs, benchmark, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit.hint("shuffle_hash"), docs["doc_id"] == F.col("_hit"), "left_anti")
+    hit = overlaps(docs, benchmark, least).select("doc_id").distinct()
+    return docs.join(hit.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
