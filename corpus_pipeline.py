@@ -30,10 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group; rows sharing a doc_id are one document."""
     found = near_duplicates(docs, NEAR)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept")).drop("_kept")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = one.withColumn("_n", first).where("_n = 1").drop("_n")
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    one = rows.join(kept.hint("shuffle_hash"), F.col("row.doc_id") == F.col("kept_id"))
+    first = F.row_number().over(Window.partitionBy("kept_id").orderBy("row.text"))
+    one = one.withColumn("place", first).where("place = 1").select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
