@@ -170,7 +170,8 @@ def op5_chat(conversations: DataFrame) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     spark = conversations.sparkSession
     said = r"\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(own)
     messages = rows.select("conv_id", "turn", "role", text_part(F.coalesce(F.col("text"), F.lit(""))).alias("content"))
     back = read_back(format_chats(messages))
