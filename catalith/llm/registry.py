@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL for DuckDB.
 
-No SQL is given where it can't express the query (op3, op4, op6, op7) or is too
-slow on whole tables (op1, op9); tests hold those against brute force.
+No SQL is given where it can't express the query (op3, op4, op6, op7, the
+pipeline); tests hold those against brute force.
 """
 
 from __future__ import annotations
@@ -44,6 +44,28 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, doc_id, {_WORDS} AS w FROM d),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.r JOIN n b ON y = b.r WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT r, r AS m FROM d UNION SELECT e.y, c.m FROM c JOIN e ON c.r = e.x),
+o AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON c.m = d.r GROUP BY c.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, o.component_id, d.doc_id = o.component_id AS kept FROM d JOIN o USING (r) LEFT JOIN n USING (r)""",
+        "op9_suffixes": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, doc_id, i, substring(h, 2 * i - 1, 100) AS s FROM (SELECT *, unnest(range(1, length(h) // 2 - 48)) AS i FROM d)),
+f AS (SELECT r, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+k AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM f),
+q AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM k),
+u AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM q GROUP BY r, span),
+v AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS z FROM u),
+o AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(h, 2 * z - 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM v JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN o USING (r)""",
         "op2_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
