@@ -27,6 +27,12 @@ def duplicates(rows: DataFrame, key: str, identifier: str) -> DataFrame:
     )
 
 
+def exact_pairs(rows: DataFrame, key: str, identifier: str) -> DataFrame:
+    """Keys with exactly two distinct ids, as (old, new)."""
+    found = duplicates(rows, key, identifier).where("n = 2")
+    return found.select(key, F.col("oldest").alias("old"), F.col("newest").alias("new"))
+
+
 def mode(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:
     """A5: the most frequent value of each key; of a tie the first seen."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(position).alias("_first"))

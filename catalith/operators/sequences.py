@@ -7,17 +7,40 @@ from pyspark.sql import functions as F
 
 from catalith.functions.idents import record_id, record_number
 from catalith.functions.text import normalise_tag
+from catalith.session import fixed
 
 
-def mint(rows: DataFrame, collection: str, order: list[str], used: DataFrame | None = None) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, spread: int | None = None) -> DataFrame:
+    """Number the rows of each key from 1 on, in a total order.
+
+    A window puts all rows of a key into one task. With ``spread`` the rows are
+    dealt by ranges of (keys, order) to so many tasks instead, numbered within
+    each, and moved up by the counts of the ranges before: for keys that hold a
+    large share of all rows. The deal is checkpointed, as it is used twice.
+    """
+    if spread is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    dealt = fixed(rows.repartitionByRange(spread, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    counts = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), "_before")
+    on = F.col("_part") == F.col("_of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    moved = dealt.join(counts, on).withColumn(name, (place + F.col("_before")).cast("bigint"))
+    return moved.select(*rows.columns, name)
+
+
+def mint(rows: DataFrame, collection: str, order: list[str], used: DataFrame | None = None, spread: int | None = None) -> DataFrame:
     """Add ``item_id``: the smallest unused numbers of each collection, in order.
 
+    ``spread`` is for collections with a large share of all rows (see ``numbered``).
     ``used`` holds ids (column item_id) that are taken. The n-th new row gets the
     n-th free number: the one after as many taken numbers as lie below it. Free
     stretches between taken numbers are few, so rows join stretches by number.
     """
-    place = F.row_number().over(Window.partitionBy(collection).orderBy(*order)).cast("long")
-    rows = rows.withColumn("_n", place)
+    rows = numbered(rows, [collection], order, "_n", spread)
     if used is None:
         return rows.withColumn("item_id", record_id(F.col(collection), F.col("_n"))).drop("_n")
     taken = (
@@ -46,11 +69,10 @@ def greatest_suffix(collection: str, *sources: DataFrame) -> DataFrame:
     return every.groupBy(collection).agg(F.max(record_number(F.col("item_id"))).alias("last"))
 
 
-def mint_after(rows: DataFrame, last: DataFrame, collection: str, order: list[str]) -> DataFrame:
+def mint_after(rows: DataFrame, last: DataFrame, collection: str, order: list[str], spread: int | None = None) -> DataFrame:
     """Numbers after the greatest one in use."""
-    place = F.row_number().over(Window.partitionBy(collection).orderBy(*order))
-    numbered = rows.withColumn("_n", place).join(last, collection, "left")
-    return numbered.withColumn("item_id", record_id(F.col(collection), F.coalesce("last", F.lit(0)) + F.col("_n"))).drop("_n", "last")
+    placed = numbered(rows, [collection], order, "_n", spread).join(last, collection, "left")
+    return placed.withColumn("item_id", record_id(F.col(collection), F.coalesce("last", F.lit(0)) + F.col("_n"))).drop("_n", "last")
 
 
 def older_than_newest(rows: DataFrame, key: str, identifier: str) -> DataFrame:

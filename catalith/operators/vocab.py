@@ -42,23 +42,27 @@ def route_classes(items: DataFrame, key: str, cell: str, classes: DataFrame, bla
     """(key, raw, primary, extras): the first valid part of a class cell, then the other valid ones.
 
     ``classes`` has ``class``. ``blank`` is skip or misc (Q7). Names must match
-    exactly (Q19). Extras keep their order and repeats. The class table is a
-    vocabulary; its names are gathered into one row and joined as that row.
+    exactly (Q19). Extras keep their order and repeats. Cells repeat much, so
+    distinct cells are taken apart and joined with the classes, and what they
+    give is joined back.
     """
     if blank not in ("skip", "misc"):
         raise ValueError("blank is skip or misc")
-    names = classes.agg(F.collect_set("class").alias("_names"))
     rows = items.select(F.col(key), F.coalesce(strip(F.col(cell)), F.lit("")).alias("raw"))
     if blank == "skip":
         rows = rows.where("raw <> ''")
-    rows = rows.crossJoin(F.broadcast(names))  # one row
-    valid = F.filter(split_cell(F.col("raw")), lambda p: F.array_contains("_names", p))
-    rows = rows.withColumn("_valid", valid)
+    parts = rows.select("raw").distinct().select("raw", F.posexplode(split_cell(F.col("raw"))).alias("_pos", "class"))
+    valid = (
+        parts.join(classes.select("class").distinct(), "class")
+        .groupBy("raw")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "class"))), lambda x: x["class"]).alias("_valid"))
+    )
+    rows = rows.join(valid, "raw", "left").withColumn("_valid", F.coalesce("_valid", F.array().cast("array<string>")))
     return rows.select(
         key,
         "raw",
         F.coalesce(F.get("_valid", F.lit(0)), F.lit(fallback)).alias("primary"),
-        F.when(F.size("_valid") > 1, F.slice("_valid", 2, F.size("_valid"))).otherwise(F.array().cast("array<string>")).alias("extras"),
+        F.slice("_valid", 2, F.greatest(F.size("_valid"), F.lit(1))).alias("extras"),
         (F.size("_valid") == 0).alias("unmapped"),
     )
 

@@ -108,6 +108,15 @@ def mint_continue(t):
     return sequences.mint_after(new, sequences.greatest_suffix("source", old), "source", ["doc_id"]).select("source", "doc_id", "item_id")
 
 
+@query(
+    "mint_spread",
+    """SELECT source, doc_id, printf('%s-R%04d', source, row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS item_id FROM documents""",
+)
+def mint_spread(t):
+    """W1 with the rows of a source dealt to several tasks."""
+    return sequences.mint(t.documents.select("source", "doc_id"), "source", ["doc_id"], spread=16)
+
+
 @query("first_wins", """WITH e AS (SELECT event_id, user_id, event_type, value < 0.1 AS bad, event_id % 7 = 0 AS auto FROM events),
 s AS (SELECT *, coalesce(max((NOT bad AND NOT auto)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM e)
 SELECT event_id, user_id, CASE WHEN bad THEN 'bad' WHEN auto THEN 'auto' WHEN seen = 1 THEN 'duplicate' ELSE 'insert' END AS outcome FROM s""")
@@ -327,6 +336,11 @@ def dup_ids(t):
     return aggregates.ids_by_key(t.lineitem, "l_orderkey", "l_suppkey").select("l_orderkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("exact_pairs", """SELECT md5(text) AS k, min(doc_id) AS old, max(doc_id) AS new FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 2""")
+def exact_pairs(t):
+    return aggregates.exact_pairs(t.documents.select(F.md5("text").alias("k"), "doc_id"), "k", "doc_id")
+
+
 _BUCKET = "CASE WHEN {0} < 5000 THEN '<5000' WHEN {0} < 6000 THEN '5000s' WHEN {0} < 7000 THEN '6000s' WHEN {0} < 7630 THEN 'early-7000s' ELSE 'session-7000s' END"
 
 
@@ -649,6 +663,21 @@ def title_split(t):
     return t.part.select("p_partkey", text.split_bilingual_title(title).alias("s")).select("p_partkey", "s.latin", "s.hebrew")
 
 
+@query("route_ids", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'collection' WHEN o_orderkey % 3 = 1 THEN 'folder' ELSE 'edge' END AS kind FROM orders""")
+def route_ids(t):
+    k = F.col("o_orderkey") % 3
+    cell = F.when(k == 0, F.format_string("G-F-%04d", F.col("o_orderkey") % 10000)).when(k == 1, F.format_string("G-F-%04d-001", F.col("o_orderkey") % 10000))
+    return t.orders.select("o_orderkey", predicates.route(cell, [("^G-F-[0-9]{4}$", "collection"), ("^G-F-[0-9]{4}-[0-9]{3}$", "folder")], "edge").alias("kind"))
+
+
+@query("property_summary", """SELECT s_suppkey AS id, (s_acctbal > 0)::BIGINT + 1 AS n_properties, substring(s_name, 1, 60) AS title FROM supplier""")
+def property_summary(t):
+    resources = t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(None).cast("timestamp").alias("created"), F.array().cast("array<int>").alias("media"), F.array().cast("array<int>").alias("item_sets"), F.lit(1).alias("template_id"), F.lit(2).alias("class_id"))
+    base = t.supplier.select(F.col("s_suppkey").alias("resource_id"), F.lit("dcterms:title").alias("term"), F.lit(0).alias("pos"), F.col("s_name").alias("value"), F.lit(None).cast("string").alias("uri"))
+    more = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("resource_id"), F.lit("a:balance").alias("term"), F.lit(0).alias("pos"), F.col("s_acctbal").cast("string").alias("value"), F.lit(None).cast("string").alias("uri"))
+    return values.summarise(resources, base.unionByName(more)).select("id", "n_properties", "title")
+
+
 @query("slug", """SELECT DISTINCT p_type, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part""")
 def slug(t):
     return t.part.select("p_type").distinct().withColumn("slug", text.slug(F.col("p_type")))

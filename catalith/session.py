@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "catalith", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,3 +28,11 @@ def session(app: str = "catalith", master: str | None = None, **conf: str) -> Sp
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The table computed once, in the folder of ``spark.checkpoint.dir`` (unset: a temporary one)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/catalith-checkpoints")
+    return df.checkpoint(eager=True)

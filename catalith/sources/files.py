@@ -55,14 +55,16 @@ def read_table(spark: SparkSession, path: str, sep: str = "\t", schema: str | No
 def read_positional(spark: SparkSession, path: str, names: dict[int, str], least: int, skip: int = 1, sep: str = "\t") -> DataFrame:
     """Unquoted lines by position; lines with fewer than ``least`` cells go, and so do the first ``skip`` lines.
 
-    Line numbers are counted within each file.
+    Lines are counted within each file. Only a file's first block is numbered, so
+    a large file is not gathered into one task.
     """
     from pyspark.sql import Window
 
-    lines = _with_pos(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")))
+    block, file = F.col("_metadata.file_block_start"), F.col("_metadata.file_path")
+    lines = _with_pos(spark.read.text(path).select("value", file.alias("_file"), block.alias("_block")))
     place = F.row_number().over(Window.partitionBy("_file").orderBy(POS))
-    cells = lines.withColumn("_n", place).where(F.col("_n") > skip).withColumn("_c", F.split("value", sep))
-    cells = cells.where(F.size("_c") >= least)
+    first = lines.where("_block = 0").withColumn("_n", place).where(F.col("_n") > skip).drop("_n")
+    cells = first.unionByName(lines.where("_block > 0")).withColumn("_c", F.split("value", sep)).where(F.size("_c") >= least)
     return cells.select(POS, *[F.get("_c", F.lit(i)).alias(n) for i, n in names.items()])
 
 

@@ -35,6 +35,12 @@ def test_minting_random_gaps_against_a_loop(spark):
     assert [r["item_id"] for r in sequences.mint(new, "c", ["id"], used).orderBy("id").collect()] == want
 
 
+def test_spread_numbers_are_those_of_a_window(spark, rows):
+    df = spark.range(500).select((F.col("id") % 7 % 3).alias("k"), (F.col("id") * 37 % 500).alias("v")).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    want = rows(sequences.numbered(df, ["k"], ["v"], "n"))
+    assert rows(sequences.numbered(df, ["k"], ["v"], "n", spread=9)) == want
+
+
 def test_wide_suffixes(spark):
     rows = spark.createDataFrame([("A", 1)], "c string, n int")
     last = spark.createDataFrame([("A", 9999)], "c string, last bigint")
