@@ -79,6 +79,12 @@ MEASURES: dict[str, list[tuple[str, Callable[[], Column]]]] = {
         ("n_upper", lambda: (F.length("_text") - F.length(F.regexp_replace("_text", r"\p{Lu}", ""))).cast("long")),
         ("n_lower", lambda: (F.length("_text") - F.length(F.regexp_replace("_text", r"\p{Ll}", ""))).cast("long")),
     ],
+    "n_stutter": [
+        (
+            "n_stutter",
+            lambda: F.size(F.filter("_words", lambda w, i: F.coalesce(w == F.get("_words", i - 1), F.lit(False)))).cast("long"),
+        )
+    ],
     "n_repeat_words": [
         ("_hashes", _windows),
         ("_ordered", _ordered),
@@ -93,6 +99,7 @@ LEAST_WORDS = 20
 RULES: tuple[Rule, ...] = (
     Rule("too_short", ("n_words",), lambda: F.col("n_words") < LEAST_WORDS),
     Rule("repeated_words", ("n_words", "n_repeat_words"), lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
+    Rule("stutter", ("n_words", "n_stutter"), lambda: 100 * F.col("n_stutter") > 30 * F.col("n_words")),
     Rule("symbols", ("n_words", "n_symbols"), lambda: 10 * F.col("n_symbols") > F.col("n_words")),
     Rule("repeated_lines", ("n_lines",), lambda: 100 * F.col("n_dup_lines") > 40 * F.col("n_lines")),
     Rule(

@@ -97,6 +97,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_
 n AS (SELECT r, doc_id, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS up, (length(t) - length(regexp_replace(t, '\p{{Ll}}', '', 'g')))::BIGINT AS low,
+  len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS stutter,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
 h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
@@ -104,7 +105,7 @@ k AS (SELECT r, count(DISTINCT j)::BIGINT AS n FROM (SELECT r, unnest(range(i, i
 a AS (SELECT n.*, coalesce(k.n, 0) AS n_repeat_words, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM n LEFT JOIN k USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * up > 4 * (up + low)) AS kept
+  NOT (base_failed OR 100 * stutter > 30 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * up > 4 * (up + low)) AS kept
 FROM b""",
         "op10_substrings": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),

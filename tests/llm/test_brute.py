@@ -110,9 +110,11 @@ def test_licences(spark, docs):
 def keeps(text):
     n, chars, symbols, repeated, covered = measured(text)
     lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    words = WORD.findall(text or "")
+    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False))
     upper, lower = (sum(f(c) for c in text or "") for f in (str.isupper, str.islower))
     return not (
-        n < 20 or 100 * covered > 30 * n or 10 * symbols > n or 100 * repeated > 40 * lines or chars < 3 * n or chars > 12 * n or 10 * upper > 4 * (upper + lower)
+        n < 20 or 100 * covered > 30 * n or 100 * stutter > 30 * n or 10 * symbols > n or 100 * repeated > 40 * lines or chars < 3 * n or chars > 12 * n or 10 * upper > 4 * (upper + lower)
     )
 
 
