@@ -33,6 +33,8 @@ def apply(values: DataFrame, changes: DataFrame) -> DataFrame:
     An insert whose value the resource has already under the term is passed
     over, and so is one that repeats another, so applying a set of inserts
     twice is applying it once (T3). Inserted values follow the existing ones.
+    Only values under a (resource, term) that gets inserts are compared and
+    counted; the others pass through joins with the changes.
     """
     key = ["resource_id", "term", "pos"]
     dropped = changes.where("op = 'drop'").select("resource_id").distinct()
@@ -41,12 +43,13 @@ def apply(values: DataFrame, changes: DataFrame) -> DataFrame:
     updates = changes.where("op = 'update'").groupBy(*key).agg(F.max_by(F.struct(*fresh), F.struct("value", "lang")).alias("_u"))
     held = values.select(*VALUE).join(dropped, "resource_id", "left_anti").join(deleted, key, "left_anti")
     held = held.join(updates, key, "left").select(*key, *[F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in fresh])
-    own = held.select("resource_id", "term", signature().alias("_s")).distinct()
     new = changes.where("op = 'insert'").select(*VALUE).withColumn("_s", signature())
+    touched = held.join(new.select("resource_id", "term").distinct(), ["resource_id", "term"], "left_semi")
+    own = touched.select("resource_id", "term", signature().alias("_s")).distinct()
     new = new.join(dropped, "resource_id", "left_anti").join(own, ["resource_id", "term", "_s"], "left_anti")
     repeat = F.row_number().over(Window.partitionBy("resource_id", "term", "_s").orderBy("pos"))
     new = new.withColumn("_n", repeat).where("_n = 1")
-    last = held.groupBy("resource_id", "term").agg((F.max("pos") + 1).alias("_next"))
+    last = touched.groupBy("resource_id", "term").agg((F.max("pos") + 1).alias("_next"))
     line = F.row_number().over(Window.partitionBy("resource_id", "term").orderBy("pos", "_s"))
     new = new.join(last, ["resource_id", "term"], "left").withColumn("pos", (F.coalesce("_next", F.lit(0)) + line - 1).cast("int"))
     return held.select(*VALUE).unionByName(new.select(*VALUE))
