@@ -8,6 +8,7 @@ language), ``labels`` an earlier run, ``conversations`` folders and turns,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ from catalith.operators import (
     values,
     vocab,
 )
+from catalith.session import scratch
 from catalith.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -849,6 +851,21 @@ def sql_lines(t):
     return changes.sql_script(rows, F.lit(1)).withColumn("n", big("n", "n"))
 
 
+@query("stream_resume", """SELECT event_id, user_id, length(props)::BIGINT AS size FROM events""")
+def stream_resume(t):
+    """The events as a stream of what is new, run until nothing is left, appended once per event."""
+    root = f"{scratch(t.spark)}/stream-{uuid.uuid4().hex}"
+    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    step = lambda b: b.select("event_id", "user_id", F.length("props").cast("bigint").alias("size"))
+    batches.run_available(source, step, "event_id", f"{root}/out", f"{root}/state").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query("outcome_counts", """SELECT count(*) FILTER (value > 10) AS done, count(*) FILTER (NOT value > 10) AS failed FROM events""")
+def outcome_counts(t):
+    return batches.outcome_counts(t.events, F.col("value") > 10)
+
+
 # --- extensions -----------------------------------------------------------------------------------
 
 

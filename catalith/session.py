@@ -30,9 +30,15 @@ def session(app: str = "catalith", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate results: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/catalith-checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def fixed(df: DataFrame) -> DataFrame:
-    """The table computed once, in the folder of ``spark.checkpoint.dir`` (unset: a temporary one)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/catalith-checkpoints")
+    """The table computed once, with its lineage cut."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -238,3 +238,28 @@ def test_open_and_closed(spark, rows):
     records = spark.createDataFrame([("F-1-R0001",), ("F-2-R0001",)], "id string")
     folders = spark.createDataFrame([("F-1",), ("F-1",)], "folder string")
     assert rows(reconcile.open_and_closed(records, folders, "id")) == [("F-1-R0001", True), ("F-2-R0001", False)]
+
+
+def test_rewritten_links_carry_all_values_of_a_property(spark, rows):
+    table = spark.createDataFrame(
+        [(1, "p:hasPart", 0, "resource", None, None, 7, None, None, True), (1, "p:hasPart", 1, "resource", None, None, 8, None, None, True), (2, "p:hasPart", 0, "resource", None, None, 8, None, None, True)],
+        VALUE,
+    )
+    moved = spark.createDataFrame([(7, 70)], "old bigint, new bigint")
+    plan = changes.rewrite_links(table, moved, "http://h")
+    assert rows(plan, "op", "resource_id", "pos", "value_resource_id") == [("update", 1, 0, 70), ("update", 1, 1, 8)]
+    assert rows(changes.apply(table, plan), "resource_id", "pos", "value_resource_id") == [(1, 0, 70), (1, 1, 8), (2, 0, 8)]
+    assert rows(changes.redirects(moved, moved)) == [(7, 70)]
+
+
+def test_constructors_headers_and_features(spark, rows):
+    df = spark.createDataFrame([(1, " a ", b"xy")], "i bigint, s string, content binary")
+    made = df.select(values.literal(F.col("s"), "de").alias("l"), values.uri(F.lit("u"), F.lit("n")).alias("u"), values.link(F.col("i")).alias("r"))
+    assert rows(made.select("l.lang", "l.value", "u.uri", "u.label", "r.type", "r.value_resource_id")) == [("de", " a ", "u", "n", "resource", 1)]
+    assert rows(values.fixed_header(df, {"s": "title", "none": "date"}, {"is_public": F.lit("true")})) == [("true", "a", "")]
+    assert features.extract(df, lambda batch: [[float(len(x))] for x in batch]).first()["features"] == [2.0]
+    table = spark.createDataFrame([literal(1, "a:t", 1, "y"), literal(1, "a:t", 0, "x")], VALUE)
+    assert rows(values.by_property(table), "values") == [(["x", "y"],)]
+    assert changes.insert_resources(table).where("op = 'insert'").count() == 2
+    terms = spark.createDataFrame([("a:t",), ("a:u",)], "term string")
+    assert rows(vocab.template_properties(terms, ["a:u"])) == [("a:t", False), ("a:u", True)]
