@@ -13,8 +13,9 @@ back. The loss mask lists, for each assistant turn, the number of its block and
 where its content stands in that block.
 
 Null roles and texts count as empty; rows with equal turn are ordered by role,
-then content. A conversation is one string in its output row, so the longest
-conversation has to fit into a row.
+then content, and repeated rows are turns of their own. A null conv_id is a
+conversation, too. Other columns are passed over; no rows give no rows. A
+conversation is one string in its output row, so the longest has to fit a row.
 """
 
 from __future__ import annotations

@@ -16,7 +16,10 @@ others may differ. Each mask gives every window of twelve tokens a hash.
 Tokens are runs of letters and digits, ASCII lower-cased; other ASCII characters
 part them. Items shorter than a mask have one seed, their whole sequence; those
 of fewer than five tokens are no evidence and are left out. Null texts have no
-tokens. Repeated rows are found each for itself.
+tokens. Repeated rows are found each for itself; of equally good diagonals the
+first counts. A document with a null doc_id is reported with it and never
+dropped. ``decontaminate`` keeps all columns, whatever their names; no rows, or no
+benchmark, find nothing.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ nearest directory above it: distinct directories are joined with licensed
 directories on each of their ancestor paths, and the deepest one wins.
 
 Null and empty texts have no licence; a null path has no directory. Of licence
-files in one directory the best match counts, then the first licence by name.
+files in one directory the best match counts, then the first licence by name; so
+do ties between templates. Repeated rows count each for itself, long texts are
+scanned whole, other columns are kept by ``scan`` and ``inherit``, and no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -130,7 +133,7 @@ def classify(text: str | None) -> tuple[str | None, float]:
 
 def scan(files: DataFrame) -> DataFrame:
     """(path, text, others) to (path, others, own_license, own_score)."""
-    keep = [c for c in files.columns if c != "text"]
+    keep = [c for c in files.columns if c not in ("text", "own_license", "own_score")]
     kinds = dict(files.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
 

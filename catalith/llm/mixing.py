@@ -9,7 +9,8 @@ a seeded order of the documents decides which are taken once more; the document
 at which the target is reached is taken in part. Everything is DataFrame code.
 
 Null texts have size 0; the null source is a source of its own, last in order.
-Repeated rows count each for itself. A source without words has target 0.
+Repeated rows count each for itself and are ordered by doc_id and size. A source
+without words has target 0. Other columns are passed over; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ probability of 2e-7, at 0.8 of 3e-5.
 
 A null or blank text has no shingles and is linked with nothing; a text of fewer
 words than a shingle is one shingle. Rows sharing a doc_id are one node. A null
-doc_id is linked with nothing and kept.
+doc_id is linked with nothing and kept. Very long texts are hashed in slices.
+Other columns are passed over; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ normalised stream that cover at least one rewritten character are mapped back
 to source offsets; one inside a base span is left out. Base spans stay as they
 are, also where a disguised identifier reaches beyond one.
 
-The scanners are linear in the text. Null texts count as empty. Offsets are
+The scanners are linear in the text, so very long texts are fine. Null texts
+count as empty; ``redact`` leaves them null. Repeated rows are looked at each for
+itself, other columns stay as they are, and no rows give no rows. Offsets are
 code points, ends exclusive.
 """
 
@@ -332,7 +334,8 @@ def _joined(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``pii``: an array of (kind, start, end, disguised)."""
+    """Add ``pii``: an array of (kind, start, end, disguised); a column of that name is replaced."""
+    docs = docs.drop("pii")
     found = T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("disguised", "boolean")
     schema = T.StructType([*docs.schema.fields, T.StructField("pii", T.ArrayType(found))])
     names = docs.columns

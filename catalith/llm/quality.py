@@ -6,7 +6,10 @@ the rule rejects; rules then run by rejections per second, and a row that one
 rule has rejected skips the measurements of the rules after it. The order
 decides the cost and which rule is named, never whether a row is kept.
 
-Null and blank texts have no words. Everything stays in Spark's expressions.
+Null and blank texts have no words. Repeated rows are judged each for itself.
+The filter keeps all columns it got, whatever their names. Texts of any length
+are measured whole, within one row; no rows give no rows. Everything stays in
+Spark's expressions.
 """
 
 from __future__ import annotations
