@@ -25,7 +25,8 @@ a bit per seed and run return to the segments, which stay where they are: they
 are partitioned by segment once.
 
 Rows with a null doc_id are taken as the largest id; rows of equal doc_id don't
-remove from each other across rows; null and empty texts have no symbols.
+remove from each other; null and empty texts have no symbols. A text longer than
+a segment is a segment alone. Other columns are passed over; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ from catalith.llm.grams import BLANK, BYTE, join_ids, mix, qgrams, sliding_min,
 
 #: Bytes of text in a segment, and of text for each bucket and partition.
 SEGMENT, BUCKET, PARTITION = 2 << 20, 8 << 20, 16 << 20
+#: Tasks over which the copies of one text are spread.
+SALTS = 16
 #: Symbols that are worked on at a time, so that arrays stay in the cache.
 BLOCK = 1 << 16
 LAST = np.iinfo(np.int64).max
@@ -418,8 +421,10 @@ def remove_repeats(docs: DataFrame, unit: Unit) -> DataFrame:
         "seg", "at", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest")
     )
     first = heads.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = heads.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int"))
     copies = cut(
-        heads.join(first, "digest").where("id > first").groupBy("seg").agg(F.sort_array(F.collect_list("at")).alias("copies"))
+        salted.join(first, ["digest", "salt"]).where("id > first").groupBy("seg").agg(F.sort_array(F.collect_list("at")).alias("copies"))
     )
     held = segments.select("seg", "ids", "at", "text").join(copies.hint("shuffle_hash"), "seg", "left")
 
