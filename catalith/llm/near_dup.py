@@ -12,7 +12,8 @@ probability of 2e-7, at 0.8 of 3e-5.
    is one tile, a larger one is cut into blocks and each pair of blocks is a tile,
    so a task's memory is bounded. In a tile, sets are ordered from rare shingles
    to common ones; two sets that reach the threshold share a shingle among the
-   first few of both (prefix filter), whose lists give the pairs to confirm.
+   first few of both (prefix filter), and enough of them; their lists give the
+   pairs to confirm.
    Pairs already connected are skipped, which loses no link between classes.
 4. Components of the confirmed links are the duplicate groups.
 
@@ -147,6 +148,7 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int
         first = len(mine) - (percent * len(mine) + 99) // 100 + 1
         rows.append(mine[:first])
         doc.append(np.full(len(rows[-1]), d))
+    parts = np.array([len(r) for r in rows])
     token, doc = np.concatenate(rows), np.concatenate(doc)
     by = np.lexsort((doc, token))
     token, doc = token[by], doc[by]
@@ -164,19 +166,31 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int
         if not lists:
             continue
         near = np.concatenate(lists)
-        near = np.unique(near[group[near] != group[d]])
-        near = near[100 * sizes[near] >= percent * sizes[d]]
+        if 4 * len(near) < d:
+            near, shared = np.unique(near, return_counts=True)
+        else:
+            shared = np.bincount(near, minlength=d)
+            near = np.flatnonzero(shared)
+            shared = shared[near]
+        # What both share is in the parts above, or behind the end of the shorter-ranked part.
+        least = -(-percent * (sizes[near] + sizes[d]) // (100 + percent)) - np.maximum(sizes[near] - parts[near], sizes[d] - parts[d])
+        near = near[(shared >= least) & (group[near] != group[d]) & (100 * sizes[near] >= percent * sizes[d])]
         if not len(near):
             continue
         own = ranked[begin[d] : begin[d + 1]]
         mark[own] = True
+        step = 1  # most sets of a group link at once; many that don't are compared together
         while len(near):
-            e = int(near[-1])
-            near = near[:-1]
-            both = int(mark[ranked[begin[e] : begin[e + 1]]].sum())
-            if 100 * both >= percent * (int(sizes[d]) + int(sizes[e]) - both):
-                out.append((max(ids[d], ids[e]), min(ids[d], ids[e])))
+            some, near = near[-step:], near[:-step]
+            step = min(4096, 8 * step)
+            count = sizes[some]
+            at = np.arange(count.sum()) + np.repeat(begin[some] - (np.cumsum(count) - count), count)
+            both = np.add.reduceat(mark[ranked[at]].astype(np.int64), np.cumsum(count) - count)
+            for e in some[100 * both >= percent * (sizes[d] + count - both)].tolist():
                 a, b = int(group[d]), int(group[e])
+                if a == b:
+                    continue
+                out.append((max(ids[d], ids[e]), min(ids[d], ids[e])))
                 if len(members[a]) < len(members[b]):
                     a, b = b, a
                 group[members[b]] = a
@@ -223,6 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     tiles = (
         sets.withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .where("blocks = 1 or _own <> _other")  # a tile of two blocks also confirms pairs inside either
         .select("id", "cluster", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "shingles")
     )
     links = tiles.groupBy("cluster", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
