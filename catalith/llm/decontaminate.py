@@ -9,13 +9,18 @@ others may differ. Each mask gives every window of twelve tokens a hash.
    saves work: what it lets through is joined with the table of hashes. With 32
    bits a hash and eight probes it lets one foreign window in 200 000 through.
 3. Each join hit names a diagonal (document position minus item position). On a
-   diagonal the aligned tokens are compared, and the best stretch by +1 a match
-   and -3 a mismatch is an overlap if it has ``least`` tokens, or the whole item
-   where that is shorter, and at most a fifth of them differ.
+   diagonal the aligned tokens are compared. A stretch is an overlap if it has
+   ``least`` tokens, or the whole item where that is shorter, if at most a fifth of
+   them differ, and if it begins and ends with equal tokens or where the item does.
+   Reported is the best stretch by +1 a match and -3 a mismatch if it is an overlap,
+   and the longest overlap otherwise.
 
 Tokens are runs of letters and digits, ASCII lower-cased; other ASCII characters
-part them. Items shorter than a mask have one seed, their whole sequence; those
-of fewer than five tokens are no evidence and are left out. Null texts have no
+part them. Items no longer than a mask have masks of their own length, which leave
+out as many of five sets of positions as tokens may differ, so no substitution that
+the rule allows is missed; items of fewer than five tokens are no evidence and are
+left out. The masks of longer items find a whole copy with one token changed
+anywhere; of copies with more changes they may miss some. Null texts have no
 tokens. Repeated rows are found each for itself; of equally good diagonals the
 first counts. A document with a null doc_id is reported with it and never
 dropped. ``decontaminate`` keeps all columns, whatever their names; no rows, or no
@@ -45,14 +50,19 @@ _PLACE = stream(64, 21)
 _SCHEMA = "uid long, doc_id long, tokens binary, hits array<struct<hash:long,pos:long>>"
 
 
+def masks_of(n: int) -> list[str]:
+    """Masks of a short length, one of which fits wherever a fifth of the tokens differ."""
+    return ["".join("0" if j % 5 in out else "1" for j in range(n)) for out in itertools.combinations(range(5), n // 5)]
+
+
 def _seeds(ids: np.ndarray, first: np.ndarray, short: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hash, position among ids) of all windows within one text, for each mask and short length."""
-    for k, mask in enumerate([*MASKS, *["1" * n for n in short]]):
+    for k, mask in enumerate([*MASKS, *(mask for n in short for mask in masks_of(n))]):
         span = len(mask)
         m = len(ids) - span + 1
         if m <= 0:
             continue
-        h = np.full(m, _PLACE[32 + k] if k < len(MASKS) else _PLACE[50] * _U(span), _U)
+        h = np.full(m, _PLACE[32 + k] if k < len(MASKS) else mix(np.array([int("1" + mask, 2)], _U) * _PLACE[50])[0], _U)
         for j, c in enumerate(mask):
             if c == "1":
                 h += ids[j : j + m] * (_PLACE[j] | _U(1))
@@ -139,6 +149,26 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(score[: end + 1] == low[end])[-1]), end
 
 
+def longest_stretch(equal: np.ndarray, opens: bool, closes: bool) -> tuple[int, int]:
+    """(start, end) of the longest stretch of which at most a fifth differs; the first of several.
+
+    It begins and ends with equal tokens, or at the ends of the row where ``opens``
+    and ``closes`` say that the item begins and ends there.
+    """
+    score = np.append(0, np.cumsum(np.where(equal, 1, -4)))
+    first, last = equal.copy(), equal.copy()
+    first[:1] |= opens
+    last[-1:] |= closes
+    low = np.minimum.accumulate(np.where(first, score[:-1], len(equal) + 1))
+    ends = np.flatnonzero(last) + 1
+    starts = np.searchsorted(-low, -score[ends])  # the first that lies no higher
+    sizes = ends - starts
+    if not len(sizes) or sizes.max() <= 0:
+        return 0, 0
+    k = int(np.argmax(sizes))
+    return int(starts[k]), int(ends[k])
+
+
 def _verify(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "start", "end", "matched"]
@@ -151,10 +181,12 @@ def _verify(least: int):
                 for d in sorted(diagonals):
                     a, b = max(0, d), min(len(t), len(o) + d)
                     equal = t[a:b] == o[a - d : b - d]
-                    i, j = best_stretch(equal)
-                    good = int(equal[i:j].sum())
-                    if j - i >= min(least, len(o)) and 5 * good >= 4 * (j - i) and (best is None or good > best[2]):
-                        best = (a + i, a + j, good)
+                    for i, j in (best_stretch(equal), longest_stretch(equal, a == d, b == len(o) + d)):
+                        good = int(equal[i:j].sum())
+                        if j - i >= min(least, len(o)) and 5 * good >= 4 * (j - i):
+                            if best is None or good > best[2]:
+                                best = (a + i, a + j, good)
+                            break
                 if best:
                     for c, v in zip(out, (doc, item, *best), strict=True):
                         c.append(v)
@@ -173,7 +205,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataF
         .withColumn("item", F.monotonically_increasing_id())
     )
     span = len(MASKS[0])
-    short = sorted(r[0] for r in items.where(F.col("n") < span).select("n").distinct().collect())  # seven values at most
+    short = sorted(r[0] for r in items.where(F.col("n") <= span).select("n").distinct().collect())  # eight values at most
     hashes = cut(items.select("item", "tokens").mapInArrow(_item_hashes(short), "hash long, item long, at long"))
     n = hashes.count()
     bits = min(BLOOM, max(1 << 16, 1 << (32 * n).bit_length()))

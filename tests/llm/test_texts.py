@@ -178,6 +178,37 @@ def test_overlaps(spark, corpus):
     assert leaks(spark, corpus, texts, [ITEM, None, "", "short item of six words", "two words"]) == {(0, 0), (1, 0), (2, 0), (8, 3)}
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20])
+def test_a_substitution_at_every_position(spark, corpus, n):
+    w, filler = [f"w{i}" for i in range(n)], " ".join(f"f{i}" for i in range(20))
+    copies = [[*w[:i], "changed", *w[i + 1 :]] for i in range(n)]
+    if 10 <= n <= 12:
+        copies += [[("changed" if k in (i, j) else x) for k, x in enumerate(w)] for i in range(n) for j in range(i)]
+    if n == 20:
+        copies.append([("changed" if k in (3, 16) else x) for k, x in enumerate(w)])
+    texts = [f"{filler} {' '.join(c)} {filler}" for c in copies]
+    far = [("changed" if k % 3 == 0 else x) for k, x in enumerate(w)]  # more than a fifth
+    assert leaks(spark, corpus, [*texts, f"{filler} {' '.join(far)}"], [" ".join(w)]) == {(i, 0) for i in range(len(texts))}
+
+
+def test_longest_stretch():
+    import numpy as np
+
+    from catalith.llm.decontaminate import longest_stretch
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        equal = rng.random(rng.integers(0, 30)) < 0.75
+        opens, closes = (bool(x) for x in rng.integers(0, 2, 2))
+        n = len(equal)
+        good = [
+            (j - i, -j, i) for i in range(n) for j in range(i + 1, n + 1)
+            if 5 * equal[i:j].sum() >= 4 * (j - i) and (equal[i] or opens and i == 0) and (equal[j - 1] or closes and j == n)
+        ]
+        size, end, start = max(good, default=(0, 0, 0))
+        assert longest_stretch(equal, opens, closes) == (start, -end)
+
+
 def test_every_window_against_brute_force(spark, corpus, words):
     texts, items = [words() for _ in range(80)], [words() for _ in range(10)]
 
