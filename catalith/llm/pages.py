@@ -8,6 +8,10 @@ notices, adverts, forms and comments have length 0, so they neither start a
 stretch nor bridge two, and they are never kept themselves. Where the page marks
 its article, lines outside it have length 0 too.
 
+Class and id mark a line by whole names (``cookie-notice``, not ``with-sidebar``). A
+tag ends at the first > outside the quotes of its values, however long it is; after
+a quote that nothing closes, tags of that page end at their first >.
+
 A page without any stretch keeps its unmarked lines, so short articles stay.
 Null and empty pages have an empty text; nulls in page_id and url stay. Repeated
 rows are read each for itself, pages of any length whole. Other columns are
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,35 +41,43 @@ _BLOCK = frozenset(
 )
 _OUT = frozenset("nav footer aside form button select menu dialog head datalist fieldset".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-# Words in class and id that mark something other than the article.
+# Names in class and id that mark something other than the article, and words that may stand beside them in one name.
 _OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adbox sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "masthead topbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended "
     "popup modal overlay widget widgets login paywall pagination pager toolbar skip".split()
 )
+_BESIDE = frozenset(
+    "area articles bar block bottom box buttons container form icons inner item items link links list main mobile page posts primary "
+    "secondary section site stories text top wrap wrapper".split()
+)
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 
 _TAG = re.compile(r"<(?:!--|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
-#: Characters in which the end of a tag with odd quotes is looked for; beyond, its first > ends it.
-_LONGEST_TAG = 1 << 16
-_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# The rest of a tag: quotes count only where a value begins.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+>""")
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
 
 
-def _attributes(inside: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
-    marks, role, hidden = set(), "", False
+@lru_cache(4096)
+def _marks(names: str) -> frozenset[str]:
+    """Words of the names in a class or id that as a whole mark something other than the article."""
+    out: set[str] = set()
+    for name in names.lower().split():
+        words = {w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()}
+        if words & _OUT_WORDS and words <= _OUT_WORDS | _BESIDE:
+            out |= words & _OUT_WORDS
+    return frozenset(out)
+
+
+def _attributes(inside: str) -> dict[str, str]:
+    """Attributes of a tag by name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
     for m in _ATTR.finditer(inside):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role":
-            role = value.strip()
-        elif name == "hidden":
-            hidden = hidden or inside[: m.start()].rstrip()[-1:] != "="
-        else:
-            marks |= set(re.split(r"[^a-z0-9]+", value))
-    return marks, role, hidden
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
@@ -80,7 +93,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if text:
             out.append((text, not away, article > 0))
 
-    at, n, lower = 0, len(page), None
+    at, n, lower, odd = 0, len(page), None, False  # odd: a quote that nothing closes was met
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -95,8 +108,11 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if stop < 0:
             break  # a tag that the page's end cuts off
         inside = page[m.end() : stop]
-        if (inside.count('"') % 2 or inside.count("'") % 2) and (q := _QUOTED.match(page, m.end(), m.end() + _LONGEST_TAG)):
-            stop, inside = q.end() - 1, page[m.end() : q.end() - 1]
+        if not m[1] and not odd and ('"' in inside or "'" in inside):
+            if q := _REST.match(page, m.end()):
+                stop, inside = q.end() - 1, page[m.end() : q.end() - 1]
+            else:
+                odd = True
         at = stop + 1
         if m[1]:
             continue
@@ -128,7 +144,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name in _VOID or inside.endswith("/"):
             continue
-        marks, role, hidden = _attributes(inside) if inside.strip() else (set(), "", False)
+        has = _attributes(inside) if inside.strip() else {}
+        marks = _marks(has.get("class", "")) | _marks(has.get("id", ""))
+        role, hidden = has.get("role", "").strip().lower(), "hidden" in has
         talk = bool(marks & _COMMENT_WORDS)
         if name in ("article", "main") and not talk:
             if away and not any(a[2] for a in away):

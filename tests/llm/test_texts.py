@@ -112,6 +112,30 @@ def test_broken_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ['class="content with-sidebar"', 'class="post no-comments"', 'style="overflow:hidden"', 'aria-hidden="false"', 'data-x="a hidden b"', "title='class=\"ad\"'", 'id="notices-of-1848"', "it's"],
+)
+def test_attributes_that_mark_nothing(attributes):
+    assert main_text(f"<body><div {attributes}><p>One paragraph of the text.</p></div></body>") == "One paragraph of the text."
+
+
+@pytest.mark.parametrize("attributes", ['class="x ad"', "class=AD", 'id="cookie-notice-2"', "class='comments-area'", "hidden", 'hidden=""', "role=navigation", 'class="site-footer"', 'title="a>b" class="ad"'])
+def test_attributes_that_mark(attributes):
+    assert main_text(f"<body><div {attributes}>not this</div><p>One paragraph of the text.</p></body>") == "One paragraph of the text."
+
+
+@pytest.mark.parametrize("quote, other", ["\"'", "'\""])
+def test_long_attributes(quote, other):
+    value = f"{{{other}a{other}: >{other * 3}<p>no</p>}}" * 20_000
+    assert main_text(f"<p data-x={quote}{value}{quote}>One paragraph.</p><p>Two.</p>") == "One paragraph. Two."
+    assert main_text(f"<p title={quote}x>One.</p>" + "<p title=y>Two</p>" * 3) == "One. Two Two Two"
+
+
+def test_odd_quotes_take_one_pass():
+    assert len(main_text("<p title='>a</p>" + "<p title=\">b</p>" * 50_001)) > 0
+
+
 def test_page_tables(spark, none):
     df = spark.createDataFrame([(1, None, None, 3), (None, "u", "<p>x", 4), (2, "u", "<p>" * 50_000 + "y", 5)], "page_id long, url string, html string, text int")
     assert sorted(r["text"] for r in op7_html(df).collect()) == ["", "x", "y"]
