@@ -1,18 +1,21 @@
 """Main text of web pages by the distribution of line blocks.
 
 Markup is stripped into lines, one per block element, each with its length. The
-lengths are summed over sliding windows of lines; where the sum surges above a
-threshold a stretch of text begins, where it dives to nothing the stretch ends,
-and the lines between are kept. Lines inside menus, headers, footers, sidebars,
-notices, adverts, forms and comments have length 0, so they neither start a
-stretch nor bridge two, and they are never kept themselves. Where the page marks
-its article, lines outside it have length 0 too.
+lengths are summed over sliding windows of lines; where the sum surges to a
+threshold there is text, and the stretch reaches to both sides until the sum dives
+to nothing, so short lines beside text stay, however many.
+
+Marks are weights. The text of links outside headings has no length, so a menu is a
+dive wherever it stands. Lines inside menus, headers, footers, sidebars, notices,
+adverts, forms and comments are taken out before the sums, so they neither start a
+stretch nor part one. Where the page marks its article, other lines are taken out,
+too, and each line of the article has a surge's length more: all of it is kept.
 
 Class and id mark a line by whole names (``cookie-notice``, not ``with-sidebar``). A
 tag ends at the first > outside the quotes of its values, however long it is; after
 a quote that nothing closes, tags of that page end at their first >.
 
-A page without any stretch keeps its unmarked lines, so short articles stay.
+A page without any surge keeps its unmarked lines, so short articles stay.
 Null and empty pages have an empty text; nulls in page_id and url stay. Repeated
 rows are read each for itself, pages of any length whole. Other columns are
 passed over; no rows give no rows.
@@ -28,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the window sum at which text surges.
+#: Lines in a window, and the window sum at which text surges; it dives at 0.
 WINDOW, SURGE = 3, 25
 
 # Elements of the HTML standard.
@@ -52,6 +55,7 @@ _BESIDE = frozenset(
     "area articles bar block bottom box buttons container form icons inner item items link links list main mobile page posts primary "
     "secondary section site stories text top wrap wrapper".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 
 _TAG = re.compile(r"<(?:!--|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
@@ -80,26 +84,44 @@ def _attributes(inside: str) -> dict[str, str]:
     return out
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, counts, inside the marked article) of each line of the page, in order."""
-    out: list[tuple[str, bool, bool]] = []
+def _line(pieces: list[str]) -> str:
+    return _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+
+
+def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
+    """(text, counts, inside the marked article, length without links) of each line of the page, in order."""
+    out: list[tuple[str, bool, bool, int]] = []
     piece: list[str] = []
+    plain: list[str] = []  # the pieces outside links
+    link = heading = linked = False  # inside a link, inside a heading, whether the line has link text
     away: list[list] = []  # open elements that don't count: [name, depth of that name, holds comments]
     article = 0  # depth of article and main elements that count
 
     def close() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
-        piece.clear()
+        nonlocal linked
+        text = _line(piece)
         if text:
-            out.append((text, not away, article > 0))
+            rest = _line(plain) if linked else text
+            out.append((text, not away, article > 0, len(rest) if not linked or any(map(str.isalnum, rest)) else 0))
+        piece.clear()
+        plain.clear()
+        linked = False
+
+    def add(part: str) -> None:
+        nonlocal linked
+        piece.append(part)
+        if link and not heading:
+            linked = True
+        else:
+            plain.append(part)
 
     at, n, lower, odd = 0, len(page), None, False  # odd: a quote that nothing closes was met
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            piece.append(page[at:])
+            add(page[at:])
             break
-        piece.append(page[at : m.start()])
+        add(page[at : m.start()])
         if m[0] == "<!--":
             stop = page.find("-->", m.end())
             at = n if stop < 0 else stop + 3
@@ -119,6 +141,11 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         name, closing = m[3].lower(), bool(m[2])
         if name in _BLOCK:
             close()
+            if name in _HEADINGS:
+                heading = not closing
+        elif name == "a":
+            link = not closing and "href" in _attributes(inside)
+            continue
         if closing:
             if away and away[-1][0] == name:
                 away[-1][1] -= 1
@@ -165,30 +192,29 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
 
 
 def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """(first, end) of the lines between surge and dive points."""
+    """(first, end) of the lines around a surge up to the dive points; lines without length at the ends are left out."""
     sums, total = [], sum(lengths[: window - 1])
     for i in range(len(lengths)):
         total += lengths[i + window - 1] if i + window - 1 < len(lengths) else 0
         sums.append(total)
         total -= lengths[i]
     out, start, hot = [], None, False
-    for i, length in enumerate([*lengths, 0]):
-        if length:
-            start, hot = i if start is None else start, hot or sums[i] >= surge
+    for i, total in enumerate([*sums, 0]):
+        if total:
+            start, hot = i if start is None else start, hot or total >= surge
         elif start is not None:
             if hot:
-                out.append((start, i))
+                held = [k for k in range(start, i) if lengths[k]]
+                out.append((held[0], held[-1] + 1))
             start, hot = None, False
     return out
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    marked = any(counts and inside for _, counts, inside in lines)
-    lengths = [len(text) if counts and (inside or not marked) else 0 for text, counts, inside in lines]
-    kept = stretches(lengths) if not marked else []
-    if not kept:
-        kept = stretches(lengths, surge=1)
+    lines = [x for x in lines_of(page or "") if x[1]]
+    if any(inside for _, _, inside, _ in lines):
+        lines = [(text, counts, inside, length + SURGE) for text, counts, inside, length in lines if inside]
+    kept = stretches([length for *_, length in lines]) or [(0, len(lines))]
     return " ".join(lines[i][0] for a, b in kept for i in range(a, b))
 
 

@@ -136,6 +136,29 @@ def test_odd_quotes_take_one_pass():
     assert len(main_text("<p title='>a</p>" + "<p title=\">b</p>" * 50_001)) > 0
 
 
+MENU = "<div><a href=/1>Home</a></div><div><a href=/2>News</a> | <a href=/3>Sport</a></div><div><a href=/4>Contact</a></div><div><a href=/5>About this site</a></div>"
+TEXT = "A paragraph that is long enough for a surge, with <a href=/x>a link</a> in it."
+PLAIN = "A paragraph that is long enough for a surge, with a link in it."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div>{MENU}</div><h2><a href=/t>Title</a></h2><p>{TEXT}</p>", f"Title {PLAIN}"),
+        (f"<p>{TEXT}</p>{MENU}<p>{TEXT}</p>{MENU}", f"{PLAIN} {PLAIN}"),
+        (f"<p>{TEXT}</p><p>No.</p><p>Yes.</p><p>So?</p><p>Ah.</p><p>{TEXT}</p>", f"{PLAIN} No. Yes. So? Ah. {PLAIN}"),
+        (f"<p>{TEXT}</p><div class=ad>Buy this</div><p>Short one.</p><div class=ad>Buy that</div><p>{TEXT}</p>", f"{PLAIN} Short one. {PLAIN}"),
+        (f"<p>{TEXT}</p>{MENU}<p>Imprint</p>", PLAIN),
+        (f"{MENU}<article><p>No.</p><p><a href=/x>Link</a></p></article><p>{TEXT}</p>", "No. Link"),
+        ("<p><a href=/1>Only</a><p><a href=/2>links</a>", "Only links"),
+        ("<p>Short.</p>", "Short."),
+        (f"<a name=top><p>{TEXT}</p>", PLAIN),
+    ],
+)
+def test_surge_and_dive(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_page_tables(spark, none):
     df = spark.createDataFrame([(1, None, None, 3), (None, "u", "<p>x", 4), (2, "u", "<p>" * 50_000 + "y", 5)], "page_id long, url string, html string, text int")
     assert sorted(r["text"] for r in op7_html(df).collect()) == ["", "x", "y"]
