@@ -379,8 +379,11 @@ def dup_samples(t):
 _VALUES = """v AS (SELECT DISTINCT l_orderkey AS resource_id, 'ex:part' AS term, 'p' || (l_partkey % 40) AS value, CASE WHEN l_suppkey % 3 > 0 THEN 'l' || l_suppkey % 3 END AS lang FROM lineitem WHERE l_orderkey BETWEEN 1 AND 2000)"""
 
 
-def _line_values(t) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey between 1 and 2000").select(
+_ALL_VALUES = _VALUES.replace(" WHERE l_orderkey BETWEEN 1 AND 2000", "")
+
+
+def _line_values(t, lines: str = "l_orderkey between 1 and 2000") -> DataFrame:
+    rows = t.lineitem.where(lines).select(
         F.col("l_orderkey").alias("resource_id"),
         F.lit("ex:part").alias("term"),
         F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("value"),
@@ -416,6 +419,34 @@ def merge_pairs(t):
     return done.select("resource_id", "value", "lang")
 
 
+@query(
+    "merge_values_all",
+    f"""WITH {_ALL_VALUES}, n AS (SELECT resource_id AS pair, value, lang FROM v WHERE resource_id % 2 = 0), o AS (SELECT resource_id + 1 AS pair, value, lang FROM v WHERE resource_id % 2 = 1)
+SELECT pair, value, lang, false AS added FROM n UNION ALL SELECT pair, value, lang, true FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pair = o.pair AND n.value = o.value AND n.lang IS NOT DISTINCT FROM o.lang)""",
+)
+def merge_values_all(t):
+    """All orders: the values of each even one, and what the odd one before it has alone."""
+    rows = _line_values(t, "true")
+    newer = rows.where("resource_id % 2 = 0").withColumn("pair", F.col("resource_id"))
+    older = rows.where("resource_id % 2 = 1").withColumn("pair", F.col("resource_id") + 1)
+    return values.union_values(newer, older).select("pair", "value", "lang", "added")
+
+
+@query(
+    "merge_pairs_all",
+    f"""WITH {_ALL_VALUES}, k AS (SELECT DISTINCT resource_id AS id FROM v), p AS (SELECT a.id AS old, b.id AS new FROM k a JOIN k b ON b.id = a.id + 1 WHERE a.id % 2 = 1),
+n AS (SELECT resource_id, value, lang FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE old = resource_id)), o AS (SELECT new AS resource_id, value, lang FROM v JOIN p ON old = resource_id)
+SELECT resource_id, value, lang FROM n UNION ALL SELECT resource_id, value, lang FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.resource_id = o.resource_id AND n.value = o.value AND n.lang IS NOT DISTINCT FROM o.lang)""",
+)
+def merge_pairs_all(t):
+    """All orders: each odd one merged into the even one after it, where both are present."""
+    rows = _line_values(t, "true")
+    ids = rows.select("resource_id").distinct()
+    new = ids.select(F.col("resource_id").alias("new"), (F.col("resource_id") - 1).alias("old"))
+    pairs = ids.where("resource_id % 2 = 1").withColumnRenamed("resource_id", "old").join(new, "old")
+    return changes.apply(rows, changes.merge_pairs(rows, pairs)).select("resource_id", "value", "lang")
+
+
 @query("union_sets", """SELECT o_custkey, array_to_string(list_concat(n, list_filter(o, lambda x: NOT list_contains(n, x))), ',') AS sets FROM (
   SELECT o_custkey, coalesce(list_sort(list(o_orderkey % 7) FILTER (o_orderkey % 2 = 0)), []) AS n, coalesce(list_sort(list(o_orderkey % 7) FILTER (o_orderkey % 2 = 1)), []) AS o FROM orders GROUP BY o_custkey)""")
 def union_sets(t):
@@ -784,17 +815,34 @@ def enrich_idempotent(t):
 
 @query("apply_inserts", f"""WITH {_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders WHERE o_orderkey <= 2000""")
 def apply_inserts(t):
-    new = t.orders.where("o_orderkey <= 2000").select(
+    return _inserted(_line_values(t), t.orders.where("o_orderkey <= 2000"))
+
+
+@query("apply_inserts_all", f"""WITH {_ALL_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders""")
+def apply_inserts_all(t):
+    return _inserted(_line_values(t, "true"), t.orders)
+
+
+def _inserted(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    new = orders.select(
         F.col("o_orderkey").alias("resource_id"), F.lit("ex:part").alias("term"), F.lit(0).alias("pos"), F.lit("literal").alias("type"), F.concat(F.lit("p"), (F.col("o_custkey") % 40).cast("string")).alias("value")
     )
     new = changes.change(new, "insert")
-    once = changes.apply(_line_values(t), new)
+    once = changes.apply(rows, new)
     return changes.apply(once, new).select("resource_id", "value", "lang")
 
 
 @query("apply_updates", f"""WITH {_VALUES} SELECT resource_id, CASE WHEN resource_id % 10 = 1 THEN 'X' ELSE value END AS value, lang FROM v WHERE resource_id % 10 > 0""")
 def apply_updates(t):
-    rows = _line_values(t)
+    return _updated(_line_values(t))
+
+
+@query("apply_updates_all", f"""WITH {_ALL_VALUES} SELECT resource_id, CASE WHEN resource_id % 10 = 1 THEN 'X' ELSE value END AS value, lang FROM v WHERE resource_id % 10 > 0""")
+def apply_updates_all(t):
+    return _updated(_line_values(t, "true"))
+
+
+def _updated(rows: DataFrame) -> DataFrame:
     updates = changes.change(rows.where("resource_id % 10 = 1").withColumn("value", F.lit("X")), "update")
     drops = changes.change(rows.where("resource_id % 10 = 0").select("resource_id").distinct(), "drop")
     return changes.apply(rows, updates.unionByName(drops)).select("resource_id", "value", "lang")

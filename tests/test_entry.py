@@ -35,3 +35,12 @@ def test_rows_only_queries(spark):
     for name in sorted(set(entry.QUERIES) - set(entry.SQL)):
         assert entry.QUERIES[name](spark, FOLDER).count() > 0
     assert entry.entry(spark).count() > 0
+
+
+def test_merges_take_every_order_and_pair():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("create view lineitem as select unnest([1, 2, 3, 2001, 2002]) as l_orderkey, 1 as l_partkey, 3 as l_suppkey")
+    con.execute("create view orders as select 3000 as o_orderkey, 1 as o_custkey")
+    ids = {n: sorted(r[0] for r in con.execute(entry.SQL[n]).fetchall()) for n in ("merge_pairs_all", "apply_inserts_all", "apply_updates_all")}
+    assert ids == {"merge_pairs_all": [2, 3, 2002], "apply_inserts_all": [1, 2, 3, 2001, 2002, 3000], "apply_updates_all": [1, 2, 3, 2001, 2002]}
