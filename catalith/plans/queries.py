@@ -190,9 +190,23 @@ i AS (SELECT doc_id AS k, source FROM documents WHERE doc_id % 3 = 0)
 SELECT coalesce(i.k, g.k) AS k, source, general FROM i FULL JOIN g ON i.k = g.k""",
 )
 def outer_general(t):
+    return _with_general(t, t.documents.where("doc_id % 3 = 0"))
+
+
+def _with_general(t, documents: DataFrame) -> DataFrame:
     said = t.conversations.where("role = 'user'").select(F.col("conv_id").alias("k"), F.struct("turn", "role", "text").alias("at"), "text")
     general = aggregates.join_texts(said, ["k"], "text", "at").select("k", F.md5("text").alias("general"))
-    return reconcile.outer(t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), "source"), general, "k")
+    return reconcile.outer(documents.select(F.col("doc_id").alias("k"), "source"), general, "k")
+
+
+@query(
+    "outer_general_all",
+    """WITH g AS (SELECT conv_id AS k, md5(string_agg(text, ' ' ORDER BY turn, role, text)) AS general FROM conversations WHERE role = 'user' GROUP BY conv_id),
+i AS (SELECT doc_id AS k, source FROM documents)
+SELECT coalesce(i.k, g.k) AS k, source, general FROM i FULL JOIN g ON i.k = g.k""",
+)
+def outer_general_all(t):
+    return _with_general(t, t.documents)
 
 
 @query("checkpoint_left", """SELECT d.doc_id, quality AS quality_processed, quality IS NULL AS todo FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
@@ -229,6 +243,19 @@ def derived_parent(t):
     return reconcile.with_parents(records, known, "identifier").select("identifier", "collection")
 
 
+@query(
+    "derived_parent_all",
+    """WITH r AS (SELECT DISTINCT printf('AB-001-G-F-%04d-%03d-R%04d', l_orderkey, l_suppkey % 1000, l_linenumber) AS id FROM lineitem),
+k AS (SELECT printf('AB-001-G-F-%04d', o_orderkey) AS id FROM orders)
+SELECT r.id AS identifier, k.id AS collection FROM r LEFT JOIN k ON regexp_replace(r.id, '-[0-9]{3}-R[0-9]+$', '') = k.id""",
+)
+def derived_parent_all(t):
+    """Every order with its own id, of four digits or more."""
+    records = t.lineitem.select(F.format_string("AB-001-G-F-%04d-%03d-R%04d", "l_orderkey", F.col("l_suppkey") % 1000, "l_linenumber").alias("identifier")).distinct()
+    known = t.orders.select(F.format_string("AB-001-G-F-%04d", "o_orderkey").alias("id"))
+    return reconcile.with_parents(records, known, "identifier").select("identifier", "collection")
+
+
 @query(
     "prefix_children",
     """WITH c AS (SELECT DISTINCT printf('F%d-R%04d', l_orderkey, l_linenumber) AS child FROM lineitem), p AS (SELECT printf('F%d', o_orderkey) AS parent FROM orders)
@@ -733,6 +760,12 @@ def url_language(t):
     return changed.select("page_id", F.regexp_replace("u", r"\?lang=de$", "").alias("url"))
 
 
+@query("url_language_all", """SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'lang=de' AS url FROM pages""")
+def url_language_all(t):
+    """Every page; no url of the tables has the parameter before."""
+    return t.pages.select("page_id", text.set_query_parameter(F.col("url"), "lang", "de").alias("url"))
+
+
 @query("partial_dates", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('year', o_orderdate)::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE ELSE o_orderdate::DATE END AS date_from,
   CASE o_orderkey % 3 WHEN 0 THEN (date_trunc('year', o_orderdate) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE WHEN 1 THEN last_day(o_orderdate::DATE) ELSE o_orderdate::DATE END AS date_to,
   CASE o_orderkey % 3 WHEN 0 THEN 'year' WHEN 1 THEN 'month' ELSE 'day' END AS precision FROM orders""")
