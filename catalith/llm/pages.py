@@ -1,24 +1,28 @@
 """Main text of web pages by the distribution of line blocks.
 
-Markup is stripped into lines, one per block element, each with its length. The
-lengths are summed over sliding windows of lines; where the sum surges to a
-threshold there is text, and the stretch reaches to both sides until the sum dives
-to nothing, so short lines beside text stay, however many.
-
-Marks are weights. The text of links outside headings has no length, so a menu is a
-dive wherever it stands. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms and comments are taken out before the sums, so they neither start a
-stretch nor part one. Where the page marks its article, other lines are taken out,
-too, and each line of the article has a surge's length more: all of it is kept.
+Markup is stripped into lines, one per block element. Each line has a weight: the
+length of its text outside links, more where it ends a sentence, is a heading or
+stands in the marked article, and nothing where it has no text outside links. The
+weights are summed over sliding windows of lines. Where a sum reaches ``SURGE``
+there is text; the stretch goes on to both sides until a sum dives below ``DIVE``,
+as over a run of short lines. Short lines at the ends of a stretch are left out.
+This is so on every page, with an article element or without.
+
+Tags cut lines and set weights. Lines inside menus, footers, asides, forms and what
+a class or id names as advert, notice, comments and the like weigh nothing and are
+passed over, so they neither start a stretch nor part one. A class or id that marks
+nearly all text of a page (a wrapper) marks nothing, comments excepted. Where the
+page marks its article, lines outside it are passed over; lines in it weigh more, so
+its short paragraphs and lists don't dive, but runs of lines that are only links do.
 
 Class and id mark a line by whole names (``cookie-notice``, not ``with-sidebar``). A
 tag ends at the first > outside the quotes of its values, however long it is; after
 a quote that nothing closes, tags of that page end at their first >.
 
-A page without any surge keeps its unmarked lines, so short articles stay.
-Null and empty pages have an empty text; nulls in page_id and url stay. Repeated
-rows are read each for itself, pages of any length whole. Other columns are
-passed over; no rows give no rows.
+A page without any surge keeps its lines that aren't passed over, so short articles
+stay. Null and empty pages have an empty text; nulls in page_id and url stay.
+Repeated rows are read each for itself, pages of any length whole. Other columns are
+passed over, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +30,18 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the window sum at which text surges; it dives at 0.
-WINDOW, SURGE = 3, 25
+#: Lines in a window, and the sums at which text surges and dives.
+WINDOW, SURGE, DIVE = 3, 75, 45
+#: What a sentence's end or a heading, and the marked article add to a line's weight; lighter lines don't end a stretch.
+CLOSED, MARKED, LIGHT = 25, 30, 25
+#: Share of a page's text from which on a class or id that holds it marks nothing.
+WHOLE = 0.9
 
 # Elements of the HTML standard.
 _RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp noembed noframes".split())
@@ -63,6 +72,7 @@ _TAG = re.compile(r"<(?:!--|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 _REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+>""")
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>][^\s>]*)))?""")
 _SPACE = re.compile(r"\s+")
+_ENDS = frozenset(".!?:;\u2026\"'\u201d\u00bb")
 
 
 @lru_cache(4096)
@@ -88,21 +98,41 @@ def _line(pieces: list[str]) -> str:
     return _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, counts, inside the marked article, length without links) of each line of the page, in order."""
-    out: list[tuple[str, bool, bool, int]] = []
+@dataclass(frozen=True)
+class Line:
+    """``plain``: length outside links; ``out``: inside an element that isn't the article;
+    ``marks``: (number, whether of comments) of the elements around it that a class or id marks."""
+
+    text: str
+    plain: int
+    heading: bool
+    out: bool
+    marks: tuple[tuple[int, bool], ...]
+    article: bool
+
+    def weight(self) -> int:
+        if not self.plain:
+            return 0
+        return self.plain + CLOSED * (self.heading or self.text[-1] in _ENDS) + MARKED * self.article
+
+
+def lines_of(page: str) -> list[Line]:
+    """Each line of the page, in order."""
+    out: list[Line] = []
     piece: list[str] = []
     plain: list[str] = []  # the pieces outside links
     link = heading = linked = False  # inside a link, inside a heading, whether the line has link text
-    away: list[list] = []  # open elements that don't count: [name, depth of that name, holds comments]
-    article = 0  # depth of article and main elements that count
+    away: list[list] = []  # open elements that don't count: [name, depth of that name, holds comments, number if a class or id marks it]
+    article = serial = 0  # depth of article and main elements that count; marked elements so far
 
     def close() -> None:
         nonlocal linked
         text = _line(piece)
         if text:
             rest = _line(plain) if linked else text
-            out.append((text, not away, article > 0, len(rest) if not linked or any(map(str.isalnum, rest)) else 0))
+            length = len(rest) if not linked or any(map(str.isalnum, rest)) else 0
+            marks = tuple((a[3], a[2]) for a in away if a[3])
+            out.append(Line(text, length, heading, len(marks) < len(away), marks, article > 0))
         piece.clear()
         plain.clear()
         linked = False
@@ -185,37 +215,60 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             away.clear()
         elif away and away[-1][0] == name:
             away[-1][1] += 1
-        elif name in _OUT or role in _OUT_ROLES or hidden or marks & _OUT_WORDS or name == "header" and not article:
-            away.append([name, 1, talk])
+        elif name in _OUT or role in _OUT_ROLES or hidden or name == "header" and not article:
+            away.append([name, 1, talk, 0])
+        elif marks & _OUT_WORDS:
+            serial += 1
+            away.append([name, 1, talk, serial])
     close()
     return out
 
 
-def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
-    """(first, end) of the lines around a surge up to the dive points; lines without length at the ends are left out."""
-    sums, total = [], sum(lengths[: window - 1])
-    for i in range(len(lengths)):
-        total += lengths[i + window - 1] if i + window - 1 < len(lengths) else 0
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[tuple[int, int]]:
+    """(first, end) of the lines in windows around a surge, up to the dives; light lines at the ends are left out."""
+    window = min(window, len(weights))
+    sums = []
+    total = sum(weights[: window - 1]) if window else 0
+    for i in range(len(weights) - window + 1 if window else 0):
+        total += weights[i + window - 1]
         sums.append(total)
-        total -= lengths[i]
-    out, start, hot = [], None, False
-    for i, total in enumerate([*sums, 0]):
-        if total:
-            start, hot = i if start is None else start, hot or total >= surge
-        elif start is not None:
-            if hot:
-                held = [k for k in range(start, i) if lengths[k]]
-                out.append((held[0], held[-1] + 1))
-            start, hot = None, False
+        total -= weights[i]
+    out, start, hot = [], 0, False
+    for i, total in enumerate([*sums, -1]):
+        if total >= dive:
+            hot = hot or total >= surge
+            continue
+        if hot:
+            a, b = start, i + window - 1
+            while a < b and weights[a] < LIGHT:
+                a += 1
+            while a < b and weights[b - 1] < LIGHT:
+                b -= 1
+            out.append((a, b))
+        start, hot = i + 1, False
     return out
 
 
+def candidates(lines: list[Line]) -> list[Line]:
+    """The lines that aren't passed over."""
+    lines = [x for x in lines if not x.out]
+    inside = [x for x in lines if x.article and not x.marks]
+    if inside:
+        return inside
+    held: dict[tuple[int, bool], int] = {}
+    for x in lines:
+        for m in x.marks:
+            held[m] = held.get(m, 0) + x.plain
+    total = sum(x.plain for x in lines)
+    whole = {m for m, n in held.items() if not m[1] and n >= WHOLE * total}
+    return [x for x in lines if whole.issuperset(x.marks)]
+
+
 def main_text(page: str | None) -> str:
-    lines = [x for x in lines_of(page or "") if x[1]]
-    if any(inside for _, _, inside, _ in lines):
-        lines = [(text, counts, inside, length + SURGE) for text, counts, inside, length in lines if inside]
-    kept = stretches([length for *_, length in lines]) or [(0, len(lines))]
-    return " ".join(lines[i][0] for a, b in kept for i in range(a, b))
+    lines = candidates(lines_of(page or ""))
+    kept = stretches([x.weight() for x in lines])
+    some = sorted({i for a, b in kept for i in range(a, b)}) if kept else range(len(lines))
+    return " ".join(lines[i].text for i in some)
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
