@@ -19,7 +19,8 @@ from catalith.llm.near_dup import op1_minhash
 from catalith.llm.pages import op7_html
 from catalith.llm.pii import op4_pii
 from catalith.llm.quality import op8_quality
-from catalith.llm.repeats import op9_bytes, op10_words
+from catalith.llm.substrings import op10_words
+from catalith.llm.suffixes import op9_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 

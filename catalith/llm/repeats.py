@@ -1,28 +1,28 @@
 """Repeated passages: what a document shares with documents of smaller id.
 
-A passage is a run of ``length`` symbols, bytes or words. Comparing all runs
-would move many times the corpus, so the work is narrowed step by step, and each
-step is exact: it only puts aside runs that cannot have an equal run elsewhere.
-
-1. Documents are packed into segments, compressed. Whole copies are found by a
-   digest of the text; only the first copy takes part in what follows.
-2. Seeds. Among the q-grams of each run, the one with the least identifier is its
-   seed; equal runs have equal seeds wherever they stand (winnowing). Consecutive
-   runs with one seed form a stretch. Segments send their distinct seeds to
-   buckets; a bucket answers with one bit for each seed: also in another segment
-   or not.
-3. Refinement. Stretches whose seed occurs elsewhere are sent to the seed's
-   bucket, once for each distinct stretch of a segment, with the least document
-   id. There the bucket is refined: q-gram identifiers at later offsets are
-   joined into identifiers of runs, sorting brings equal runs together, and a bit
-   for each run goes back: it also starts in a smaller document or not.
-4. Each segment covers the symbols of marked runs, which extends the seeds both
-   ways to maximal repeats.
-
-Messages are one row per segment and bucket, so that rows stay few and a common
-passage counts once per segment, however many documents hold it. Only answers of
-a bit per seed and run return to the segments, which stay where they are: they
-are partitioned by segment once.
+A passage is a window of ``length`` symbols, bytes or words. Comparing all windows
+would move many times the corpus, so only windows that may have an equal one
+elsewhere are compared; how they are is the ``Method`` (``suffixes``, ``substrings``).
+
+1. Documents are packed into segments, compressed, and segments dealt into parts,
+   each of which stays in one partition. Whole copies are found by a digest of the
+   text; only the first copy takes part in what follows.
+2. Seeds. Among the q-grams of each window, the one with the least identifier is its
+   seed, so equal windows have equal seeds wherever they stand (winnowing). Parts
+   send their segments' distinct seeds to hash ranges; a range answers with one bit
+   for each seed, whether another segment has it, too, and one for frequent seeds.
+3. Units are the places of seeds with the windows around them. Units whose seed
+   occurs elsewhere are sent to the seed's range, once for each distinct content of a
+   segment, with the least document id. There the method compares them, and a bit for
+   each window goes back: it also starts in a smaller document or not.
+4. Seeds with ``HOT`` units or more aren't compared in one task: their windows are
+   grouped by a 64-bit identifier of the whole window, with partial sums, and the
+   least document id of each goes back. Results are the same.
+5. Each segment covers the symbols of marked windows.
+
+A message is one row for a part and a range. Both grow with the root of the corpus
+once that exceeds ``PART``, so that rows stay proportional to the corpus, four or
+more to every 4 KB. Segments stay where they are; only answers come back to them.
 
 Rows with a null doc_id are taken as the largest id; rows of equal doc_id don't
 remove from each other; null and empty texts have no symbols. A text longer than
@@ -33,160 +33,114 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.llm.common import cut
-from catalith.llm.grams import BLANK, BYTE, join_ids, mix, qgrams, sliding_min, tokens, utf8
-
-#: Bytes of text in a segment, and of text for each bucket and partition.
-SEGMENT, BUCKET, PARTITION = 2 << 20, 8 << 20, 16 << 20
+from catalith.llm.grams import mix, utf8
+
+#: Bytes of text in a segment, and at least in a part, for a range and for each partition.
+SEGMENT, PART, RANGE, PARTITION = 2 << 20, 4 << 20, 2 << 20, 16 << 20
+#: Bytes of text for each message, as the square root's factor.
+MESSAGE = 4096
+#: Units of one seed from which on its windows are grouped by their identifiers.
+HOT = 1 << 16
 #: Tasks over which the copies of one text are spread.
 SALTS = 16
-#: Symbols that are worked on at a time, so that arrays stay in the cache.
-BLOCK = 1 << 16
 LAST = np.iinfo(np.int64).max
 
 _U = np.uint64
 
 
-@dataclass(frozen=True)
-class Unit:
-    """``length``: symbols in a run; ``gram``: in a seed; ``words``: symbols are words, else bytes."""
-
-    words: bool
-    length: int
-    gram: int
-
-    def symbols(self, text: np.ndarray, at: np.ndarray):
-        """Symbol identifiers (or the bytes themselves) and the first symbol of each text."""
-        if not self.words:
-            return text, at
-        ids, first = [], [np.zeros(1, np.int64)]
-        step = np.unique(np.searchsorted(at, np.arange(at[0], at[-1] + 1, BLOCK * 8), "left").clip(0, len(at) - 1)).tolist()
-        step = sorted({0, *step, len(at) - 1})
-        total = 0
-        for i, j in itertools.pairwise(step):
-            got, _, _, begin = tokens(text, at[i : j + 1], BYTE, BLANK)
-            ids.append(got)
-            first.append(begin[1:] + total)
-            total += len(got)
-        return (np.concatenate(ids) if ids else np.zeros(0, _U)), np.concatenate(first)
-
-    def runs(self, symbols: np.ndarray, n: int, ids_of=None) -> tuple[np.ndarray, np.ndarray]:
-        """For each start: the run's identifier and its seed key (undefined near the end)."""
-        run, key = np.zeros(n, _U), np.zeros(n, _U)
-        places = self.length - self.gram + 1
-        for s in range(0, n - self.length + 1, BLOCK):
-            part = symbols[s : s + BLOCK + self.length - 1]
-            gram = qgrams(part if self.words else BYTE[part], self.gram)
-            m = len(gram) - places + 1
-            run[s : s + m] = join_ids(gram[:m], gram[self.length - self.gram :][:m]) if 2 * self.gram >= self.length else qgrams(part if self.words else BYTE[part], self.length)
-            gram = mix(gram)
-            gram &= ~_U(63)
-            gram |= (np.arange(s, s + len(gram), dtype=_U)) & _U(63)
-            key[s : s + m] = sliding_min(gram, places)
-        return run, key
-
-
-BYTES = Unit(False, 50, 25)
-WORDS = Unit(True, 13, 7)
-
-
 @dataclass
 class Segment:
-    """Runs of one segment, grouped into stretches with one seed."""
+    """Symbols and units of one segment.
+
+    ``first``: first symbol of each document; ``run``: an identifier for each window;
+    for each unit ``lo`` and ``count``: its first window and how many follow one another,
+    ``seed`` and ``place``: the seed's identifier and where it stands.
+    """
 
-    unit: Unit
     ids: np.ndarray
     first: np.ndarray
     symbols: np.ndarray
     run: np.ndarray
     lo: np.ndarray
-    hi: np.ndarray
+    count: np.ndarray
     seed: np.ndarray
-    doc: np.ndarray
-
-    @classmethod
-    def read(cls, unit: Unit, text: np.ndarray, at: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> Segment:
-        symbols, first = unit.symbols(text, at)
-        n = len(symbols)
-        run, key = unit.runs(symbols, n)
-        step = np.zeros(n + 1, np.int32)
-        long = (np.diff(first) >= unit.length) & ~copies
-        np.add.at(step, first[:-1][long], 1)
-        np.add.at(step, first[1:][long] - unit.length + 1, -1)
-        valid = np.cumsum(step[:n]) > 0
-        same = np.zeros(n + 1, bool)
-        same[1:n] = valid[1:] & valid[:-1] & (key[1:] == key[:-1])
-        lo = np.flatnonzero(valid & ~same[:n])
-        hi = np.flatnonzero(valid & ~same[1:])
-        seed = mix(key[lo] & ~_U(63))
-        return cls(unit, ids, first, symbols, run, lo, hi, seed, np.searchsorted(first, lo, "right") - 1)
-
-    def seeds(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct seeds by bucket, and where each bucket begins."""
-        distinct = np.unique(self.seed)
-        bucket = (distinct % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return distinct[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-    def stretches(self, buckets: int, bits: dict[int, bytes]):
-        """What step 3 sends: (distinct stretches by bucket, where buckets begin, owner ids, of which stretch each shared one is, shared)."""
-        seeds, begin = self.seeds(buckets)
-        shared = np.zeros(len(seeds), bool)
-        for b, got in bits.items():
-            i, j = begin[b], begin[b + 1]
-            shared[i:j] = np.unpackbits(np.frombuffer(got, np.uint8), count=j - i).astype(bool)
-        elsewhere = np.sort(seeds[shared])
-        found = np.searchsorted(elsewhere, self.seed)
-        mine = np.zeros(len(self.seed), bool)
-        if len(elsewhere):
-            mine = elsewhere[found.clip(max=len(elsewhere) - 1)] == self.seed
-        at = np.flatnonzero(mine)
-        lo, hi = self.lo[at], self.hi[at]
+    place: np.ndarray
+    owner: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.owner = self.ids[np.searchsorted(self.first, self.lo, "right") - 1]
+
+    def seeds(self, ranges_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct seeds, their ranges and numbers of units, by range."""
+        distinct, units = np.unique(self.seed, return_counts=True)
+        to = (distinct % _U(ranges_)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        return distinct[order], to[order], units[order]
+
+    def distinct(self, units: np.ndarray, ranges_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first unit of each content by range, their ranges, of which of them each unit is a copy)."""
         total = np.cumsum(self.run)
+        lo, hi = self.lo[units], self.lo[units] + self.count[units] - 1
         name = total[hi] - np.where(lo > 0, total[lo - 1], _U(0))
-        name = mix(name + self.seed[at] * _U(0x9E3779B97F4A7C15) + (hi - lo).astype(_U))
-        owner = self.ids[self.doc[at]]
-        bucket = (self.seed[at] % _U(buckets)).astype(np.int64)
-        order = np.lexsort((at, owner, name, bucket))
+        name = mix(name + self.seed[units] * _U(0x9E3779B97F4A7C15) + ((self.place[units] - lo) * 256 + hi - lo).astype(_U))
+        to = (self.seed[units] % _U(ranges_)).astype(np.int64)
+        order = np.lexsort((units, self.owner[units], name, to))
         new = np.ones(len(order), bool)
         new[1:] = name[order][1:] != name[order][:-1]
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         heads = order[new]
-        return at[heads], np.searchsorted(bucket[heads], np.arange(buckets + 1)), owner[heads], of, at
-
-    def local(self) -> np.ndarray:
-        """Marks of runs that also start in a smaller document of this segment."""
-        marks = np.zeros(len(self.run), bool)
-        order = np.argsort(self.seed, kind="stable")
-        seed = self.seed[order]
-        twice = np.zeros(len(seed), bool)
-        equal = seed[1:] == seed[:-1]
-        twice[1:] |= equal
-        twice[:-1] |= equal
-        at = order[twice]
-        starts, count = ranges(self.lo[at], self.hi[at] + 1)
-        mark = smaller(self.run[starts], np.repeat(self.ids[self.doc[at]], count))
-        marks[starts[mark]] = True
-        return marks
+        return units[heads], to[heads], of
 
-    def cover(self, marks: np.ndarray) -> np.ndarray:
+    def cover(self, marks: np.ndarray, length: int) -> np.ndarray:
         step = np.zeros(len(self.symbols) + 1, np.int32)
         at = np.flatnonzero(marks)
         step[at] += 1
-        np.add.at(step, at + self.unit.length, -1)
+        np.add.at(step, at + length, -1)
         return np.cumsum(step[:-1]) > 0
 
 
+@dataclass(frozen=True)
+class Method:
+    """How windows are found and compared.
+
+    ``read(text, at, ids, copies)`` makes a Segment. ``send(segment, units)`` gives the
+    bytes to compare, as one array and each unit's share of it. ``compare(seed, count,
+    place, owner, load, sizes)`` tells for each window of each unit the least owner.
+    """
+
+    words: bool
+    length: int
+    read: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Segment]
+    send: Callable[[Segment, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    compare: Callable[..., np.ndarray]
+
+    def local(self, segment: Segment) -> np.ndarray:
+        """Marks of windows that also start in a smaller document of this segment."""
+        marks = np.zeros(len(segment.run), bool)
+        order = np.argsort(segment.seed, kind="stable")
+        units = order[repeated(segment.seed[order])]
+        if len(units):
+            units = units[np.argsort(units)]
+            load, sizes = self.send(segment, units)
+            place = segment.place[units] - segment.lo[units]
+            least = self.compare(segment.seed[units], segment.count[units], place, segment.owner[units], load, sizes)
+            starts, count = ranges(segment.lo[units], segment.lo[units] + segment.count[units])
+            marks[starts[least < np.repeat(segment.owner[units], count)]] = True
+        return marks
+
+
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges [lo, hi), and the count of each range."""
     count = hi - lo
@@ -196,26 +150,42 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(count.sum()) + np.repeat(lo - begin, count), count
 
 
-def smaller(run: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether a run with the same identifier has a smaller owner; sorting refines the buckets."""
-    if not len(run):
-        return np.zeros(0, bool)
-    order = np.argsort(run)
-    run, own = run[order], owner[order]
-    new = np.ones(len(run), bool)
-    new[1:] = run[1:] != run[:-1]
-    begin = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.append(begin, len(run))))
-    out = np.empty(len(run), bool)
-    out[order] = least < own
+def starts(n: int, first: np.ndarray, length: int, copies: np.ndarray) -> np.ndarray:
+    """Which of n symbols start a window within one document that isn't a copy."""
+    step = np.zeros(n + 1, np.int32)
+    long = (np.diff(first) >= length) & ~copies
+    np.add.at(step, first[:-1][long], 1)
+    np.add.at(step, first[1:][long] - length + 1, -1)
+    return np.cumsum(step[:n]) > 0
+
+
+def repeated(x: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array occur twice or more."""
+    out = np.zeros(len(x), bool)
+    equal = x[1:] == x[:-1]
+    out[1:] |= equal
+    out[:-1] |= equal
     return out
 
 
+def blocks(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Indices of rows in blocks of ``most`` bytes or one key; equal keys stay together."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.append(np.flatnonzero(keys[order][1:] != keys[order][:-1]) + 1, len(order))
+    total = np.cumsum(sizes[order])
+    i = 0
+    while i < len(order):
+        past = np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")
+        k = max(int(np.searchsorted(ends, past, "right")) - 1, int(np.searchsorted(ends, i, "right")))
+        yield order[i : ends[k]]
+        i = int(ends[k])
+
+
 # --- segments ----------------------------------------------------------------
 
 
-def _pack(docs: DataFrame, partitions: int) -> DataFrame:
-    """Segments: seg, ids, digests, at (offsets) and the compressed text."""
+def _pack(docs: DataFrame, parts: int, partitions: int) -> DataFrame:
+    """Segments: part, seg, ids, digests, at (offsets), the compressed text, and lead: first of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -248,163 +218,284 @@ def _pack(docs: DataFrame, partitions: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "seg long, ids array<long>, digests array<binary>, at array<long>, text binary"
     )
-    return rows.repartition(partitions, "seg")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("seg"), F.lit(parts))).repartition(partitions, "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("seg"))
+    return dealt.withColumn("lead", place == 1)
 
 
 def _checkpoint_partitioned(df: DataFrame) -> DataFrame:
-    """A checkpoint that still knows how its rows are partitioned (not so under adaptive execution)."""
+    """A checkpoint that still knows how its rows are partitioned, which adaptive plans don't.
+
+    Only planning, which takes an instant, sees the changed setting.
+    """
     conf = df.sparkSession.conf
     before = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df)
+        df._jdf.queryExecution().executedPlan()
     finally:
         conf.set("spark.sql.adaptive.enabled", before)
-
-
-def _segments(unit: Unit, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Segment, np.ndarray, np.ndarray]]:
-    """(row without text, segment, text, offsets), one at a time."""
+    return cut(df)
+
+
+class Flags:
+    """A part's answer bits by range, taken in the order in which its segments asked."""
+
+    def __init__(self, rows: list[dict], name: str, ranges_: int) -> None:
+        size = np.zeros(ranges_ + 1, np.int64)
+        rows = sorted(rows, key=lambda r: r["to"])
+        for r in rows:
+            size[r["to"] + 1] = 8 * r["size"]
+        self.base = np.cumsum(size)
+        bits = b"".join(r[name] or bytes(r["size"]) for r in rows)
+        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        self.used = np.zeros(ranges_, np.int64)
+
+    def take(self, to: np.ndarray) -> np.ndarray:
+        """The bits for entries sent to the ranges ``to``, which are in order."""
+        if not len(to):
+            return np.zeros(0, bool)
+        begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        n = np.diff(np.append(begin, len(to)))
+        at = self.base[to] + self.used[to] + np.arange(len(to)) - np.repeat(begin, n)
+        self.used[to[begin]] += n
+        return self.bits[at]
+
+
+class Part:
+    """What a part's first row brings: whole copies and answers."""
+
+    def __init__(self, row: dict, ranges_: int) -> None:
+        self.copies: dict[int, list[int]] = {}
+        for c in row.get("copies") or []:
+            self.copies.setdefault(c["seg"], []).append(c["at"])
+        self.shared = Flags(row.get("seeds") or [], "bits", ranges_)
+        self.frequent = Flags(row.get("seeds") or [], "hot", ranges_)
+        self.runs = Flags(row.get("runs") or [], "bits", ranges_)
+        hot = row.get("hot") or []
+        self.hot = np.array([h["run"] for h in hot], np.int64).view(_U)
+        self.least = np.array([h["least"] for h in hot], np.int64)
+        order = np.argsort(self.hot)
+        self.hot, self.least = self.hot[order], self.least[order]
+
+    def units(self, segment: Segment, ranges_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units to compare in ranges, and units of frequent seeds."""
+        seeds, to, _ = segment.seeds(ranges_)
+        shared, hot = self.shared.take(to), self.frequent.take(to)
+        return _with_seed(segment.seed, seeds[shared & ~hot]), _with_seed(segment.seed, seeds[hot])
+
+
+def _with_seed(seed: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    wanted = np.sort(wanted)
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(wanted[np.searchsorted(wanted, seed).clip(max=len(wanted) - 1)] == seed)
+
+
+def _segments(method: Method, ranges_: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Part, Segment, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part, what it brings, segment, text, offsets, copies), one at a time, parts in one piece."""
     open_ = zstandard.ZstdDecompressor()
+    part = None
     for batch in batches:
+        col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         for k in range(batch.num_rows):
-            row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names) if name not in ("digests", "ids", "at")}
-            ids = np.array(batch.column(batch.schema.get_field_index("ids"))[k].values, dtype=np.int64)
-            at = np.array(batch.column(batch.schema.get_field_index("at"))[k].values, dtype=np.int64)
-            text = np.frombuffer(open_.decompress(row.pop("text"), max_output_size=max(1, int(at[-1]))), dtype=np.uint8)
+            if col["lead"][k].as_py():
+                part = Part({n: col[n][k].as_py() for n in ("copies", "seeds", "runs", "hot") if n in col}, ranges_)
+            ids = np.array(col["ids"][k].values, dtype=np.int64)
+            at = np.array(col["at"][k].values, dtype=np.int64)
+            text = np.frombuffer(open_.decompress(col["text"][k].as_py(), max_output_size=max(1, int(at[-1]))), dtype=np.uint8)
             copies = np.zeros(len(ids), bool)
-            copies[row.get("copies") or []] = True
-            row["copies"] = copies
-            yield row, Segment.read(unit, text, at, ids, copies), text, at
+            copies[part.copies.get(col["seg"][k].as_py(), [])] = True
+            yield col["part"][k].as_py(), part, method.read(text, at, ids, copies), text, at, copies
+
 
+def _by_part(walk, add, flush):
+    """Rows of ``flush(part, collected)`` for the segments of each part."""
+    held, now = [], None
+    for part, *rest in walk:
+        if part != now and held:
+            yield flush(now, held)
+            held = []
+        now = part
+        held.append(add(*rest))
+    if held:
+        yield flush(now, held)
 
-def _bits(row: dict, name: str) -> dict[int, bytes]:
-    return {x["bucket"]: x["bits"] for x in row.get(name) or []}
 
+_MESSAGE = "to int, part long, load binary"
+_ANSWER = "to int, part long, bits binary, hot binary"
 
-def _message(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    bucket, seg, load = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(seg, pa.int64()), pa.array(load, pa.binary())], ["bucket", "seg", "load"])
 
+def _messages(part: int, to: np.ndarray, load) -> pa.RecordBatch:
+    """One row for each range in ``to``; ``load(i, j)`` packs entries i to j, which are in order of ranges."""
+    edge = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)) if len(to) else np.zeros(1, np.int64)
+    rows = [load(i, j) for i, j in itertools.pairwise(edge.tolist())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(to[edge[:-1]], pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["to", "part", "load"]
+    )
 
-_MESSAGE = "bucket int, seg long, load binary"
-_ANSWER = "bucket int, seg long, bits binary"
 
+def _send_seeds(method: Method, ranges_: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(_, segment, *rest):
+            seeds, to, units = segment.seeds(ranges_)
+            rows = np.empty((len(seeds), 6), np.uint8)
+            rows[:, :5] = seeds.view(np.uint8).reshape(-1, 8)[:, 3:]  # the range stands for the low bits
+            rows[:, 5] = np.ceil(np.log2(units)) if len(units) else units
+            return to, rows
 
-def _answers(table: pa.Table, flags: np.ndarray, counts: list[int]) -> pa.Table:
+        def flush(part, held):
+            to, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(to, kind="stable")
+            rows = rows[order]
+            return _messages(part, to[order], lambda i, j: rows[i:j].tobytes())
+
+        yield from _by_part(_segments(method, ranges_, batches), add, flush)
+
+    return run
+
+
+def _bits(flags: np.ndarray, counts: np.ndarray) -> list[bytes]:
     ends = np.cumsum(counts)
-    bits = [np.packbits(flags[e - c : e]).tobytes() for c, e in zip(counts, ends, strict=True)]
-    return pa.table({"bucket": table["bucket"], "seg": table["seg"], "bits": pa.array(bits, pa.binary())})
+    return [np.packbits(flags[e - c : e]).tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
 
 
-def _send_seeds(unit: Unit, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, segment, _, _ in _segments(unit, batches):
-            seeds, begin = segment.seeds(buckets)
-            load = seeds.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()  # the bucket stands for the low bits
-            yield _message([(b, row["seg"], load[6 * begin[b] : 6 * begin[b + 1]]) for b in np.flatnonzero(np.diff(begin)).tolist()])
+def _answer_seeds(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        loads = table["load"].to_pylist()
+        counts = np.array([len(x) // 6 for x in loads])
+        raw = np.frombuffer(b"".join(loads), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw[:, :5]
+        values, units = wide.view(_U).ravel(), np.exp2(raw[:, 5])
+        order = np.argsort(values)
+        begin = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
+        size = np.diff(np.append(begin, len(order)))
+        shared, many = np.empty(len(order), bool), np.empty(len(order), bool)
+        shared[order] = np.repeat(size > 1, size)
+        many[order] = np.repeat((size > 1) & (np.add.reduceat(units[order], begin) >= hot), size)
+        frequent = [b if any(b) else None for b in _bits(many, counts)]
+        return pa.table({"to": table["to"], "part": table["part"], "bits": pa.array(_bits(shared, counts), pa.binary()), "hot": pa.array(frequent, pa.binary())})
 
     return run
 
 
-def _answer_seeds(table: pa.Table) -> pa.Table:
-    loads = table["load"].to_pylist()
-    counts = [len(x) // 6 for x in loads]
-    wide = np.zeros((sum(counts), 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(b"".join(loads), np.uint8).reshape(-1, 6)
-    values = wide.view(_U).ravel()
-    order = np.argsort(values)
-    values = values[order]
-    twice = np.zeros(len(values), bool)
-    equal = values[1:] == values[:-1]
-    twice[1:] |= equal
-    twice[:-1] |= equal
-    flags = np.empty(len(values), bool)
-    flags[order] = twice
-    return _answers(table, flags, counts)
-
-
-def _send_stretches(unit: Unit, buckets: int):
+def _send_units(method: Method, ranges_: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for row, segment, _, _ in _segments(unit, batches):
-            heads, begin, owner, _, _ = segment.stretches(buckets, _bits(row, "seeds"))
-            out = []
-            for b in np.flatnonzero(np.diff(begin)).tolist():
-                part = heads[begin[b] : begin[b + 1]]
-                lo, hi = segment.lo[part], segment.hi[part] + 1
-                if unit.words:
-                    held = segment.run[ranges(lo, hi)[0]]
-                else:
-                    held = segment.symbols[ranges(lo, hi + unit.length - 1)[0]]
-                load = len(part).to_bytes(4, "little") + (hi - lo).astype(np.uint16).tobytes() + owner[begin[b] : begin[b + 1]].tobytes() + held.tobytes()
-                out.append((b, row["seg"], squeeze.compress(load)))
-            yield _message(out)
+
+        def add(part, segment, *rest):
+            heads, to, _ = segment.distinct(part.units(segment, ranges_)[0], ranges_)
+            load, sizes = method.send(segment, heads)
+            place = segment.place[heads] - segment.lo[heads]
+            return to, segment.seed[heads], segment.count[heads].astype(np.uint8), place.astype(np.uint8), segment.owner[heads], sizes.astype(np.uint32), load
+
+        def flush(part, held):
+            *columns, load = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(columns[0], kind="stable")
+            to, seed, count, place, owner, sizes = (c[order] for c in columns)
+            begin = (np.cumsum(columns[-1], dtype=np.int64) - columns[-1])[order]
+
+            def pack(i, j):
+                body = load[ranges(begin[i:j], begin[i:j] + sizes[i:j])[0]]
+                return squeeze.compress(b"".join([(j - i).to_bytes(4, "little"), *(c[i:j].tobytes() for c in (seed, count, place, owner, sizes)), body.tobytes()]))
+
+            return _messages(part, to, pack)
+
+        yield from _by_part(_segments(method, ranges_, batches), add, flush)
 
     return run
 
 
-def _answer_stretches(unit: Unit):
+_KINDS = (np.dtype(_U), np.dtype(np.uint8), np.dtype(np.uint8), np.dtype(np.int64), np.dtype(np.uint32))
+
+
+def _answer_units(method: Method):
     def run(table: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor()
-        lengths, owners, held, counts = [], [], [], []
+        held: list[list] = [[] for _ in range(6)]
         for load in table["load"]:
             raw = open_.decompress(load.as_py())
-            n = int.from_bytes(raw[:4], "little")
-            lengths.append(np.frombuffer(raw, np.uint16, n, 4).astype(np.int64))
-            owners.append(np.frombuffer(raw, np.int64, n, 4 + 2 * n))
-            held.append(np.frombuffer(raw, _U if unit.words else np.uint8, offset=4 + 10 * n))
-            counts.append(int(lengths[-1].sum()))
-        length, owner, held = np.concatenate(lengths), np.concatenate(owners), np.concatenate(held)
-        if not unit.words:
-            end = np.cumsum(length + unit.length - 1)
-            starts, _ = ranges(end - length - unit.length + 1, end - unit.length + 1)
-            held = unit.runs(held, len(held))[0][starts]
-        return _answers(table, smaller(held, np.repeat(owner, length)), counts)
+            n, at = int.from_bytes(raw[:4], "little"), 4
+            for k, kind in enumerate(_KINDS):
+                held[k].append(np.frombuffer(raw, kind, n, at))
+                at += n * kind.itemsize
+            held[5].append(np.frombuffer(raw, np.uint8, offset=at))
+        counts = np.array([int(c.sum(dtype=np.int64)) for c in held[1]])
+        seed, count, place, owner, sizes, load = (np.concatenate(h) for h in held)
+        count, place, sizes = count.astype(np.int64), place.astype(np.int64), sizes.astype(np.int64)
+        least = method.compare(seed, count, place, owner, load, sizes)
+        bits = _bits(least < np.repeat(owner, count), counts)
+        return pa.table({"to": table["to"], "part": table["part"], "bits": pa.array(bits, pa.binary()), "hot": pa.array([None] * len(bits), pa.binary())})
+
+    return run
+
+
+def _send_hot(method: Method, ranges_: int):
+    """Rows (run, owner, last, part): windows of frequent seeds, with their least and greatest document in the segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, brings, segment, *_ in _segments(method, ranges_, batches):
+            units = brings.units(segment, ranges_)[1]
+            starts, count = ranges(segment.lo[units], segment.lo[units] + segment.count[units])
+            run_, owner = segment.run[starts], np.repeat(segment.owner[units], count)
+            order = np.lexsort((owner, run_))
+            new = np.append(True, run_[order][1:] != run_[order][:-1])[: len(order)]
+            first, last = order[new], order[np.append(new[1:], True)[: len(order)]]
+            columns = [run_[first].view(np.int64), owner[first], owner[last], np.full(len(first), part, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "owner", "last", "part"])
 
     return run
 
 
-def _finish(unit: Unit, buckets: int):
+def _finish(method: Method, ranges_: int):
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, segment, text, at in _segments(unit, batches):
-            marks = segment.local()
-            heads, begin, _, of, mine = segment.stretches(buckets, _bits(row, "seeds"))
-            starts, count = ranges(segment.lo[heads], segment.hi[heads] + 1)
-            found, base = np.zeros(len(starts), bool), np.cumsum(count) - count
-            edge = np.append(base, len(starts))
-            for b, got in _bits(row, "runs").items():
-                i, j = edge[begin[b]], edge[begin[b + 1]]
-                found[i:j] = np.unpackbits(np.frombuffer(got, np.uint8), count=j - i).astype(bool)
-            if len(mine):
-                every, n = ranges(segment.lo[mine], segment.hi[mine] + 1)
-                source, _ = ranges(base[of], base[of] + n)
-                marks[every[found[source]]] = True
-            gone = segment.cover(marks)
-            for d in np.flatnonzero(row["copies"]).tolist():
-                if segment.first[d + 1] - segment.first[d] >= unit.length:
+        for _, part, segment, text, at, copies in _segments(method, ranges_, batches):
+            marks = method.local(segment)
+            units, hot = part.units(segment, ranges_)
+            if len(units):
+                heads, to, of = segment.distinct(units, ranges_)
+                n = segment.count[heads]
+                found = part.runs.take(np.repeat(to, n))
+                base = np.cumsum(n) - n
+                every, n = ranges(segment.lo[units], segment.lo[units] + segment.count[units])
+                marks[every[found[ranges(base[of], base[of] + n)[0]]]] = True
+            if len(hot) and len(part.hot):
+                every, n = ranges(segment.lo[hot], segment.lo[hot] + segment.count[hot])
+                k = np.searchsorted(part.hot, segment.run[every]).clip(max=len(part.hot) - 1)
+                marks[every[(part.hot[k] == segment.run[every]) & (part.least[k] < np.repeat(segment.owner[hot], n))]] = True
+            gone = segment.cover(marks, method.length)
+            for d in np.flatnonzero(copies).tolist():
+                if segment.first[d + 1] - segment.first[d] >= method.length:
                     gone[segment.first[d] : segment.first[d + 1]] = True
             out: list[list] = [[], [], [], []]
             raw = memoryview(text)
             for d, i in enumerate(segment.ids.tolist()):
                 a, b = int(segment.first[d]), int(segment.first[d + 1])
-                part, whole = gone[a:b], raw[at[d] : at[d + 1]]
-                turn = np.flatnonzero(np.diff(part, prepend=False, append=False)).tolist() if part.any() else []
+                gap, whole = gone[a:b], raw[at[d] : at[d + 1]]
+                turn = np.flatnonzero(np.diff(gap, prepend=False, append=False)).tolist() if gap.any() else []
                 out[0].append(None if i == LAST else i)
                 out[1].append(b - a)
                 out[2].append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
-                if unit.words:
+                if method.words:
                     kept = bytes(whole).split()
-                    out[3].append(b" ".join(itertools.compress(kept, (~part).tolist()) if turn else kept))
+                    out[3].append(b" ".join(itertools.compress(kept, (~gap).tolist()) if turn else kept))
                 else:
-                    out[3].append(text[at[d] : at[d + 1]][~part].tobytes() if turn else bytes(whole))
+                    out[3].append(text[at[d] : at[d + 1]][~gap].tobytes() if turn else bytes(whole))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc_id", "n_symbols", "removed", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, unit: Unit) -> DataFrame:
+def sizes_of(total: int) -> tuple[int, int]:
+    """Numbers of parts and ranges for so many bytes of text."""
+    root = math.isqrt(MESSAGE * total)
+    return max(16, -(-total // max(PART, root))), max(16, -(-total // max(RANGE, root // 4)))
+
+
+def remove_repeats(docs: DataFrame, method: Method) -> DataFrame:
     """Rows (doc_id, n_symbols, removed, kept).
 
     ``removed`` lists maximal runs (start, end) of symbols that passages starting
@@ -413,49 +504,41 @@ def remove_repeats(docs: DataFrame, unit: Unit) -> DataFrame:
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
-    segments = _checkpoint_partitioned(_pack(docs, partitions))
+    parts, ranges_ = sizes_of(total)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
+    segments = _checkpoint_partitioned(_pack(docs, parts, tasks))
 
-    heads = segments.select("seg", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "d")).select(
-        "seg", "at", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest")
+    heads = segments.select("part", "seg", F.posexplode(F.arrays_zip("ids", "digests")).alias("at", "d")).select(
+        "part", "seg", "at", F.col("d.ids").alias("id"), F.col("d.digests").alias("digest")
     )
     first = heads.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = heads.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("int"))
     copies = cut(
-        salted.join(first, ["digest", "salt"]).where("id > first").groupBy("seg").agg(F.sort_array(F.collect_list("at")).alias("copies"))
+        salted.join(first, ["digest", "salt"]).where("id > first").groupBy("part").agg(F.collect_list(F.struct("seg", "at")).alias("copies"))
     )
-    held = segments.select("seg", "ids", "at", "text").join(copies.hint("shuffle_hash"), "seg", "left")
-
-    def answers(messages: DataFrame, fn, name: str) -> DataFrame:
-        rows = messages.groupBy("bucket").applyInArrow(fn, _ANSWER)
-        return cut(rows.groupBy("seg").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)))
 
-    seeds = answers(held.mapInArrow(_send_seeds(unit, buckets), _MESSAGE), _answer_seeds, "seeds")
-    held = held.join(seeds.hint("shuffle_hash"), "seg", "left")
-    runs = answers(held.mapInArrow(_send_stretches(unit, buckets), _MESSAGE), _answer_stretches(unit), "runs")
-    held = held.join(runs.hint("shuffle_hash"), "seg", "left")
-    return held.mapInArrow(_finish(unit, buckets), "doc_id long, n_symbols long, removed array<struct<start:long,end:long>>, kept binary")
-
-
-def _removed():
+    def attach(held: DataFrame, brought: DataFrame) -> DataFrame:
+        other = brought.withColumnRenamed("part", "_part").hint("shuffle_hash")
+        return held.join(other, (F.col("part") == F.col("_part")) & F.col("lead"), "left").drop("_part")
+
+    def answers(send, answer, name: str) -> DataFrame:
+        rows = held.mapInArrow(send, _MESSAGE).repartition(tasks, "to").groupBy("to").applyInArrow(answer, _ANSWER)
+        rows = rows.select("part", F.struct("to", F.octet_length("bits").alias("size"), "bits", "hot").alias("a"))
+        return cut(rows.groupBy("part").agg(F.collect_list("a").alias(name)))
+
+    held = attach(segments.select("part", "seg", "lead", "ids", "at", "text"), copies)
+    seeds = answers(_send_seeds(method, ranges_), _answer_seeds(HOT), "seeds")
+    held = attach(held, seeds)
+    if not seeds.where(F.exists("seeds", lambda a: a["hot"].isNotNull())).isEmpty():
+        rows = held.mapInArrow(_send_hot(method, ranges_), "run long, owner long, last long, part long")
+        rows = cut(rows.groupBy("run", "part").agg(F.min("owner").alias("owner"), F.max("last").alias("last")))
+        least = rows.groupBy("run").agg(F.min("owner").alias("least"), F.max("last").alias("most")).where("least < most")
+        found = rows.join(least, "run").groupBy("part").agg(F.collect_list(F.struct("run", "least")).alias("hot"))
+        held = attach(held, cut(found))
+    held = attach(held, answers(_send_units(method, ranges_), _answer_units(method), "runs"))
+    return held.mapInArrow(_finish(method, ranges_), "doc_id long, n_symbols long, removed array<struct<start:long,end:long>>, kept binary")
+
+
+def n_removed():
     return F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]).alias("n_removed")
-
-
-def op9_bytes(docs: DataFrame) -> DataFrame:
-    """50-byte strings that start in a smaller document, removed."""
-    return remove_repeats(docs, BYTES).select(
-        "doc_id",
-        F.col("n_symbols").alias("n_bytes"),
-        _removed(),
-        F.size("removed").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
-    )
-
-
-def op10_words(docs: DataFrame) -> DataFrame:
-    """13-word windows that start in a smaller document, removed."""
-    return remove_repeats(docs, WORDS).select(
-        "doc_id", F.col("n_symbols").alias("n_words"), _removed(), F.sha2("kept", 256).alias("kept_sha256")
-    )

@@ -1,10 +1,14 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 
-from catalith.llm import repeats
-from catalith.llm.repeats import BYTES, WORDS, op9_bytes, op10_words, remove_repeats
+from catalith.llm import repeats, substrings, suffixes
+from catalith.llm.repeats import remove_repeats
+from catalith.llm.substrings import WORDS, op10_words
+from catalith.llm.suffixes import BYTES, op9_bytes
 
 
 def brute(units, length):
@@ -52,7 +56,10 @@ def test_against_brute_force(spark, corpus, words):
 
 def test_many_small_segments(spark, corpus, words, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 500)
-    monkeypatch.setattr(repeats, "BLOCK", 300)
+    monkeypatch.setattr(suffixes, "BLOCK", 300)
+    monkeypatch.setattr(substrings, "BLOCK", 300)
+    monkeypatch.setattr(suffixes, "TOGETHER", 900)
+    monkeypatch.setattr(substrings, "TOGETHER", 900)
     texts = [words() for _ in range(60)]
     check(corpus(spark, texts).repartition(7), list(enumerate(texts)))
 
@@ -80,3 +87,64 @@ def test_spans_and_texts(spark, corpus):
     passage = " ".join(f"w{i}" for i in range(15))
     rows = {r["doc_id"]: r for r in remove_repeats(corpus(spark, [passage, f"x {passage} y"]), WORDS).collect()}
     assert [tuple(s) for s in rows[1]["removed"]] == [(1, 16)] and bytes(rows[1]["kept"]) == b"x y" and rows[0]["removed"] == []
+
+
+def test_frequent_seeds(spark, corpus, words, monkeypatch):
+    """Seeds over the limit are grouped by their windows, with the same result."""
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "SEGMENT", 500)
+    texts = [words() for _ in range(60)] + ["ab " * 100, "x " + "ab " * 70, "ab " * 12]
+    check(corpus(spark, texts).repartition(5), list(enumerate(texts)))
+
+
+def test_refinement_doubles_its_depth():
+    random.seed(4)
+    assert suffixes.depths() == [8, 16, 32, 50] and suffixes.depths(50, 3) == [3, 6, 12, 24, 48, 50]
+    for gram in (1, 3, 8):
+        texts = [bytes(random.choices(b"ab", k=random.randint(20, 200))) for _ in range(6)] + [b"a" * 90, b"ab" * 40]
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        end = np.cumsum([len(t) for t in texts])
+        begin = end - [len(t) for t in texts]
+        pointer = suffixes.refine(text, begin, end, 20, gram)
+        where = [(b + i, t[i : i + 20]) for b, t in zip(begin.tolist(), texts, strict=True) for i in range(len(t) - 19)]
+        by_text, by_bucket = {}, {}
+        for at, s in where:
+            by_text.setdefault(s, set()).add(at)
+            by_bucket.setdefault(pointer[at], set()).add(at)
+        assert sorted(map(sorted, by_text.values())) == sorted(map(sorted, by_bucket.values()))
+        # pointers order the strings
+        assert [s for _, s in sorted((pointer[at], s) for at, s in where)] == sorted(s for _, s in where)
+
+
+def test_matches_are_extended_both_ways():
+    def row(left, right):
+        ids = lambda w: np.array([hash(x) & 0xFFFF_FFFF for x in w] + [0] * (6 - len(w)), np.uint64)
+        return ids(left), np.arange(6) < len(left), ids(right), np.arange(6) < len(right)
+
+    rows = [row("abcdef", "uvwxyz"), row("abcdeX", "uvwxyz"), row("abX", "uvwxyQ"), row("abcdef", "u"), row("", "uvwxyz"), row("XYZ", "QQ")]
+    left, has_left, right, has_right = (np.array(x) for x in zip(*rows, strict=True))
+    least = substrings.extend(np.full(6, 7, np.uint64), left, has_left, right, has_right, np.array([3, 2, 1, 0, 4, 0]))
+    # columns: words to the left; the rest of the six to the right
+    assert least.tolist() == [[2, 1, 1, 2, 2, 0, 0], [2, 1, 1, 2, 2, 0, 2], [1] * 7, [0] * 7, [2, 4, 4, 4, 4, 4, 4], [0] * 7]
+
+
+@pytest.mark.parametrize("method, module", [(BYTES, suffixes), (WORDS, substrings)])
+def test_blocks_and_small_steps(words, monkeypatch, method, module):
+    """A segment's own repeats are the same however it is cut."""
+    texts = [words().encode() for _ in range(80)]
+    at = np.append(0, np.cumsum([len(t) for t in texts]))
+    args = np.frombuffer(b"".join(texts), np.uint8), at, np.arange(80), np.zeros(80, bool)
+    segment = method.read(*args)
+    whole = segment.cover(method.local(segment), method.length)
+    units = [tuple(t.split()) for t in texts] if method.words else texts
+    assert whole.tolist() == [bool(g) for part in brute(list(enumerate(units)), method.length) for g in part]
+    monkeypatch.setattr(module, "BLOCK", 64)
+    monkeypatch.setattr(module, "TOGETHER", 700)
+    small = method.read(*args)
+    assert (small.cover(method.local(small), method.length) == whole).all()
+
+
+def test_messages_stay_proportional():
+    for total in (10**9, 3 * 10**10, 10**12, 10**14):
+        parts, ranges_ = repeats.sizes_of(total)
+        assert parts * ranges_ <= total / 500 and total / parts <= 1e9 and total / ranges_ <= 2e8
