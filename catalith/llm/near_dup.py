@@ -5,22 +5,31 @@ shingles are kept, so 65 permutations give a signature of 130 values. Bands of
 five values make candidates: 26 bands miss a pair at similarity 0.85 with a
 probability of 2e-7, at 0.8 of 3e-5.
 
-1. Documents with the same shingle set are one class; classes have signatures.
+1. Documents with the same shingle set are one class, with an id of its own and one
+   signature.
 2. In each band bucket every class is tied to the bucket's smallest class, and
    components of these ties are clusters: all candidate pairs are inside one.
-3. Shingle sets of clusters are confirmed in tiles: a cluster whose sets are small
-   is one tile, a larger one is cut into blocks and each pair of blocks is a tile,
-   so a task's memory is bounded. In a tile, sets are ordered from rare shingles
-   to common ones; two sets that reach the threshold share a shingle among the
-   first few of both (prefix filter), and enough of them; their lists give the
-   pairs to confirm.
-   Pairs already connected are skipped, which loses no link between classes.
-4. Components of the confirmed links are the duplicate groups.
+3. Links are confirmed on full shingle sets, in tiles of bounded size. A cluster
+   whose sets fit is one tile. In a larger one, ties are confirmed first, the sets
+   tied to one class in as many tiles as they need. Then come the buckets that
+   still hold classes without a connection: small ones share tiles, and in one that
+   exceeds a tile only the classes outside its largest group meet the others.
+   So a large cluster costs what its buckets hold, and not the square of its size.
+   In a tile, sets are ordered from rare shingles to common ones; two sets that
+   reach the threshold share a shingle among the first few of both (prefix filter),
+   and enough of them; their lists give the pairs to confirm. Pairs already
+   connected are skipped, which loses no link between classes.
+4. Components of the confirmed links are the duplicate groups; a group is named by
+   its least doc_id.
+
+Sets are made again from the texts of candidates, which a Bloom filter of their
+doc_ids picks out; no texts are shuffled.
 
 A null or blank text has no shingles and is linked with nothing; a text of fewer
-words than a shingle is one shingle. Rows sharing a doc_id are one node. A null
-doc_id is linked with nothing and kept. Very long texts are hashed in slices.
-Other columns are passed over; no rows give no rows.
+words than a shingle is one shingle. Rows sharing a doc_id are documents of their
+own, each linked by its own text. A null doc_id is linked with nothing and kept.
+Very long texts are hashed in slices. Other columns are passed over; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.bloom import bloom, held
 from catalith.llm.common import cut
-from catalith.llm.graph import components
+from catalith.llm.graph import components, join_keys
 from catalith.llm.grams import LOWER, chunks, mix, shingles, stream, tokens, utf8
 
 SHINGLE = 5
@@ -107,34 +117,33 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
 
-def _reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of candidate classes, as bytes; rows of another set under the same id go."""
-    for batch in batches:
-        keep, sets = [], []
-        wanted = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-        for k, (s, want) in enumerate(zip(shingle_sets(batch.column(1)), wanted, strict=True)):
-            if _digest(s) == want:
-                keep.append(k)
-                sets.append(s.tobytes())
-            if len(sets) >= 2000:
-                yield _sets(batch, keep, sets)
-                keep, sets = [], []
-        yield _sets(batch, keep, sets)
-
-
-def _sets(batch: pa.RecordBatch, keep: list[int], sets: list[bytes]) -> pa.RecordBatch:
-    at = pa.array(keep, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(sets, pa.binary())],
-        ["id", "cluster", "blocks", "shingles"],
-    )
+def _reshingle(bitmap, bits: int):
+    """Sets of the documents whose id the filter has, as bytes with their digest."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            ids = batch.column(0)
+            known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            some = known[held(has, ids.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64), bits)]
+            for i in range(0, len(some), 2000):
+                sets = list(shingle_sets(batch.column(1).take(pa.array(some[i : i + 2000]))))
+                a, b = zip(*map(_digest, sets), strict=True)
+                columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["set_a", "set_b", "shingles"])
+
+    return run
 
-def link(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that connect all sets with similarity of ``percent`` or more."""
+
+def link(ids: list[int], sets: list[np.ndarray], percent: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (larger id, smaller id) that connect all sets with similarity of ``percent`` or more.
+
+    Sets of the same number in ``groups`` are connected already.
+    """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sets, sizes, ids = [sets[i] for i in order], sizes[order], [ids[i] for i in order]
+    group = np.unique(np.array(groups)[order], return_inverse=True)[1] if groups else np.arange(len(sets))
     begin = np.append(0, np.cumsum(sizes))
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
@@ -156,8 +165,9 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
     back = np.argsort(doc, kind="stable")  # of each set, its places in the lists
     edge = np.searchsorted(doc[back], np.arange(len(sets) + 1))
-    group = np.arange(len(sets))
-    members = {i: [i] for i in range(len(sets))}
+    members: dict[int, list[int]] = {}
+    for d, g in enumerate(group.tolist()):
+        members.setdefault(g, []).append(d)
     mark = np.zeros(len(begin) and int(ranked.max()) + 1, bool)
     out = []
     for d in range(len(sets)):
@@ -203,53 +213,108 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int
 def _confirm(percent: int):
     def run(table: pa.Table) -> pa.Table:
         seen = {}
-        for i, s in zip(table["id"].to_pylist(), table["shingles"], strict=True):
-            if i not in seen:
-                seen[i] = np.frombuffer(s.as_buffer(), _U)
-        found = [(u, v) for u, v in link(list(seen), list(seen.values()), percent) if u != v] if len(seen) > 1 else []
+        for i, g, s in zip(table["id"].to_pylist(), table["group"].to_pylist(), table["shingles"], strict=True):
+            seen.setdefault(i, (g, np.frombuffer(s.as_buffer(), _U)))
+        groups, sets = zip(*seen.values(), strict=True)
+        found = link(list(seen), list(sets), percent, list(groups)) if len(set(groups)) > 1 else []
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found in tiles (tile, part, other, id, group) of the sets (id, shingles)."""
+    return tiles.distinct().join(sets.hint("shuffle_hash"), "id").groupBy("tile", "part", "other").applyInArrow(_confirm(percent), "u long, v long")
+
+
+def _packed(key: str, most: Column | int) -> list[Column]:
+    """A tile number for small groups, several to a tile."""
+    zero = F.lit(0).cast("long")
+    return [F.concat(F.lit("p"), F.pmod(F.xxhash64(key), F.lit(most))).alias("tile"), zero.alias("part"), zero.alias("other")]
+
+
+def _large_clusters(members: DataFrame, keys: DataFrame, ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links in clusters that exceed a tile; members (id, n), their keys (id, key), ties (u, v) and sets."""
+    packs = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // TILE))
+    # Ties: the sets tied to one class, in tiles with that class.
+    sized = ties.join(members.withColumnRenamed("id", "u"), "u")
+    hubs = sized.groupBy("v").agg(F.ceil(F.sum("n") / F.lit(TILE)).alias("tiles"), F.count("*").alias("n"))
+    tied = join_keys(sized.drop("n"), hubs, "v", sized.count()).drop("n")
+    part = F.pmod(F.xxhash64("u"), F.col("tiles"))
+    big, zero = F.col("tiles") > 1, F.lit(0).cast("long")
+    small = tied.where(~big)
+    one = small.select(*_packed("v", packs), F.col("u").alias("id")).unionByName(small.select(*_packed("v", packs), F.col("v").alias("id")))
+    name = F.concat(F.lit("t"), F.col("v")).alias("tile")
+    many = tied.where(big).select(name, part.alias("part"), zero.alias("other"), F.col("u").alias("id"))
+    hub = hubs.where(big).select(name, F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("part"), zero.alias("other"), F.col("v").alias("id"))
+    first = cut(_links(one.unionByName(many).unionByName(hub).withColumn("group", F.col("id")), sets, percent))
+
+    # Buckets whose classes aren't connected yet.
+    groups = components(first)
+    placed = members.join(groups, members["id"] == groups["node"], "left").select("id", "n", F.coalesce("component", "id").alias("group"))
+    inside = cut(keys.join(placed, "id"))
+    parts = inside.groupBy("key", "group").agg(F.sum("n").alias("n"), F.count("*").alias("size"), F.min("id").alias("v"))
+    buckets = parts.groupBy("key").agg(
+        F.sum("n").alias("held"), F.sum("size").alias("n"), F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("most"), F.count("*").alias("groups"), F.min("v").alias("v")
+    )
+    open_ = buckets.where("groups > 1 and n > 2")  # two classes were a tie
+    near = open_.groupBy("v").agg(F.sum("held").alias("near"))  # the buckets of one least class, one a band at most, have much in common
+    open_ = open_.join(near, "v").withColumn("with", F.when(F.col("near") <= 4 * TILE, F.col("v")).otherwise(F.col("key")))
+    tiles = F.ceil(F.col("held") / F.lit(TILE))
+    open_ = open_.select("key", "n", "main", "with", tiles.alias("tiles"), F.greatest(F.lit(1).cast("long"), F.ceil((F.col("held") - F.col("most")) / F.lit(TILE))).alias("rest"))
+    left = cut(join_keys(inside.drop("n"), open_, "key", inside.count()).drop("n"))
+    mass = left.where(~big).select("with", "id").distinct().join(members, "id").agg(F.sum("n")).first()[0] or 0
+    packs = max(1, -(-mass // TILE))
+    some = left.where(~big).select(*_packed("with", packs), "id", "group")
+    name = F.concat(F.lit("b"), F.col("key")).alias("tile")
+    large = left.where(big)
+    mine, outside = F.pmod(F.xxhash64("id"), F.col("tiles")), F.pmod(F.xxhash64("id"), F.col("rest"))
+    every = large.select(name, mine.alias("part"), F.explode(F.sequence(zero, F.col("rest") - 1)).alias("other"), "id", "group")
+    others = large.where("group <> main").select(name, F.explode(F.sequence(zero, F.col("tiles") - 1)).alias("part"), outside.alias("other"), "id", "group")
+    second = _links(some.unionByName(every).unionByName(others), sets, percent)
+    return first.unionByName(second)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) for documents (doc_id, text)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = cut(rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
-    classes = cut(
-        signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    )
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
+    classes = classes.agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     keys = classes.select("id", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("most")).where("v < most").drop("most")
-    ties = keys.join(hubs, "key").where("id > v").select(F.col("id").alias("u"), "v")
+    buckets = keys.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1")
+    ties = cut(join_keys(keys, buckets, "key", classes.count() * BANDS).where("id > v").select(F.col("id").alias("u"), "v").distinct())
     clusters = components(ties)
-    held = classes.select("id", "n", "set_a", "set_b").join(clusters, classes["id"] == clusters["node"]).drop("node")
-    blocks = held.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(TILE)).cast("int").alias("blocks"))
-    wanted = cut(held.join(blocks, "component").select("id", F.col("component").alias("cluster"), "blocks", "set_a", "set_b"))
-    sets = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select(
-        "id", "text", "cluster", "blocks", "set_a", "set_b"
-    )
-    sets = sets.mapInArrow(_reshingle, "id long, cluster long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    tiles = (
-        sets.withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .where("blocks = 1 or _own <> _other")  # a tile of two blocks also confirms pairs inside either
-        .select("id", "cluster", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "shingles")
-    )
-    links = tiles.groupBy("cluster", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
+    wanted = classes.select("id", "first", "n", "set_a", "set_b").join(clusters, classes["id"] == clusters["node"]).drop("node")
+    sizes = wanted.groupBy("component").agg(F.sum("n").alias("held"), F.count("*").alias("n"))
+    n = wanted.count()
+    wanted = cut(join_keys(wanted.withColumnRenamed("n", "size"), sizes, "component", n).drop("n"))
+    bitmap, bits = bloom(wanted.select("first"), n)
+    shared = spark.sparkContext.broadcast(bitmap)
+    sets = rows.mapInArrow(_reshingle(shared, bits), "set_a long, set_b long, shingles binary")
+    sets = sets.join(wanted.hint("shuffle_hash"), ["set_a", "set_b"])
+    zero = F.lit(0).cast("long")
+    small = sets.where(F.col("held") <= TILE).withColumns({"group": F.col("id"), "part": zero, "other": zero})
+    links = small.select("id", "group", "shingles", "component", "part", "other").groupBy("component").applyInArrow(_confirm(percent), "u long, v long")
+    large = wanted.where(F.col("held") > TILE)
+    if not large.isEmpty():
+        held_ = cut(sets.where(F.col("held") > TILE).dropDuplicates(["id"]).select("id", "shingles"))
+        members = large.select("id", F.col("size").alias("n"))
+        inside = members.select("id")
+        links = links.unionByName(
+            _large_clusters(members, keys.join(inside, "id", "left_semi"), ties.join(inside.withColumnRenamed("id", "u"), "u", "left_semi"), held_, percent)
+        )
     groups = components(links)
-    classes = classes.join(groups, classes["id"] == groups["node"], "left").select(
-        "set_a", "set_b", F.coalesce("component", "id").alias("_class")
-    )
-    shared = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        classes.hint("shuffle_hash"), ["set_a", "set_b"], "left"
-    )
+    placed = classes.select("id", "first", "set_a", "set_b").join(groups, classes["id"] == groups["node"], "left")
+    placed = cut(placed.select("first", "set_a", "set_b", F.coalesce("component", "id").alias("group")))
+    least = placed.groupBy("group").agg(F.min("first").alias("_class"), F.count("*").alias("n"))
+    named = join_keys(placed, least, "group", placed.count()).select("set_a", "set_b", "_class")
+    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named.hint("shuffle_hash"), ["set_a", "set_b"], "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_class"))
-    out = shared.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
