@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import cut
 
-#: A key with more than this share of all rows, and that many rows, is joined by broadcast: at most 1 / SHARE such keys.
-SHARE, FEW = 1 / 10_000, 100
 
+def join_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with a sum of them by ``key``, in a way that lets frequent keys be split.
 
-def join_keys(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``table`` on ``key``; ``table`` has one row a key and, in ``n``, its number among the ``total`` rows.
-
-    Keys with many rows, 10 000 at most, are broadcast, so their rows stay where they
-    are; the others are shuffled.
+    The sum is dealt by its key already, so Spark would join in the task that sums up,
+    and adaptive execution can't split that. With the key's hash as another key both
+    sides are dealt anew for the join alone, and a skewed partition of it is split.
     """
-    limit = max(FEW, int(total * SHARE))
-    hot = table.where(F.col("n") > limit)
-    frequent = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col("n") <= limit), key)
-    return frequent.unionByName(rest)
+    same = F.xxhash64(key).alias("_key")
+    return rows.select("*", same).join(table.select("*", same), [key, "_key"]).drop("_key")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,29 +25,28 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two contractions until neither changes an edge: every larger
     neighbour of a node is tied to the node's least neighbour, then every smaller
     one is. Rounds grow with the logarithm of the longest path. Only a count and
-    a checksum of each round reach the driver. The edges of a hub are not brought
-    together: its least neighbour is summed up in parts and sent to them. Nodes
-    without an edge are absent; no edges give no rows.
+    a checksum of each round reach the driver. The least neighbour of a hub is found
+    by partial sums, and its edges can be split over tasks. Nodes without an edge are
+    absent; no edges give no rows.
     """
     edges, before = cut(edges.select("u", "v").distinct()), None
-    total = edges.count()
-    while total:
-        edges = cut(_small(_large(edges, total), 2 * total))
+    while True:
+        edges = cut(_small(_large(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
-        before, total = now, now[0]
+        before = now
     tied = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return tied.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _large(edges: DataFrame, total: int) -> DataFrame:
+def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
-    return join_keys(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    return join_keys(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame, total: int) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    others = join_keys(edges, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    others = join_keys(edges, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.unionByName(least.withColumnRenamed("m", "v")).distinct()

@@ -239,8 +239,8 @@ def _large_clusters(members: DataFrame, keys: DataFrame, ties: DataFrame, sets:
     packs = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // TILE))
     # Ties: the sets tied to one class, in tiles with that class.
     sized = ties.join(members.withColumnRenamed("id", "u"), "u")
-    hubs = sized.groupBy("v").agg(F.ceil(F.sum("n") / F.lit(TILE)).alias("tiles"), F.count("*").alias("n"))
-    tied = join_keys(sized.drop("n"), hubs, "v", sized.count()).drop("n")
+    hubs = sized.groupBy("v").agg(F.ceil(F.sum("n") / F.lit(TILE)).alias("tiles"))
+    tied = join_keys(sized.drop("n"), hubs, "v")
     part = F.pmod(F.xxhash64("u"), F.col("tiles"))
     big, zero = F.col("tiles") > 1, F.lit(0).cast("long")
     small = tied.where(~big)
@@ -262,8 +262,8 @@ def _large_clusters(members: DataFrame, keys: DataFrame, ties: DataFrame, sets:
     near = open_.groupBy("v").agg(F.sum("held").alias("near"))  # the buckets of one least class, one a band at most, have much in common
     open_ = open_.join(near, "v").withColumn("with", F.when(F.col("near") <= 4 * TILE, F.col("v")).otherwise(F.col("key")))
     tiles = F.ceil(F.col("held") / F.lit(TILE))
-    open_ = open_.select("key", "n", "main", "with", tiles.alias("tiles"), F.greatest(F.lit(1).cast("long"), F.ceil((F.col("held") - F.col("most")) / F.lit(TILE))).alias("rest"))
-    left = cut(join_keys(inside.drop("n"), open_, "key", inside.count()).drop("n"))
+    open_ = open_.select("key", "main", "with", tiles.alias("tiles"), F.greatest(F.lit(1).cast("long"), F.ceil((F.col("held") - F.col("most")) / F.lit(TILE))).alias("rest"))
+    left = cut(join_keys(inside.drop("n"), open_, "key"))
     mass = left.where(~big).select("with", "id").distinct().join(members, "id").agg(F.sum("n")).first()[0] or 0
     packs = max(1, -(-mass // TILE))
     some = left.where(~big).select(*_packed("with", packs), "id", "group")
@@ -285,14 +285,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = classes.agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     keys = classes.select("id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1")
-    ties = cut(join_keys(keys, buckets, "key", classes.count() * BANDS).where("id > v").select(F.col("id").alias("u"), "v").distinct())
+    buckets = keys.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("most")).where("v < most").drop("most")
+    ties = cut(join_keys(keys, buckets, "key").where("id > v").select(F.col("id").alias("u"), "v").distinct())
     clusters = components(ties)
     wanted = classes.select("id", "first", "n", "set_a", "set_b").join(clusters, classes["id"] == clusters["node"]).drop("node")
-    sizes = wanted.groupBy("component").agg(F.sum("n").alias("held"), F.count("*").alias("n"))
-    n = wanted.count()
-    wanted = cut(join_keys(wanted.withColumnRenamed("n", "size"), sizes, "component", n).drop("n"))
-    bitmap, bits = bloom(wanted.select("first"), n)
+    wanted = cut(join_keys(wanted, wanted.groupBy("component").agg(F.sum("n").alias("held")), "component"))
+    bitmap, bits = bloom(wanted.select("first"), wanted.count())
     shared = spark.sparkContext.broadcast(bitmap)
     sets = rows.mapInArrow(_reshingle(shared, bits), "set_a long, set_b long, shingles binary")
     sets = sets.join(wanted.hint("shuffle_hash"), ["set_a", "set_b"])
@@ -302,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     large = wanted.where(F.col("held") > TILE)
     if not large.isEmpty():
         held_ = cut(sets.where(F.col("held") > TILE).dropDuplicates(["id"]).select("id", "shingles"))
-        members = large.select("id", F.col("size").alias("n"))
+        members = large.select("id", "n")
         inside = members.select("id")
         links = links.unionByName(
             _large_clusters(members, keys.join(inside, "id", "left_semi"), ties.join(inside.withColumnRenamed("id", "u"), "u", "left_semi"), held_, percent)
@@ -310,8 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     groups = components(links)
     placed = classes.select("id", "first", "set_a", "set_b").join(groups, classes["id"] == groups["node"], "left")
     placed = cut(placed.select("first", "set_a", "set_b", F.coalesce("component", "id").alias("group")))
-    least = placed.groupBy("group").agg(F.min("first").alias("_class"), F.count("*").alias("n"))
-    named = join_keys(placed, least, "group", placed.count()).select("set_a", "set_b", "_class")
+    least = placed.groupBy("group").agg(F.min("first").alias("_class"))
+    named = join_keys(placed, least, "group").select("set_a", "set_b", "_class")
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named.hint("shuffle_hash"), ["set_a", "set_b"], "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_class"))
     out = out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
