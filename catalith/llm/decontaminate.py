@@ -3,12 +3,13 @@
 A seed is a mask over twelve token positions of which eight count; tokens at the
 others may differ. Each mask gives every window of twelve tokens a hash.
 
-1. Hashes of the benchmark's windows go into a table and a Bloom filter. The
-   filter has a fixed largest size and is all that is broadcast without a count.
+1. Items with equal tokens are one class, named by the least item_id. Hashes of the
+   classes' windows go into a table and a Bloom filter, which has a fixed largest size.
 2. One pass over the documents keeps windows whose hash the filter has. It only
    saves work: what it lets through is joined with the table of hashes. With 32
    bits a hash and eight probes it lets one foreign window in 200 000 through.
-3. Each join hit names a diagonal (document position minus item position). On a
+3. Documents with equal tokens are one class, too, of which one is compared.
+   Each join hit names a diagonal (document position minus item position). On a
    diagonal the aligned tokens are compared. A stretch is an overlap if it has
    ``least`` tokens, or the whole item where that is shorter, if at most a fifth of
    them differ, and if it begins and ends with equal tokens or where the item does.
@@ -16,11 +17,11 @@ others may differ. Each mask gives every window of twelve tokens a hash.
    and the longest overlap otherwise.
 
 Tokens are runs of letters and digits, ASCII lower-cased; other ASCII characters
-part them. Items no longer than a mask have masks of their own length, which leave
+part them. Items of up to ``SHORT`` tokens have masks of their own length, which leave
 out as many of five sets of positions as tokens may differ, so no substitution that
-the rule allows is missed; items of fewer than five tokens are no evidence and are
-left out. The masks of longer items find a whole copy with one token changed
-anywhere; of copies with more changes they may miss some. Null texts have no
+the rule allows is missed; items of fewer than ``shortest`` tokens, a parameter, are
+no evidence. The masks of longer items find a whole copy with one token changed
+anywhere, and most copies with more; README has the shares. Null texts have no
 tokens. Repeated rows are found each for itself; of equally good diagonals the
 first counts. A document with a null doc_id is reported with it and never
 dropped. ``decontaminate`` keeps all columns, whatever their names; no rows, or no
@@ -29,6 +30,7 @@ benchmark, find nothing.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -37,17 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.bloom import bloom, held
 from catalith.llm.common import cut
+from catalith.llm.graph import join_keys
 from catalith.llm.grams import LOWER, PUNCT, chunks, mix, stream, tokens, utf8
 
 MASKS = ("111010110101", "110110010111", "101101110011")
-SHORTEST, LEAST = 5, 13
-#: Largest Bloom filter, in bits, its probes, and rows of benchmark hashes up to which they are broadcast.
-BLOOM, PROBES, BROADCAST_HASHES = 1 << 27, 8, 1_000_000
+SHORTEST, SHORT, LEAST = 5, 15, 13
+#: Rows of benchmark hashes, and of found documents, up to which they are broadcast; they are counted first.
+BROADCAST_HASHES, BROADCAST_FOUND = 1_000_000, 1_000_000
 
 _U = np.uint64
 _PLACE = stream(64, 21)
-_SCHEMA = "uid long, doc_id long, tokens binary, hits array<struct<hash:long,pos:long>>"
+_SCHEMA = "uid long, doc_id long, digest binary, tokens binary, hits array<struct<hash:long,pos:long>>"
 
 
 def masks_of(n: int) -> list[str]:
@@ -116,11 +120,8 @@ def _scan(short: list[int], bits: int, bitmap):
                 ids, _, _, first = tokens(data, at[i : j + 1], LOWER, PUNCT)
                 found = []
                 for h, pos in _seeds(ids, first, short):
-                    for k in range(PROBES):
-                        bit = (h + _U(k) * ((h >> _U(36)) | _U(1))) & _U(bits - 1)
-                        keep = np.flatnonzero((has[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1)
-                        pos, h = pos[keep], h[keep]
-                    found.append((pos, h))
+                    keep = held(has, h.view(np.int64), bits)
+                    found.append((pos[keep], h[keep]))
                 pos = np.concatenate([p for p, _ in found]) if found else np.zeros(0, np.int64)
                 if not len(pos):
                     continue
@@ -128,15 +129,16 @@ def _scan(short: list[int], bits: int, bitmap):
                 order = np.argsort(pos, kind="stable")
                 pos, h = pos[order], h[order]
                 doc = np.searchsorted(first, pos, "right") - 1
-                rows: list[list] = [[], [], [], []]
+                rows: list[list] = [[], [], [], [], []]
                 for d in np.unique(doc).tolist():
                     a, b = np.searchsorted(doc, [d, d + 1])
                     rows[0].append(next(serial))
                     rows[1].append(names[i + d])
-                    rows[2].append(ids[first[d] : first[d + 1]].tobytes())
-                    rows[3].append([{"hash": x, "pos": y} for x, y in zip(h[a:b].tolist(), (pos[a:b] - first[d]).tolist(), strict=True)])
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["uid", "doc_id", "tokens", "hits"])
+                    rows[3].append(ids[first[d] : first[d + 1]].tobytes())
+                    rows[2].append(hashlib.blake2b(rows[3][-1], digest_size=16).digest())
+                    rows[4].append([{"hash": x, "pos": y} for x, y in zip(h[a:b].tolist(), (pos[a:b] - first[d]).tolist(), strict=True)])
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["uid", "doc_id", "digest", "tokens", "hits"])
 
     return run
 
@@ -171,11 +173,11 @@ def longest_stretch(equal: np.ndarray, opens: bool, closes: bool) -> tuple[int,
 
 def _verify(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "item_id", "start", "end", "matched"]
+        names = ["digest", "item_id", "copies", "start", "end", "matched"]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True)
-            for doc, item, text, other, diagonals in rows:
+            out: list[list] = [[], [], [], [], [], []]
+            rows = zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), batch.column(4), batch.column(5).to_pylist(), strict=True)
+            for doc, item, copies, text, other, diagonals in rows:
                 t, o = np.frombuffer(text.as_buffer(), _U), np.frombuffer(other.as_buffer(), _U)
                 best = None
                 for d in sorted(diagonals):
@@ -188,46 +190,67 @@ def _verify(least: int):
                                 best = (a + i, a + j, good)
                             break
                 if best:
-                    for c, v in zip(out, (doc, item, *best), strict=True):
+                    for c, v in zip(out, (doc, item, copies, *best), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+            kinds = [pa.binary(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """Rows (doc_id, item_id, start, end, matched): the best overlap of a document with an item, in tokens."""
+def _found(docs: DataFrame, benchmark: DataFrame, least: int, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with hits (uid, doc_id, digest), and overlaps (digest, item_id, copies, start, end, matched) of classes."""
     spark = docs.sparkSession
-    items = cut(
+    items = (
         benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
         .mapInArrow(_items, "item_id long, tokens binary, n long")
-        .where(F.col("n") >= SHORTEST)
-        .withColumn("item", F.monotonically_increasing_id())
+        .where(F.col("n") >= shortest)
     )
-    span = len(MASKS[0])
-    short = sorted(r[0] for r in items.where(F.col("n") <= span).select("n").distinct().collect())  # eight values at most
+    items = items.groupBy("tokens").agg(F.min("item_id").alias("item_id"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    items = cut(items.withColumn("item", F.monotonically_increasing_id()))
+    short = sorted(r[0] for r in items.where(F.col("n") <= SHORT).select("n").distinct().collect())  # SHORT values at most
     hashes = cut(items.select("item", "tokens").mapInArrow(_item_hashes(short), "hash long, item long, at long"))
     n = hashes.count()
-    bits = min(BLOOM, max(1 << 16, 1 << (32 * n).bit_length()))
-    step = F.shiftrightunsigned("hash", 36).bitwiseOR(F.lit(1).cast("long"))
-    probes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda k: F.try_add(F.col("low"), k * F.col("step"))))
-    low = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long")).alias("low")
-    places = hashes.select(low, step.alias("step")).select(probes.alias("b")).select(F.col("b").bitwiseAND(F.lit(bits - 1).cast("long")).alias("b"))
-    held = places.groupBy(F.shiftright("b", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(b % 8 as int))")).alias("v")).toArrow()  # at most BLOOM / 8 rows
-    bitmap = np.zeros(bits // 8, np.uint8)
-    bitmap[held["byte"].to_numpy()] = held["v"].to_numpy().astype(np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    bitmap, bits = bloom(hashes.select("hash"), n)
+    shared = spark.sparkContext.broadcast(bitmap)
     found = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(short, bits, shared), _SCHEMA))
+    one = found.join(found.groupBy("digest").agg(F.min("uid").alias("uid")).select("uid"), "uid", "left_semi")
     known = F.broadcast(hashes) if n <= BROADCAST_HASHES else hashes
-    hits = found.select("uid", F.explode("hits").alias("h")).select("uid", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
+    hits = one.select("uid", F.explode("hits").alias("h")).select("uid", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
     lines = hits.join(known, "hash").groupBy("uid", "item").agg(F.collect_set(F.col("pos") - F.col("at")).alias("diagonals"))
-    pairs = lines.join(found.select("uid", "doc_id", "tokens"), "uid").join(items.select("item", "item_id", F.col("tokens").alias("other")), "item")
-    return pairs.select("doc_id", "item_id", "tokens", "other", "diagonals").mapInArrow(
-        _verify(least), "doc_id long, item_id long, start long, end long, matched long"
+    pairs = lines.join(one.select("uid", "digest", "tokens"), "uid").join(items.select("item", "item_id", "copies", F.col("tokens").alias("other")), "item")
+    pairs = pairs.select("digest", "item_id", "copies", "tokens", "other", "diagonals").mapInArrow(
+        _verify(least), "digest binary, item_id long, copies long, start long, end long, matched long"
     )
+    return found.select("uid", "doc_id", "digest"), pairs
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
+    """Rows (doc_id, item_id, start, end, matched): the best overlap of a document with a class of items, in tokens."""
+    found, pairs = _found(docs, benchmark, least, shortest)
+    return found.join(pairs, "digest").select("doc_id", "item_id", "start", "end", "matched")
+
+
+def links(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
+    """One row for each document with an overlap: (doc_id, class_id, n_items, item_id, start, end, matched).
+
+    ``class_id`` is the least doc_id with the same tokens, ``n_items`` the number of items
+    that overlap, equal ones each; the rest is the overlap that matches most tokens, of
+    equally good ones that with the least item_id. So there are as many rows as documents,
+    however many items share a line.
+    """
+    found, pairs = _found(docs, benchmark, least, shortest)
+    best = F.max_by(F.struct("item_id", "start", "end", "matched"), F.struct("matched", -F.coalesce("item_id", F.lit(-1))))
+    sums = cut(pairs.groupBy("digest").agg(F.sum("copies").alias("n_items"), best.alias("best")))
+    # Documents without a doc_id aren't named, so a class has the least id of the others.
+    named = cut(join_keys(found, sums, "digest"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    return join_keys(named, classes, "digest").select("doc_id", "class_id", "n_items", "best.*")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
     """The documents without an overlap, with the columns they came with; those with a null id stay."""
-    hit = overlaps(docs, benchmark, least).select("doc_id").distinct()
-    return docs.join(hit.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    found, pairs = _found(docs, benchmark, least, shortest)
+    hit = cut(found.join(pairs.select("digest").distinct(), "digest", "left_semi").select("doc_id").distinct())
+    few = hit.count() <= BROADCAST_FOUND
+    return docs.join(F.broadcast(hit) if few else hit.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

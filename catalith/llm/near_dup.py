@@ -113,8 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(np.array(signatures, np.uint32).reshape(len(n), 2 * PERMUTATIONS))
         bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
         a, b = zip(*digests, strict=True) if digests else ((), ())
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), bands]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+        columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), bands]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"])
 
 
 def _reshingle(bitmap, bits: int):
@@ -277,10 +277,15 @@ def _large_clusters(members: DataFrame, keys: DataFrame, ties: DataFrame, sets:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept) for documents (doc_id, text)."""
+    """Rows (doc_id, n_shingles, component_id, kept, group_id, text_hash) for documents (doc_id, text).
+
+    ``group_id`` is a number of the group, null without shingles or doc_id; it tells groups
+    with equal least doc_ids apart. ``text_hash`` is ``xxhash64`` of the text.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = cut(rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    named = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = cut(named.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
     classes = classes.agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
@@ -309,13 +314,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     placed = classes.select("id", "first", "set_a", "set_b").join(groups, classes["id"] == groups["node"], "left")
     placed = cut(placed.select("first", "set_a", "set_b", F.coalesce("component", "id").alias("group")))
     least = placed.groupBy("group").agg(F.min("first").alias("_class"))
-    named = join_keys(placed, least, "group").select("set_a", "set_b", "_class")
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named.hint("shuffle_hash"), ["set_a", "set_b"], "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_class"))
-    out = out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = join_keys(placed, least, "group").select("set_a", "set_b", "_class", "group")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(named.hint("shuffle_hash"), ["set_a", "set_b"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.coalesce(F.when(linked, F.col("_class")), "doc_id").alias("component_id")
+    out = out.select("doc_id", "n_shingles", component, F.when(linked, F.col("group")).alias("group_id"), "text_hash")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, "group_id", "text_hash")
 
 
 def op1_minhash(docs: DataFrame) -> DataFrame:
     """All documents with the threshold of 85 percent."""
-    return near_duplicates(docs, 85)
+    return near_duplicates(docs, 85).select("doc_id", "n_shingles", "component_id", "kept")

@@ -1,10 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule needs some measurements and rejects on a condition over them. On a
-sample of the rows the operator times every rule's measurements and counts what
-the rule rejects; rules then run by rejections per second, and a row that one
-rule has rejected skips the measurements of the rules after it. The order
-decides the cost and which rule is named, never whether a row is kept.
+sample of the rows the operator estimates every rule's cost, from the sample's text
+lengths and the measurements' unit costs, and counts what the rule rejects; rules
+then run by rejections per cost, and a row that one rule has rejected skips the
+measurements of the rules after it. The order decides the cost and which rule is
+named, never whether a row is kept.
+
+The sample is a share of the rows in at most ``FILES`` files, the least by a hash of
+their names, so the estimate reads the same amount of a small corpus and of a large
+one. Its tasks keep the measurements and send back sums, and one table gives one order.
+Tables that aren't read from files are sampled as a whole.
 
 Null and blank texts have no words. Repeated rows are judged each for itself.
 The filter keeps all columns it got, whatever their names. Texts of any length
@@ -14,16 +20,19 @@ Spark's expressions.
 
 from __future__ import annotations
 
-import time
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.common import WORD, words
 
 WINDOW = 8
+#: Files that the sample is taken from.
+FILES = 8
 
 
 @dataclass(frozen=True)
@@ -39,10 +48,10 @@ class Rule:
 #: earlier steps; a step that refers to an array twice must be a column of its
 #: own, or Spark would compute that array again for every element.
 def _windows() -> Column:
-    n = F.size("_words")
+    n = F.size("_word_hashes")
     return F.when(
         n > WINDOW,
-        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_words"), i, WINDOW))),
+        F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_word_hashes"), i, WINDOW))),
     )
 
 
@@ -89,6 +98,7 @@ MEASURES: dict[str, list[tuple[str, Callable[[], Column]]]] = {
         )
     ],
     "n_repeat_words": [
+        ("_word_hashes", lambda: F.transform("_words", lambda w: F.xxhash64(w))),
         ("_hashes", _windows),
         ("_ordered", _ordered),
         ("_places", _places),
@@ -96,6 +106,17 @@ MEASURES: dict[str, list[tuple[str, Callable[[], Column]]]] = {
     ],
 }
 
+#: Cost of a measurement for each character and for each word, in nanoseconds on one core.
+UNITS: dict[str, tuple[float, float]] = {
+    "n_words": (0.0, 0.0),
+    "word_chars": (0.0, 20.0),
+    "n_symbols": (30.0, 0.0),
+    "n_lines": (15.0, 0.0),
+    "n_upper": (100.0, 0.0),
+    "n_stutter": (0.0, 120.0),
+    "n_repeat_words": (0.0, 2000.0),
+}
+
 #: Shortest accepted document, in words.
 LEAST_WORDS = 20
 
@@ -125,30 +146,50 @@ def _measure(df: DataFrame, name: str, alive: Column | None) -> DataFrame:
     return df
 
 
+def _some_files(docs: DataFrame, files: int) -> DataFrame:
+    """The rows in a few of the files that the table is read from, or all rows."""
+    paths = docs.inputFiles()
+    if len(paths) <= files:
+        return docs
+    names = {p.rsplit("/", 1)[-1] for p in paths}
+    chosen = sorted(names, key=lambda p: hashlib.md5(p.encode()).hexdigest())[:files]
+    try:
+        some = docs.where(F.col("_metadata.file_name").isin(chosen))
+        return docs if some.isEmpty() else some
+    except AnalysisException:  # a derived table
+        return docs
+
+
+def costs(rule: Rule, chars: float, words_: float) -> float:
+    """Nanoseconds that the rule's measurements take for a text of so many characters and words."""
+    return 1.0 + sum(a * chars + b * words_ for a, b in (UNITS.get(name, (0.0, 0.0)) for name in rule.needs))
+
+
 def order_rules(
     docs: DataFrame,
     text: str = "text",
     rules: Sequence[Rule] = RULES,
-    fraction: float = 0.01,
     at_most: int = 2000,
     seed: int = 7,
+    files: int = FILES,
 ) -> list[Rule]:
-    """Rules by rejections per second, measured on at most ``at_most`` sampled rows."""
-    sample = _with_words(docs.select(F.col(text)).sample(fraction, seed).limit(at_most), text).persist()
-    try:
-        total = sample.count()
-        if not total:
-            return list(rules)
-        rated = []
-        for rule in rules:
-            began, df = time.perf_counter(), sample
-            for name in rule.needs:
-                df = _measure(df, name, None)
-            hits = df.agg(F.count_if(F.coalesce(rule.reject(), F.lit(False)))).first()[0]
-            rated.append((-(hits / total) / max(1e-6, time.perf_counter() - began), rule.name, rule))
-        return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
-    finally:
-        sample.unpersist()
+    """Rules by rejections per cost, estimated on about ``at_most`` rows of ``files`` files."""
+    some = _some_files(docs, files)
+    total = some.count()
+    if not total:
+        return list(rules)
+    sample = _with_words(some.select(F.col(text).alias("_in")).sample(min(1.0, at_most / total), seed), "_in")
+    for name in sorted({n for rule in rules for n in rule.needs}):
+        sample = _measure(sample, name, None)
+    kept = [c for c in sample.columns if not c.startswith("_")]
+    measured = sample.select(*kept, F.length("_text").alias("_chars"), F.size("_words").alias("_n")).persist()
+    rejected = [F.count_if(F.coalesce(rule.reject(), F.lit(False))).alias(f"_rule{k}") for k, rule in enumerate(rules)]
+    n, chars, words_, *hits = measured.agg(F.count("*"), F.sum("_chars"), F.sum("_n"), *rejected).first()
+    measured.unpersist()
+    if not n:
+        return list(rules)
+    rated = [(-hit / n / costs(rule, chars / n, words_ / n), rule.name, rule) for hit, rule in zip(hits, rules, strict=True)]
+    return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
 
 
 def cascade(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm.chat import op5_chat
 from catalith.llm.common import table
-from catalith.llm.decontaminate import overlaps
+from catalith.llm.decontaminate import links
 from catalith.llm.licences import op3_licenses
 from catalith.llm.mixing import op2_mix
 from catalith.llm.near_dup import op1_minhash
@@ -32,7 +32,7 @@ def queries() -> dict[str, Query]:
         "op3_licenses": lambda s, d: op3_licenses(table(s, d, "documents")),
         "op4_pii": lambda s, d: op4_pii(table(s, d, "documents")),
         "op5_chat": lambda s, d: op5_chat(table(s, d, "conversations")),
-        "op6_decontaminate": lambda s, d: overlaps(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op6_decontaminate": lambda s, d: links(table(s, d, "documents"), table(s, d, "benchmark")),
         "op7_html": lambda s, d: op7_html(table(s, d, "pages")),
         "op8_quality": lambda s, d: op8_quality(table(s, d, "documents")),
         "op9_suffixes": lambda s, d: op9_bytes(table(s, d, "documents")),

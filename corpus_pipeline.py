@@ -28,14 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; rows sharing a doc_id are one document."""
-    found = near_duplicates(docs, NEAR)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    one = rows.join(kept.hint("shuffle_hash"), F.col("row.doc_id") == F.col("kept_id"))
-    first = F.row_number().over(Window.partitionBy("kept_id").orderBy("row.text"))
-    one = one.withColumn("place", first).where("place = 1").select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group; documents without words or doc_id stay.
+
+    Rows sharing a doc_id are documents of their own: those with unrelated texts stay.
+    """
+    found = near_duplicates(docs, NEAR).where("kept and group_id is not null")
+    kept = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
+        F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")
+    )
+    inside = F.col("doc_id").isNotNull() & (word_count(F.col("text")) > 0)
+    rows = docs.where(inside).select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    one = rows.join(kept.hint("shuffle_hash"), ["_id", "_hash"])
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
+    one = one.withColumn("_place", first).where("_place = 1").select("_row.*")
+    return one.unionByName(docs.where(~inside))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

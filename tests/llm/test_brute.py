@@ -69,10 +69,25 @@ def leaks(texts, items):
 
 
 def test_overlaps(spark, docs, items):
+    from catalith.llm.decontaminate import overlaps
+
     some = [(d["doc_id"], d["text"]) for d in docs if len(d["text"] or "") < 4000]
-    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["matched"]) for r in queries()["op6_decontaminate"](spark, FOLDER).collect()}
     known = {k for k, _ in some}
-    assert {k: v for k, v in got.items() if k[0] in known} == leaks(some, items)
+    want = leaks(some, items)
+    least = {}
+    for i, o in items:
+        least[tuple(o)] = min(i, least.get(tuple(o), i))
+    named = {(k, least[tuple(dict(items)[i])]): v for (k, i), v in want.items()}
+    tables = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["matched"]) for r in overlaps(*tables).collect()}
+    assert {k: v for k, v in got.items() if k[0] in known} == named
+    rows = {r["doc_id"]: r for r in queries()["op6_decontaminate"](spark, FOLDER).collect()}
+    texts = {k: tokens(t) for k, t in some}
+    assert known & rows.keys() == {k for k, _ in want}
+    for k in known & rows.keys():
+        mine = {i: v for (d, i), v in want.items() if d == k}
+        assert rows[k]["n_items"] == len(mine) and rows[k]["matched"] == max(v[2] for v in mine.values())
+        assert rows[k]["class_id"] == min(d for d, t in texts.items() if t == texts[k])
 
 
 def test_personal_data(spark, docs):

@@ -37,7 +37,7 @@ def test_order_never_changes_the_verdict(spark, corpus, words, rows):
     texts = [words() for _ in range(30)] + [prose, prose.upper(), prose.replace(" ", " | "), "the line\n" * 5 + prose]
     docs = corpus(spark, texts)
     kept = rows(op8_quality(docs), "doc_id", "kept")
-    for rules in (RULES, RULES[::-1], order_rules(docs, fraction=1.0)):
+    for rules in (RULES, RULES[::-1], order_rules(docs)):
         judged = cascade(docs.select("doc_id", "text"), "text", rules)
         assert rows(judged.select("doc_id", F.col("failed_rule").isNull())) == kept
     clean = rows(quality_filter(docs), "doc_id")
@@ -124,3 +124,27 @@ def test_typed_parts(spark):
 
 def test_no_conversations(spark):
     assert op5_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
+
+
+def test_rules_run_by_rejections_per_cost(spark, corpus, tmp_path):
+    """Planted shares and unit costs give the order, twice the same, from a few of many files."""
+    from pyspark.sql import functions as F
+
+    from catalith.llm import quality
+    from catalith.llm.quality import Rule, costs
+
+    texts = [("#### " * 5 if i % 2 else "") + "plain words of a text " * 10 + ("A" * 400 if i % 4 == 0 else "") for i in range(400)]
+    docs = corpus(spark, texts)
+    docs.repartition(20).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    cheap = Rule("b_symbols", ("n_symbols",), lambda: F.col("n_symbols") > 10)
+    dear = Rule("a_repeats", ("n_repeat_words",), lambda: F.col("n_repeat_words") > 0)
+    rare = Rule("c_upper", ("n_upper",), lambda: F.col("n_upper") > 300)
+    never = Rule("d_lines", ("n_lines",), lambda: F.col("n_lines") > 99)
+    want = sorted([cheap, dear, rare], key=lambda r: -{"b_symbols": 0.5, "a_repeats": 1.0, "c_upper": 0.25}[r.name] / costs(r, 325, 51))
+    for rules in ([dear, cheap, never, rare], [rare, never, dear, cheap]):
+        for files in (8, 100):
+            assert [r.name for r in order_rules(docs, rules=rules, files=files)] == [r.name for r in [*want, never]]
+    assert order_rules(docs) == order_rules(docs)
+    assert quality._some_files(docs, 8).count() < 400 and quality._some_files(corpus(spark, texts), 8).count() == 400
+    assert {r["doc_id"] for r in op8_quality(docs).collect()} == set(range(400))

@@ -48,3 +48,15 @@ def test_sql(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(r[names.index(c)] for c in columns) for r in result.fetchall()), key=repr)
+
+
+def test_near_dedup_keeps_unrelated_texts_of_one_id(spark):
+    import random
+
+    random.seed(3)
+    a, b = (" ".join(random.choices([f"q{i}" for i in range(900)], k=100)) for _ in range(2))
+    rows = [(5, a), (5, b), (8, b), (8, a + " more"), (9, None), (9, ""), (None, a), (5, a)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _id int, _hash string")
+    got = pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(5, a), (5, b), (9, None), (9, ""), (None, a)], key=repr)

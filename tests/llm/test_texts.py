@@ -283,3 +283,42 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert got.columns == odd.columns and got.count() == odd.count() - 2
     assert decontaminate(none, benchmark).count() == 0
     assert decontaminate(odd, benchmark.limit(0)).count() == odd.count()
+
+
+def planted(n, changed, draws=400):
+    """Share of whole copies of items of n tokens, with so many changed, that a mask hits."""
+    import random
+
+    import numpy as np
+
+    from catalith.llm.decontaminate import LEAST, SHORT, _seeds, longest_stretch
+
+    random.seed(n * 100 + changed)
+    found = 0
+    for _ in range(draws):
+        item = np.array([random.getrandbits(63) for _ in range(n)], np.uint64)
+        copy = item.copy()
+        copy[random.sample(range(n), changed)] += np.uint64(1)
+        edge, short = np.array([0, n]), [n] if n <= SHORT else []
+        seeds = [{*zip(h.tolist(), at.tolist(), strict=True)} for x in (item, copy) for h, at in [[np.concatenate(y) for y in zip(*_seeds(x, edge, short), strict=True)]]]
+        i, j = longest_stretch(item == copy, True, True)
+        found += bool(seeds[0] & seeds[1]) and j - i >= min(LEAST, n)
+    return found / draws
+
+
+@pytest.mark.parametrize("n, changed, least", [(5, 1, 1), (9, 1, 1), (10, 2, 1), (13, 1, 1), (13, 2, 1), (15, 3, 1), (16, 1, 1), (16, 2, 0.95), (20, 2, 1), (20, 3, 0.95), (20, 4, 0.8), (30, 3, 0.95), (30, 6, 0.8)])
+def test_recall_of_planted_substitutions(n, changed, least):
+    share = planted(n, changed)
+    print(n, changed, share)
+    assert share >= least
+
+
+def test_a_line_in_all_items_and_documents(spark, corpus):
+    """Rows grow with the documents, not with documents times items; nothing is lost."""
+    from catalith.llm.decontaminate import links
+
+    line = " ".join(f"l{i}" for i in range(20))
+    items = spark.createDataFrame([(i, f"{line} item{i} of the list") for i in range(60)] + [(100 + i, line) for i in range(30)], "item_id long, text string")
+    docs = corpus(spark, [f"text{i % 40} before {line} and after" for i in range(80)])
+    got = {r["doc_id"]: r for r in links(docs, items).collect()}
+    assert len(got) == 80 and all(r["n_items"] == 90 and r["class_id"] == i % 40 and r["item_id"] in (0, 100) and r["matched"] == 20 for i, r in got.items())
