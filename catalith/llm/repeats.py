@@ -367,7 +367,7 @@ def _answer_seeds(hot: int):
         raw = np.frombuffer(b"".join(loads), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw[:, :5]
-        values, units = wide.view(_U).ravel(), np.exp2(raw[:, 5])
+        values, units = wide.view(_U).ravel(), np.exp2(raw[:, 5].astype(np.float64))
         order = np.argsort(values)
         begin = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
         size = np.diff(np.append(begin, len(order)))
