@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,11 +51,11 @@ def edge_trim(c: Column, characters: str = TITLE_EDGES, side: str = "both") -> C
 
 
 def split_bilingual_title(c: Column, script: str = HEBREW) -> Column:
-    """struct(latin, hebrew); mixed titles are cut at the first Hebrew character."""
+    """struct(latin, hebrew); mixed titles are cut at the first Hebrew character, and trimmed at the cut alone."""
     s = strip(c)
     has_hebrew, has_latin = s.rlike(f"[{script}]"), s.rlike("[A-Za-z]")
     cut = F.regexp_extract(s, f"^([^{script}]*)", 1)
-    left, right = edge_trim(cut), edge_trim(s.substr(F.length(cut) + 1, F.length(s)))
+    left, right = edge_trim(cut, side="right"), edge_trim(s.substr(F.length(cut) + 1, F.length(s)), side="left")
     null = F.lit(None).cast("string")
     latin = F.when(has_hebrew & has_latin, F.nullif(left, F.lit(""))).when(has_latin & ~has_hebrew, s).otherwise(null)
     hebrew = F.when(has_hebrew & has_latin, F.nullif(right, F.lit(""))).when(has_hebrew & ~has_latin, s).otherwise(null)
@@ -121,13 +124,15 @@ def language_key(c: Column) -> Column:
 
 
 def set_query_parameter(url: Column, name: str, value: str) -> Column:
-    """The URL with one query parameter replaced or added."""
-    base, query = F.substring_index(url, "?", 1), F.when(url.contains("?"), F.regexp_replace(url, r"^[^?]*\?", "")).otherwise(F.lit(""))
-    present = query.rlike(rf"(^|&){name}=")
-    changed = F.when(present, F.regexp_replace(query, rf"(^|&){name}=[^&]*", rf"$1{name}={value}")).otherwise(
-        F.concat_ws("&", F.nullif(query, F.lit("")), F.lit(f"{name}={value}"))
+    """The URL with one query parameter replaced or added; a fragment stays at the end."""
+    pair = f"{quote(name, safe='')}={quote(value, safe='')}"
+    before = rf"(^|&){re.escape(quote(name, safe=''))}="
+    fragment, rest = F.regexp_extract(url, r"(?s)(#.*)$", 1), F.substring_index(url, "#", 1)
+    base, query = F.substring_index(rest, "?", 1), F.when(rest.contains("?"), F.regexp_replace(rest, r"^[^?]*\?", "")).otherwise(F.lit(""))
+    changed = F.when(query.rlike(before), F.regexp_replace(query, rf"{before}[^&]*", rf"$1{pair}")).otherwise(
+        F.concat_ws("&", F.nullif(query, F.lit("")), F.lit(pair))
     )
-    return F.concat(base, F.lit("?"), changed)
+    return F.concat(base, F.lit("?"), changed, fragment)
 
 
 def first_filled(*columns: Column) -> Column:

@@ -27,7 +27,7 @@ from catalith.operators import (
     values,
     vocab,
 )
-from catalith.session import scratch
+from catalith.session import fixed, scratch
 from catalith.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,16 +183,6 @@ def in_both(t):
     return reconcile.in_both(t.documents.select("doc_id"), t.labels.select("doc_id"))
 
 
-@query(
-    "outer_general",
-    """WITH g AS (SELECT conv_id AS k, md5(string_agg(text, ' ' ORDER BY turn, role, text)) AS general FROM conversations WHERE role = 'user' GROUP BY conv_id),
-i AS (SELECT doc_id AS k, source FROM documents WHERE doc_id % 3 = 0)
-SELECT coalesce(i.k, g.k) AS k, source, general FROM i FULL JOIN g ON i.k = g.k""",
-)
-def outer_general(t):
-    return _with_general(t, t.documents.where("doc_id % 3 = 0"))
-
-
 def _with_general(t, documents: DataFrame) -> DataFrame:
     said = t.conversations.where("role = 'user'").select(F.col("conv_id").alias("k"), F.struct("turn", "role", "text").alias("at"), "text")
     general = aggregates.join_texts(said, ["k"], "text", "at").select("k", F.md5("text").alias("general"))
@@ -200,12 +190,12 @@ def _with_general(t, documents: DataFrame) -> DataFrame:
 
 
 @query(
-    "outer_general_all",
+    "outer_general",
     """WITH g AS (SELECT conv_id AS k, md5(string_agg(text, ' ' ORDER BY turn, role, text)) AS general FROM conversations WHERE role = 'user' GROUP BY conv_id),
 i AS (SELECT doc_id AS k, source FROM documents)
 SELECT coalesce(i.k, g.k) AS k, source, general FROM i FULL JOIN g ON i.k = g.k""",
 )
-def outer_general_all(t):
+def outer_general(t):
     return _with_general(t, t.documents)
 
 
@@ -233,23 +223,11 @@ def value_lookup(t):
 
 @query(
     "derived_parent",
-    """WITH r AS (SELECT DISTINCT printf('AB-001-G-F-%04d-%03d-R%04d', l_orderkey % 10000, l_suppkey % 1000, l_linenumber) AS id FROM lineitem),
-k AS (SELECT printf('AB-001-G-F-%04d', o_orderkey) AS id FROM orders WHERE o_orderkey < 10000)
-SELECT r.id AS identifier, k.id AS collection FROM r LEFT JOIN k ON regexp_replace(r.id, '-[0-9]{3}-R[0-9]+$', '') = k.id""",
-)
-def derived_parent(t):
-    records = t.lineitem.select(F.format_string("AB-001-G-F-%04d-%03d-R%04d", F.col("l_orderkey") % 10000, F.col("l_suppkey") % 1000, "l_linenumber").alias("identifier")).distinct()
-    known = t.orders.where("o_orderkey < 10000").select(F.format_string("AB-001-G-F-%04d", "o_orderkey").alias("id"))
-    return reconcile.with_parents(records, known, "identifier").select("identifier", "collection")
-
-
-@query(
-    "derived_parent_all",
     """WITH r AS (SELECT DISTINCT printf('AB-001-G-F-%04d-%03d-R%04d', l_orderkey, l_suppkey % 1000, l_linenumber) AS id FROM lineitem),
 k AS (SELECT printf('AB-001-G-F-%04d', o_orderkey) AS id FROM orders)
 SELECT r.id AS identifier, k.id AS collection FROM r LEFT JOIN k ON regexp_replace(r.id, '-[0-9]{3}-R[0-9]+$', '') = k.id""",
 )
-def derived_parent_all(t):
+def derived_parent(t):
     """Every order with its own id, of four digits or more."""
     records = t.lineitem.select(F.format_string("AB-001-G-F-%04d-%03d-R%04d", "l_orderkey", F.col("l_suppkey") % 1000, "l_linenumber").alias("identifier")).distinct()
     known = t.orders.select(F.format_string("AB-001-G-F-%04d", "o_orderkey").alias("id"))
@@ -403,14 +381,11 @@ def dup_samples(t):
     return sequences.top_per_key(t.documents.select("source", "doc_id"), "source", ["doc_id"], 3).withColumn("place", big("place", "place"))
 
 
-_VALUES = """v AS (SELECT DISTINCT l_orderkey AS resource_id, 'ex:part' AS term, 'p' || (l_partkey % 40) AS value, CASE WHEN l_suppkey % 3 > 0 THEN 'l' || l_suppkey % 3 END AS lang FROM lineitem WHERE l_orderkey BETWEEN 1 AND 2000)"""
+_VALUES = """v AS (SELECT DISTINCT l_orderkey AS resource_id, 'ex:part' AS term, 'p' || (l_partkey % 40) AS value, CASE WHEN l_suppkey % 3 > 0 THEN 'l' || l_suppkey % 3 END AS lang FROM lineitem)"""
 
 
-_ALL_VALUES = _VALUES.replace(" WHERE l_orderkey BETWEEN 1 AND 2000", "")
-
-
-def _line_values(t, lines: str = "l_orderkey between 1 and 2000") -> DataFrame:
-    rows = t.lineitem.where(lines).select(
+def _line_values(t) -> DataFrame:
+    rows = t.lineitem.select(
         F.col("l_orderkey").alias("resource_id"),
         F.lit("ex:part").alias("term"),
         F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("value"),
@@ -424,54 +399,30 @@ def _line_values(t, lines: str = "l_orderkey between 1 and 2000") -> DataFrame:
 
 @query(
     "merge_values",
-    f"""WITH {_VALUES}, n AS (SELECT resource_id AS pair, value, lang FROM v WHERE resource_id > 1000), o AS (SELECT resource_id + 1000 AS pair, value, lang FROM v WHERE resource_id <= 1000)
+    f"""WITH {_VALUES}, n AS (SELECT resource_id AS pair, value, lang FROM v WHERE resource_id % 2 = 0), o AS (SELECT resource_id + 1 AS pair, value, lang FROM v WHERE resource_id % 2 = 1)
 SELECT pair, value, lang, false AS added FROM n UNION ALL SELECT pair, value, lang, true FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pair = o.pair AND n.value = o.value AND n.lang IS NOT DISTINCT FROM o.lang)""",
 )
 def merge_values(t):
-    rows = _line_values(t)
-    newer = rows.where("resource_id > 1000").withColumn("pair", F.col("resource_id"))
-    older = rows.where("resource_id <= 1000").withColumn("pair", F.col("resource_id") + 1000)
-    return values.union_values(newer, older).select("pair", "value", "lang", "added")
-
-
-@query(
-    "merge_pairs",
-    f"""WITH {_VALUES}, n AS (SELECT resource_id, value, lang FROM v WHERE resource_id > 1000), o AS (SELECT resource_id + 1000 AS resource_id, value, lang FROM v WHERE resource_id <= 1000)
-SELECT resource_id, value, lang FROM n UNION ALL SELECT resource_id, value, lang FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.resource_id = o.resource_id AND n.value = o.value AND n.lang IS NOT DISTINCT FROM o.lang)""",
-)
-def merge_pairs(t):
-    rows = _line_values(t)
-    pairs = t.spark.range(1, 1001).select(F.col("id").alias("old"), (F.col("id") + 1000).alias("new"))
-    done = changes.apply(rows, changes.merge_pairs(rows, pairs))
-    return done.select("resource_id", "value", "lang")
-
-
-@query(
-    "merge_values_all",
-    f"""WITH {_ALL_VALUES}, n AS (SELECT resource_id AS pair, value, lang FROM v WHERE resource_id % 2 = 0), o AS (SELECT resource_id + 1 AS pair, value, lang FROM v WHERE resource_id % 2 = 1)
-SELECT pair, value, lang, false AS added FROM n UNION ALL SELECT pair, value, lang, true FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pair = o.pair AND n.value = o.value AND n.lang IS NOT DISTINCT FROM o.lang)""",
-)
-def merge_values_all(t):
     """All orders: the values of each even one, and what the odd one before it has alone."""
-    rows = _line_values(t, "true")
+    rows = _line_values(t)
     newer = rows.where("resource_id % 2 = 0").withColumn("pair", F.col("resource_id"))
     older = rows.where("resource_id % 2 = 1").withColumn("pair", F.col("resource_id") + 1)
     return values.union_values(newer, older).select("pair", "value", "lang", "added")
 
 
 @query(
-    "merge_pairs_all",
-    f"""WITH {_ALL_VALUES}, k AS (SELECT DISTINCT resource_id AS id FROM v), p AS (SELECT a.id AS old, b.id AS new FROM k a JOIN k b ON b.id = a.id + 1 WHERE a.id % 2 = 1),
+    "merge_pairs",
+    f"""WITH {_VALUES}, k AS (SELECT DISTINCT resource_id AS id FROM v), p AS (SELECT a.id AS old, b.id AS new FROM k a JOIN k b ON b.id = a.id + 1 WHERE a.id % 2 = 1),
 n AS (SELECT resource_id, value, lang FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE old = resource_id)), o AS (SELECT new AS resource_id, value, lang FROM v JOIN p ON old = resource_id)
 SELECT resource_id, value, lang FROM n UNION ALL SELECT resource_id, value, lang FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.resource_id = o.resource_id AND n.value = o.value AND n.lang IS NOT DISTINCT FROM o.lang)""",
 )
-def merge_pairs_all(t):
+def merge_pairs(t):
     """All orders: each odd one merged into the even one after it, where both are present."""
-    rows = _line_values(t, "true")
+    rows = fixed(_line_values(t))
     ids = rows.select("resource_id").distinct()
     new = ids.select(F.col("resource_id").alias("new"), (F.col("resource_id") - 1).alias("old"))
     pairs = ids.where("resource_id % 2 = 1").withColumnRenamed("resource_id", "old").join(new, "old")
-    return changes.apply(rows, changes.merge_pairs(rows, pairs)).select("resource_id", "value", "lang")
+    return changes.apply(rows, fixed(changes.merge_pairs(rows, pairs))).select("resource_id", "value", "lang")
 
 
 @query("union_sets", """SELECT o_custkey, array_to_string(list_concat(n, list_filter(o, lambda x: NOT list_contains(n, x))), ',') AS sets FROM (
@@ -714,12 +665,16 @@ def length_band(t):
 
 @query(
     "title_split",
-    r"""WITH s AS (SELECT p_partkey, p_size % 4 AS k, p_name FROM part)
-SELECT p_partkey, CASE WHEN k IN (0, 1) THEN p_name END AS latin, CASE WHEN k IN (0, 2) THEN 'שלום ' || p_partkey END AS hebrew FROM s""",
+    r"""WITH s AS (SELECT p_partkey, p_size % 6 AS k, p_name FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 1) THEN p_name WHEN k = 4 THEN '-' || p_name WHEN k = 5 THEN ',' || p_name || '.' END AS latin,
+CASE WHEN k IN (0, 2) THEN 'שלום ' || p_partkey WHEN k = 4 THEN 'שלום:' WHEN k = 5 THEN 'שלום;-' END AS hebrew FROM s""",
 )
 def title_split(t):
-    k, he = F.col("p_size") % 4, F.concat(F.lit("שלום "), F.col("p_partkey").cast("string"))
-    title = F.when(k == 0, F.concat("p_name", F.lit(" - "), he)).when(k == 1, F.col("p_name")).when(k == 2, he).otherwise(F.col("p_partkey").cast("string"))
+    """Mixed, Latin, Hebrew and other titles; those of the last two kinds begin and end with edge characters, which stay."""
+    k, he = F.col("p_size") % 6, F.concat(F.lit("שלום "), F.col("p_partkey").cast("string"))
+    title = F.when(k == 0, F.concat("p_name", F.lit(" - "), he)).when(k == 1, F.col("p_name")).when(k == 2, he)
+    title = title.when(k == 4, F.concat(F.lit("-"), "p_name", F.lit(" - שלום:"))).when(k == 5, F.concat(F.lit(","), "p_name", F.lit(".;, שלום;-")))
+    title = title.otherwise(F.col("p_partkey").cast("string"))
     return t.part.select("p_partkey", text.split_bilingual_title(title).alias("s")).select("p_partkey", "s.latin", "s.hebrew")
 
 
@@ -753,17 +708,18 @@ def url_host(t):
     return t.pages.select("page_id", text.url_host(F.col("url")).alias("host"))
 
 
-@query("url_language", """SELECT page_id, CASE WHEN contains(url, '#') THEN url ELSE split_part(url, '?', 1) END AS url FROM pages WHERE NOT contains(url, '?')""")
+@query(
+    "url_language",
+    """WITH u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '#part?x=1' ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'lang=he&xlang=1#lang=fr' END AS url FROM pages),
+p AS (SELECT page_id, split_part(url, '#', 1) AS base, CASE WHEN contains(url, '#') THEN '#' || substring(url, position('#' IN url) + 1) ELSE '' END AS part FROM u)
+SELECT page_id, CASE WHEN contains(base, 'lang=he') THEN replace(base, 'lang=he', 'lang=de') ELSE base || CASE WHEN contains(base, '?') THEN '&' ELSE '?' END || 'lang=de' END || part AS url FROM p""",
+)
 def url_language(t):
-    plain = t.pages.where(~F.col("url").contains("?"))
-    changed = plain.withColumn("u", text.set_query_parameter(F.col("url"), "lang", "de"))
-    return changed.select("page_id", F.regexp_replace("u", r"\?lang=de$", "").alias("url"))
-
-
-@query("url_language_all", """SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'lang=de' AS url FROM pages""")
-def url_language_all(t):
-    """Every page; no url of the tables has the parameter before."""
-    return t.pages.select("page_id", text.set_query_parameter(F.col("url"), "lang", "de").alias("url"))
+    """Every page; a third of the URLs get a fragment, another third the parameter and a fragment."""
+    url, k = F.col("url"), F.col("page_id") % 3
+    more = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("lang=he&xlang=1#lang=fr"))
+    given = F.when(k == 0, url).when(k == 1, F.concat(url, F.lit("#part?x=1"))).otherwise(more)
+    return t.pages.select("page_id", text.set_query_parameter(given, "lang", "de").alias("url"))
 
 
 @query("partial_dates", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('year', o_orderdate)::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE ELSE o_orderdate::DATE END AS date_from,
@@ -846,14 +802,9 @@ def enrich_idempotent(t):
     return batches.upsert_new(rows, t.events.where("event_id < 20").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query("apply_inserts", f"""WITH {_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders WHERE o_orderkey <= 2000""")
+@query("apply_inserts", f"""WITH {_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders""")
 def apply_inserts(t):
-    return _inserted(_line_values(t), t.orders.where("o_orderkey <= 2000"))
-
-
-@query("apply_inserts_all", f"""WITH {_ALL_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders""")
-def apply_inserts_all(t):
-    return _inserted(_line_values(t, "true"), t.orders)
+    return _inserted(_line_values(t), t.orders)
 
 
 def _inserted(rows: DataFrame, orders: DataFrame) -> DataFrame:
@@ -870,11 +821,6 @@ def apply_updates(t):
     return _updated(_line_values(t))
 
 
-@query("apply_updates_all", f"""WITH {_ALL_VALUES} SELECT resource_id, CASE WHEN resource_id % 10 = 1 THEN 'X' ELSE value END AS value, lang FROM v WHERE resource_id % 10 > 0""")
-def apply_updates_all(t):
-    return _updated(_line_values(t, "true"))
-
-
 def _updated(rows: DataFrame) -> DataFrame:
     updates = changes.change(rows.where("resource_id % 10 = 1").withColumn("value", F.lit("X")), "update")
     drops = changes.change(rows.where("resource_id % 10 = 0").select("resource_id").distinct(), "drop")

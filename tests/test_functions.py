@@ -32,6 +32,10 @@ def one(spark, value, build, kind="string"):
         ("not a url", text.url_host, None),
         ("/p?a=1&lang=en", lambda c: text.set_query_parameter(c, "lang", "de"), "/p?a=1&lang=de"),
         ("/p", lambda c: text.set_query_parameter(c, "lang", "de"), "/p?lang=de"),
+        ("http://h/p#frag", lambda c: text.set_query_parameter(c, "lang", "de"), "http://h/p?lang=de#frag"),
+        ("/p?a=1&lang=he#x?lang=fr", lambda c: text.set_query_parameter(c, "lang", "de"), "/p?a=1&lang=de#x?lang=fr"),
+        ("/p?axb=1", lambda c: text.set_query_parameter(c, "a.b", "$1 &"), "/p?axb=1&a.b=%241%20%26"),
+        ("/p?a.b=1&a.b", lambda c: text.set_query_parameter(c, "a.b", "2"), "/p?a.b=2&a.b"),
         ("DE-at", text.language_key, "de"),
         (None, text.language_key, ""),
         ("AB-G-F-0001-002-R0003", idents.folder_of, "AB-G-F-0001-002"),
@@ -90,6 +94,9 @@ def test_string_functions(spark, value, build, want):
         ("אב", (None, "אב")),
         ("123", (None, None)),
         (None, (None, None)),
+        ("-Foo אב", ("-Foo", "אב")),
+        ("Foo bar - אב:", ("Foo bar", "אב:")),
+        (" ,Foo:;, - אב-", (",Foo", "אב-")),
     ],
 )
 def test_bilingual_titles(spark, title, want):
@@ -148,3 +155,16 @@ def test_nan_text(spark):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     assert df.select(text.concat_columns([F.col("x"), F.col("y")])).first()[0] == "a"
     assert df.select(text.concat_columns([F.col("x"), F.col("y")], True)).first()[0] == "a nan"
+
+
+def test_kinds_of_values_and_pages(spark):
+    """F14, F15, F17 and L6."""
+    assert [one(spark, n, lambda c: predicates.is_shown_property(c.cast("int"), (10, 11))) for n in ("10", "12")] == [False, True]
+    assert [one(spark, u, lambda c: predicates.is_uri_value(F.lit("uri"), c)) for u in ("http://x", "", None)] == [True, False, False]
+    assert one(spark, "http://x", lambda c: predicates.is_uri_value(F.lit("literal"), c)) is False
+    assert [one(spark, k, predicates.is_link) for k in ("resource:item", "literal")] == [True, False]
+    assert [one(spark, n, lambda c: predicates.page_kind(c.cast("int"))) for n in ("5", "2", "3", None)] == ["collection", "folder", "item", "item"]
+
+
+def test_padding_blanks_and_signatures(spark):
+    assert [one(spark, n, lambda c: text.zero_pad(c.cast("int"))) for n in ("7", "12345")] == ["0007", "12345"]
