@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import scratch, table, word_count
+from catalith.llm.common import WORD, scratch, table, word_count
 from catalith.llm.decontaminate import decontaminate
 from catalith.llm.mixing import cycle_weights, mix
 from catalith.llm.near_dup import near_duplicates
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")
     )
-    inside = F.col("doc_id").isNotNull() & (word_count(F.col("text")) > 0)
+    inside = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rows = docs.where(inside).select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     one = rows.join(kept.hint("shuffle_hash"), ["_id", "_hash"])
     first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
