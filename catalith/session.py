@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,12 @@ def session(app: str = "catalith", master: str | None = None, **conf: str) -> Sp
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder for intermediate results: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/catalith-checkpoints"
+    """The folder for intermediate results: ``spark.checkpoint.dir``, or on one machine a temporary one where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/catalith-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
