@@ -1,11 +1,13 @@
 """License scans: TF-IDF cosine to templates, then inheritance down the tree.
 
-Passages of a file that speak of licensing (a line with a cue, stretches of
-consecutive such lines, and windows around the cues of long lines) become sparse
-TF-IDF vectors; the template with the greatest cosine of at least ``LEAST``, or
-``LEAST_WINDOW`` for windows, names the licence. Inverse document
+Passages of a file become sparse TF-IDF vectors; the template with the greatest
+cosine of at least ``LEAST``, or ``LEAST_WINDOW`` for windows, names the licence.
+Passages are the whole file, each block of lines between blank ones (comment
+signs alone are blank), the run of blocks around it, its lines and sentences, and
+windows in long lines; each of them only where a cue occurs in it. Inverse document
 frequencies are those of the template collection; a term that no template has
-weighs as much as the rarest, so foreign words lower the cosine.
+weighs as much as the rarest, so foreign words and other versions lower the cosine.
+Reserved rights name a file only where nothing else does.
 
 A file without a licence of its own takes the one of the licence file in the
 nearest directory above it: distinct directories are joined with licensed
@@ -24,7 +26,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,43 +40,130 @@ LEAST, LEAST_WINDOW = 0.55, 0.7
 PASSAGE, BEFORE, LENGTHS = 30, 6, (5, 8, 12, 20, 30)
 #: Licensed directories up to which their table is broadcast; it is counted first.
 BROADCAST_DIRECTORIES = 100_000
-
-# How licence notices and licence files begin.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
+RESERVED = "Proprietary"
+
+# Licences with versions (identifier, name, short names, versions) and without (identifier, names).
+VERSIONED = (
+    ("Apache-{}", "Apache License", ("Apache",), ("1.0", "1.1", "2.0")),
+    ("GPL-{}", "GNU General Public License", ("GPL", "GNU GPL"), ("1.0", "2.0", "3.0")),
+    ("LGPL-{}", "GNU Lesser General Public License", ("LGPL", "GNU LGPL"), ("2.1", "3.0")),
+    ("AGPL-{}", "GNU Affero General Public License", ("AGPL", "GNU AGPL"), ("3.0",)),
+    ("MPL-{}", "Mozilla Public License", ("MPL",), ("1.1", "2.0")),
+    ("EPL-{}", "Eclipse Public License", ("EPL",), ("1.0", "2.0")),
+    ("EUPL-{}", "European Union Public Licence", ("EUPL",), ("1.1", "1.2")),
+    ("CDDL-{}", "Common Development and Distribution License", ("CDDL",), ("1.0", "1.1")),
+    ("OFL-{}", "SIL Open Font License", ("OFL",), ("1.1",)),
+    ("Artistic-{}", "Artistic License", ("Artistic",), ("1.0", "2.0")),
+    ("BSL-{}", "Boost Software License", ("BSL",), ("1.0",)),
+)
+UNVERSIONED = (
+    ("MIT", ("MIT License", "MIT")),
+    ("BSD-2-Clause", ("2-clause BSD License", "BSD 2-Clause License", "Simplified BSD License", "BSD-2-Clause")),
+    ("BSD-3-Clause", ("3-clause BSD License", "BSD 3-Clause License", "New BSD License", "BSD License", "BSD-3-Clause")),
+    ("ISC", ("ISC License", "ISC")),
+    ("Zlib", ("zlib License", "zlib/libpng license")),
+    ("Unlicense", ("Unlicense",)),
+    ("0BSD", ("Zero-Clause BSD License", "0BSD")),
+    ("WTFPL", ("WTFPL", "Do What The Fuck You Want To Public License")),
+    ("CC0-1.0", ("CC0 1.0 Universal", "CC0", "Creative Commons Zero v1.0 Universal")),
+)
+CREATIVE = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+# How licence notices and licence files read.
+NOTICES = (
     ("MIT", "Licensed under the MIT license. See LICENSE file in the project root for full license information."),
     ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", """MIT License. Copyright (c). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Released under the 3-clause BSD License. Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "Licensed under the BSD License."),
+    ("BSD-2-Clause", """BSD 2-Clause License. Copyright (c). All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """BSD 3-Clause License. Copyright (c). All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """ISC License. Copyright (c). Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License CC BY-NC 4.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("Proprietary", "All rights reserved."),
-    ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    (RESERVED, "All rights reserved."),
+    (RESERVED, "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
+)
+GRANTS = ("Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This program is made available under the terms of")
+_CUE = re.compile(
+    r"(?i:licen[sc]|copyright|rights reserved|spdx|public domain|permission (?:is hereby|to use)|redistribution and use|creative commons|free software|gplv|-clause|zlib)"
+    r"|\b(?:[AL]?GPL|MIT|BSD|ISC|MPL|EPL|EUPL|CDDL|OFL|WTFPL|CC[ -]BY|CC0|Apache-|Boost Software)"
 )
-_CUE = re.compile(r"(?i)licen[sc]|copyright|rights reserved|spdx|public domain|permission is hereby|redistribution and use|creative commons|free software")
-_CUE_LINE = re.compile(rf"(?m)^.*?(?:{_CUE.pattern.removeprefix('(?i)')}).*$", re.I)
+_BLOCK = re.compile(r"(?:[^\n]*[^\W_][^\n]*(?:\n|\Z))+")
+_SENTENCE = re.compile(r"(?<=[.;:!?])\s+(?=[A-Z(])")
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
 def terms(text: str) -> list[str]:
-    return _TERM.findall(text.lower())
-
-
-_BAGS = [(name, Counter(terms(text))) for name, text in TEMPLATES]
+    return _TERM.findall(text.lower().replace("licence", "license"))
+
+
+def templates() -> Iterator[tuple[str, str]]:
+    """(licence, text): the notices, and each licence's names and identifier after each grant."""
+    yield from NOTICES
+    named: list[tuple[str, list[str], list[str]]] = []
+    for pattern, name, short, versions in VERSIONED:
+        for v in versions:
+            key, forms = pattern.format(v), [v, v.removesuffix(".0")] if v.endswith(".0") else [v]
+            names = [f"the {name}, {word} {f}" for f in forms for word in ("version", "v")]
+            names += [f"the {name} {lead}{f}" for f in forms for lead in ("", "v")]
+            names += [n for s in short for f in forms for n in (f"{s} {f}", f"{s}v{f}", f"{s}-{f}", f"the {s} {f} license")]
+            later = [f"{key}-only", f"{key}-or-later"] if "GPL" in key else []
+            named.append((key, names, [key, *later]))
+    for code, name in CREATIVE:
+        for v in ("2.0", "2.5", "3.0", "4.0"):
+            kind = "International" if v == "4.0" else "Unported" if v == "3.0" else "Generic"
+            names = [f"CC {code} {v}", f"CC-{code}-{v}", f"a Creative Commons {name} {v} {kind} License", f"the Creative Commons {name} {v} License", f"CC {code} {v}. Creative Commons {name} {v} {kind} License"]
+            named.append((f"CC-{code}-{v}", names, [f"CC-{code}-{v}"]))
+    for key, names in UNVERSIONED:
+        named.append((key, [f"the {n}" for n in names], [key]))
+    for key, names, identifiers in named:
+        for name in names:
+            bare = name.removeprefix("the ")
+            if len(terms(bare)) > 1:
+                yield key, bare
+            for grant in GRANTS:
+                yield key, f"{grant} {name}."
+        for i in identifiers:
+            yield key, f"SPDX-License-Identifier: {i}"
+
+
+_BAGS = [(name, Counter(terms(text))) for name, text in templates()]
 _DF = Counter(t for _, bag in _BAGS for t in bag)
+_PLACE = {t: i for i, t in enumerate(_DF)}
 _IDF = {t: math.log(1 + len(_BAGS) / n) for t, n in _DF.items()}
 _UNKNOWN = max(_IDF.values())
 
@@ -84,51 +175,85 @@ def vector(bag: Counter) -> dict[str, float]:
     return {t: x / norm for t, x in v.items()} if norm else {}
 
 
-_VECTORS = [(name, vector(bag)) for name, bag in _BAGS]
-_LISTS: dict[str, list[tuple[int, float]]] = {}
-for _k, (_, _v) in enumerate(_VECTORS):
-    for _t, _x in _v.items():
-        _LISTS.setdefault(_t, []).append((_k, _x))
+_NAMES = [name for name, _ in _BAGS]
+#: A row for each term, a column for each template.
+_WEIGHTS = np.zeros((len(_PLACE), len(_BAGS)))
+for _k, (_, _bag) in enumerate(_BAGS):
+    for _t, _x in vector(_bag).items():
+        _WEIGHTS[_PLACE[_t], _k] = _x
 
 
 def passages(text: str) -> Iterator[tuple[list[str], float]]:
-    """(terms, least cosine) of each line with a cue, of stretches of such lines, and of windows in long ones."""
-    stretch: list[str] = []
-    last = None
-    for m in _CUE_LINE.finditer(text):
-        a, b = m.span()
-        if b - a <= 12 * PASSAGE:
-            line = terms(m[0])
-            yield line, LEAST
-            stretch = stretch + line if last is not None and a - last <= 1 else line
-            last = b
-            if len(line) < len(stretch) <= 8 * PASSAGE:
-                yield stretch, LEAST
-            if len(line) <= PASSAGE:
+    """(terms, least cosine) of the whole text, runs of blocks, blocks, lines and sentences with a cue, and of windows in long lines.
+
+    One term alone says nothing: MIT is a word, too.
+    """
+    if not _CUE.search(text):
+        return
+    yield terms(text), LEAST
+    run: list[str] = []
+    blocks = 0
+    for b in _BLOCK.finditer(text):
+        if not _CUE.search(text, *b.span()):
+            if blocks > 1:
+                yield run, LEAST
+            run, blocks = [], 0
+            continue
+        block = terms(b[0])
+        run, blocks = run + block if blocks else block, blocks + 1
+        yield block, LEAST
+        for piece in {*b[0].split("\n"), *_SENTENCE.split(b[0])}:
+            if not _CUE.search(piece):
                 continue
-        else:
-            stretch, last = [], None
-        for c in _CUE.finditer(text, a, b):
-            before = terms(text[max(a, c.start() - 80) : c.start()])[-BEFORE:]
-            after = terms(text[c.start() : min(b, c.start() + 12 * PASSAGE)])[:PASSAGE]
-            near = before + after
-            for i in range(len(before) + 1):
-                for n in LENGTHS:
-                    yield near[i : i + n], LEAST_WINDOW
+            words = terms(piece)
+            if len(words) < len(block):
+                yield words, LEAST
+            if len(words) > PASSAGE:
+                yield from windows(piece)
+    if blocks > 1:
+        yield run, LEAST
+
+
+def windows(line: str) -> Iterator[tuple[list[str], float]]:
+    for m in _CUE.finditer(line):
+        before = terms(line[max(0, m.start() - 80) : m.start()])[-BEFORE:]
+        after = terms(line[m.start() : m.start() + 12 * PASSAGE])[:PASSAGE]
+        near = before + after
+        for i in range(len(before) + 1):
+            for n in LENGTHS:
+                yield near[i : i + n], LEAST_WINDOW
+
+
+def _nearest(words: tuple[str, ...]) -> tuple[tuple[float, str] | None, tuple[float, str] | None]:
+    """(cosine, licence) of the best template, apart for those that grant something and reserved rights."""
+    v = [(_PLACE[t], x) for t, x in vector(Counter(words)).items() if t in _PLACE]
+    if not v:
+        return None, None
+    places, x = zip(*v, strict=True)
+    cosine = np.round(np.array(x) @ _WEIGHTS[list(places)], 9)
+    out = []
+    for group in (_GRANTED, _RESERVED):
+        top = cosine[group].max()
+        out.append((float(top), min(_NAMES[k] for k in group[cosine[group] == top])))
+    return out[0], out[1]
+
+
+_GRANTED = np.array([k for k, name in enumerate(_NAMES) if name != RESERVED])
+_RESERVED = np.array([k for k, name in enumerate(_NAMES) if name == RESERVED])
+_nearest_short = lru_cache(1 << 15)(_nearest)
 
 
 def classify(text: str | None) -> tuple[str | None, float]:
     """The best licence and its cosine; (None, 0.0) below the threshold."""
-    best, found = 0.0, None
+    best: list[tuple[float, str] | None] = [None, None]
     for words, least in passages(text or ""):
-        score: dict[int, float] = {}
-        for t, x in vector(Counter(words)).items():
-            for k, y in _LISTS.get(t, ()):
-                score[k] = score.get(k, 0.0) + x * y
-        for k, s in score.items():
-            if s >= least and (round(s, 9), found is None or _VECTORS[k][0] < found) > (round(best, 9), False):
-                best, found = s, _VECTORS[k][0]
-    return found, round(best, 6)
+        if len(words) < 2:
+            continue
+        for i, near in enumerate((_nearest_short if len(words) <= PASSAGE else _nearest)(tuple(words))):
+            if near and near[0] >= least and (best[i] is None or (-near[0], near[1]) < (-best[i][0], best[i][1])):
+                best[i] = near
+    found = best[0] or best[1]
+    return (found[1], round(found[0], 6)) if found else (None, 0.0)
 
 
 def scan(files: DataFrame) -> DataFrame:

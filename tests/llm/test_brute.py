@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import html
+import math
 import os
 import re
 
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
-from catalith.llm.licences import classify  # noqa: E402
+from catalith.llm.licences import templates  # noqa: E402
 from catalith.llm.pii import find, in_order, mask  # noqa: E402
 from catalith.llm.registry import queries  # noqa: E402
 from tests.llm.test_native import WORD, fill, measured  # noqa: E402
@@ -110,8 +111,79 @@ def test_articles(spark):
         assert got[p["page_id"]] == " ".join(b for b in (" ".join(html.unescape(x).split()) for x in blocks) if b)
 
 
+CUES = re.compile(
+    "licence|license|licens|copyright|rights reserved|spdx|public domain|permission is hereby|permission to use|redistribution and use|creative commons|free software|gplv|-clause|zlib", re.I
+)
+NAMES = re.compile(r"\b(GPL|LGPL|AGPL|MIT|BSD|ISC|MPL|EPL|EUPL|CDDL|OFL|WTFPL|CC BY|CC-BY|CC0|Apache-|Boost Software)")
+
+
+def cues(text):
+    """Starts of cues from left to right, none inside another."""
+    out, end = [], 0
+    for start, stop in sorted((m.start(), m.end()) for p in (CUES, NAMES) for m in p.finditer(text)):
+        if start >= end:
+            out.append(start)
+            end = stop
+    return out
+
+
+def bag(text):
+    return collections.Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower().replace("licence", "license")))
+
+
+def licence(text, weighted, idf):
+    """The licence of the closest template by the cosine of whole dictionaries, over every passage."""
+    text = text or ""
+    if not cues(text):
+        return None
+    blocks, run, pieces = [], [], [(text, 0.55)]
+    for line in [*text.split("\n"), ""]:
+        if re.search(r"[^\W_]", line):
+            run.append(line)
+        elif run:
+            blocks.append(run)
+            run = []
+    joined = ["\n".join(b) for b in blocks]
+    for i in range(len(blocks)):
+        for j in range(i + 1, len(blocks) + 1):
+            inner = all(cues(b) for b in joined[i:j])
+            ends = (i == 0 or not cues(joined[i - 1])) and (j == len(blocks) or not cues(joined[j]))
+            if inner and (j == i + 1 or ends):
+                pieces.append(("\n".join(joined[i:j]), 0.55))
+    for block, b in zip(joined, blocks, strict=True):
+        for line in [*b, *re.split(r"(?<=[.;:!?])\s+(?=[A-Z(])", block)]:
+            if cues(line):
+                pieces.append((line, 0.55))
+                if sum(bag(line).values()) > 30:
+                    for k in cues(line):
+                        before = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", line[max(0, k - 80) : k].lower().replace("licence", "license"))[-6:]
+                        after = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", line[k : k + 360].lower().replace("licence", "license"))[:30]
+                        near = before + after
+                        pieces += [(" ".join(near[i : i + n]), 0.7) for i in range(len(before) + 1) for n in (5, 8, 12, 20, 30)]
+    unknown, best = max(idf.values()), {}
+    for piece, least in pieces:
+        words = bag(piece)
+        if sum(words.values()) < 2 or not words.keys() & idf.keys():
+            continue
+        v = {t: (1 + math.log(n)) * idf.get(t, unknown) for t, n in words.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        for name, w, norm in weighted:
+            c = round(sum(x * w[t] for t, x in v.items() if t in w) / size / norm, 9)
+            if c >= least:
+                rank = (name == "Proprietary", -c, name)
+                best = min(best, rank) if best else rank
+    return best[2] if best else None
+
+
 def test_licences(spark, docs):
-    own = {d["doc_id"]: classify(d["text"]) for d in docs}
+    collection = [(name, bag(text)) for name, text in templates()]
+    df = collections.Counter(t for _, b in collection for t in b)
+    idf = {t: math.log(1 + len(collection) / n) for t, n in df.items()}
+    weighted = []
+    for name, b in collection:
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in b.items()}
+        weighted.append((name, w, math.sqrt(sum(x * x for x in w.values()))))
+    own = {d["doc_id"]: (licence(d["text"], weighted, idf),) for d in docs}
     head = {}
     for d in docs:
         if own[d["doc_id"]][0]:

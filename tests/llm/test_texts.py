@@ -1,12 +1,13 @@
 """Personal data, pages, licences and decontamination."""
 
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 
 from catalith.llm.decontaminate import best_stretch, decontaminate, overlaps
-from catalith.llm.licences import classify, inherit, op3_licenses
+from catalith.llm.licences import NOTICES, classify, inherit, op3_licenses
 from catalith.llm.pages import extract, main_text, op7_html
 from catalith.llm.pii import base_spans, detect, find, luhn, mask, op4_pii, redact
 
@@ -172,6 +173,23 @@ def test_page_tables(spark, none):
         ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
         ("x\nThis work is licensed under the GNU General Public License, version 3.\ny", "GPL-3.0"),
         ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("Copyright (c) 2020 Foo. Licensed under the MIT License.", "MIT"),
+        ("Copyright (c) 2020 Foo. All rights reserved.\nLicensed under the MIT License.", "MIT"),
+        ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+        ("Licensed under the Apache License, Version 9.9.", None),
+        ("Distributed under GPLv3.", "GPL-3.0"),
+        ("Released under Apache-2.0", "Apache-2.0"),
+        ("This text is available under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+        ("Licensed under the ISC License.", "ISC"),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("This program is made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\nCopyright (C) 1989, 1991 Foo Inc.", "GPL-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nEveryone is permitted to copy", "GPL-3.0"),
+        ("WIR GEHEN.\nMIT!! DEM!! HUND", None),
+        ("the GPL is a topic that many people like to discuss at lunch", None),
         ("All rights reserved.", "Proprietary"),
         ("a driving licence is needed to drive a car on the roads of this country", None),
         (None, None),
@@ -194,6 +212,17 @@ def test_nearest_ancestor(spark, rows):
     assert got["q/f.txt"] == got["top.txt"] == got[None] == (None, None) and len(got) == 9
 
 
+def test_licence_files():
+    """A whole licence file, wrapped, commented and with a holder, has its own name, not its sibling's."""
+    for name, text in NOTICES:
+        if len(text) < 600:
+            continue
+        lines = text.replace("Copyright (c).", "\n\nCopyright (c) 1999, Anna Example\n\n").replace(": 1.", ":\n\n1.").replace(". 2.", ".\n\n2.").replace(". 3.", ".\n\n3.").split("\n")
+        wrapped = [w for line in lines for w in (textwrap.wrap(line, 70) or [""])]
+        assert classify("\n".join(wrapped))[0] == name
+        assert classify("\n".join(f" * {w}" for w in wrapped) + "\n\nint main() {}")[0] == name
+
+
 def test_licence_odd_rows(odd, none):
     assert op3_licenses(odd).count() == odd.count() and op3_licenses(none).count() == 0
 
