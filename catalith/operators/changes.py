@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from catalith.functions.text import sql_literal, strip
 from catalith.operators.reconcile import redirect
-from catalith.operators.values import IDENTITY, signature, union_values
+from catalith.operators.sequences import numbered
+from catalith.operators.values import IDENTITY, union_values
 
 VALUE = ("resource_id", "term", "pos", *IDENTITY, "label", "is_public")
 
@@ -30,22 +31,23 @@ def change(rows: DataFrame, op: str) -> DataFrame:
 def apply(values: DataFrame, changes: DataFrame) -> DataFrame:
     """The table after the changes: drops, deletes and updates by (resource, term, pos), then inserts.
 
-    An insert whose value the resource has already under the term is passed
+    An insert whose value (of an address with its label) the resource has already under the term is passed
     over, and so is one that repeats another, so applying a set of inserts
     twice is applying it once (T3). Inserted values follow the existing ones.
     Only values under a (resource, term) that gets inserts are compared and
     counted; the others pass through joins with the changes.
     """
     key = ["resource_id", "term", "pos"]
+    same = F.to_json(F.struct(*IDENTITY, F.when(F.col("type") == "uri", F.col("label")).alias("label")))
     dropped = changes.where("op = 'drop'").select("resource_id").distinct()
     deleted = changes.where("op = 'delete'").select(*key).distinct()
     fresh = [c for c in VALUE if c not in key]
     updates = changes.where("op = 'update'").groupBy(*key).agg(F.max_by(F.struct(*fresh), F.struct("value", "lang")).alias("_u"))
     held = values.select(*VALUE).join(dropped, "resource_id", "left_anti").join(deleted, key, "left_anti")
     held = held.join(updates, key, "left").select(*key, *[F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in fresh])
-    new = changes.where("op = 'insert'").select(*VALUE).withColumn("_s", signature())
+    new = changes.where("op = 'insert'").select(*VALUE).withColumn("_s", same)
     touched = held.join(new.select("resource_id", "term").distinct(), ["resource_id", "term"], "left_semi")
-    own = touched.select("resource_id", "term", signature().alias("_s")).distinct()
+    own = touched.select("resource_id", "term", same.alias("_s")).distinct()
     new = new.join(dropped, "resource_id", "left_anti").join(own, ["resource_id", "term", "_s"], "left_anti")
     repeat = F.row_number().over(Window.partitionBy("resource_id", "term", "_s").orderBy("pos"))
     new = new.withColumn("_n", repeat).where("_n = 1")
@@ -60,21 +62,34 @@ def insert_resources(values: DataFrame) -> DataFrame:
     return change(values, "insert")
 
 
-def enrich(mapping: DataFrame, identifiers: DataFrame, last: int, label: Column) -> DataFrame:
+def enrich(mapping: DataFrame, identifiers: DataFrame, last: int, label: Column, sources: DataFrame | None = None, spread: int | None = None) -> DataFrame:
     """M2: what to do with each document: enrich, create under its legacy id, or create under a new number.
 
-    ``mapping`` has doc_id, legacy_id (an id or NEW) and pos; ``identifiers`` has
-    identifier and resource_id. Documents of one absent legacy id are created
-    once (Q18). ``number`` follows ``last`` in input order.
+    ``mapping`` has doc_id, legacy_id (an id or NEW) and a unique pos;
+    ``identifiers`` has identifier and resource_id. Documents of one absent
+    legacy id are created once (Q18). With ``sources`` (resource_id, uri, label),
+    a mapping with uri has the outcome already where its resource has the
+    address under the same label, also by an earlier row. ``number`` follows
+    ``last`` in input order; ``spread`` deals the new rows to so many tasks.
     """
     known = identifiers.groupBy("identifier").agg(F.min("resource_id").alias("resource_id"))
     rows = mapping.join(known, mapping["legacy_id"] == known["identifier"], "left").drop("identifier")
-    first = F.row_number().over(Window.partitionBy("legacy_id").orderBy("pos"))
-    new = F.col("legacy_id") == "NEW"
-    action = F.when(new, "mint").when(F.col("resource_id").isNotNull(), "enrich").when(first == 1, "create").otherwise("enrich_created")
-    rows = rows.withColumn("action", action).withColumn("label", label)
-    place = F.row_number().over(Window.partitionBy("action").orderBy("pos"))
-    return rows.withColumn("number", F.when(F.col("action") == "mint", F.lit(last) + place))
+    new, found = F.col("legacy_id") == "NEW", F.col("resource_id").isNotNull()
+    firsts = rows.where(~found & ~new).groupBy("legacy_id").agg(F.min("pos").alias("_first"))
+    rows = rows.join(firsts, "legacy_id", "left").withColumn("label", label)
+    had = F.lit(False)
+    if sources is not None:
+        have = sources.select(F.col("resource_id").alias("_of"), F.col("uri").alias("_uri"), F.col("label").alias("_label")).distinct()
+        same = (F.col("resource_id") == F.col("_of")) & (F.col("uri") == F.col("_uri")) & F.col("label").eqNullSafe(F.col("_label"))
+        rows = rows.join(have, same, "left").withColumn("_had", F.col("_of").isNotNull()).drop("_of", "_uri", "_label")
+        turn = F.row_number().over(Window.partitionBy("resource_id", "uri", "label").orderBy("pos"))
+        others = rows.where(~found).withColumn("_turn", F.lit(1))
+        rows = rows.where(found).withColumn("_turn", turn).unionByName(others)
+        had = F.col("_had") | (F.col("_turn") > 1)
+    action = F.when(new, "mint").when(found & had, "already").when(found, "enrich").when(F.col("pos") == F.col("_first"), "create").otherwise("enrich_created")
+    rows = rows.withColumn("action", action).select(*mapping.columns, "resource_id", "action", "label")
+    minted = numbered(rows.where("action = 'mint'"), [], ["pos"], "number", spread).withColumn("number", F.col("number") + F.lit(last))
+    return minted.unionByName(rows.where("action <> 'mint'").withColumn("number", F.lit(None).cast("bigint")))
 
 
 def merge_pairs(values: DataFrame, pairs: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:

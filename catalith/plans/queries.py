@@ -854,12 +854,15 @@ def title_relabel(t):
     return changes.relabel_titles(rows, titles)
 
 
-@query("recatalogue", """SELECT c_custkey AS doc_id, CASE WHEN c_nationkey = 0 THEN 'mint' WHEN c_nationkey < 10 THEN 'enrich' WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1 THEN 'create' ELSE 'enrich_created' END AS action,
+@query("recatalogue", """SELECT c_custkey AS doc_id, CASE WHEN c_nationkey = 0 THEN 'mint'
+  WHEN c_nationkey < 10 AND (c_nationkey < 5 AND c_mktsegment = 'BUILDING' OR row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) > 1) THEN 'already'
+  WHEN c_nationkey < 10 THEN 'enrich' WHEN row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1 THEN 'create' ELSE 'enrich_created' END AS action,
   CASE WHEN c_nationkey = 0 THEN 100 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) END AS number FROM customer""")
 def recatalogue(t):
-    mapping = t.customer.select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_nationkey") == 0, "NEW").otherwise(F.col("c_nationkey").cast("string")).alias("legacy_id"), F.col("c_custkey").alias("pos"))
+    mapping = t.customer.select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_nationkey") == 0, "NEW").otherwise(F.col("c_nationkey").cast("string")).alias("legacy_id"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("uri"))
     known = t.nation.where("n_nationkey < 10").select(F.col("n_nationkey").cast("string").alias("identifier"), big("n_nationkey", "resource_id"))
-    return changes.enrich(mapping, known, 100, F.lit("x")).select("doc_id", "action", big("number", "number"))
+    held = t.nation.where("n_nationkey < 5").select(big("n_nationkey", "resource_id"), F.lit("BUILDING").alias("uri"), F.lit("x").alias("label"))
+    return changes.enrich(mapping, known, 100, F.lit("x"), held, spread=8).select("doc_id", "action", big("number", "number"))
 
 
 @query("edit_log", """SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 3 = 1 THEN 'changed' ELSE n_name END AS name FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT 100, 'new'""")

@@ -2,7 +2,9 @@
 
 One partition per range of pages, a pushed equality filter as a query parameter,
 retries on 500, 502, 503 and 504 for reads, creates and patches, not for
-replacements and deletions. ``fetch`` and ``send`` can be replaced in tests.
+replacements and deletions. Every request names its client and carries the
+credentials, if any, as query parameters, as the server wants them. ``call`` can
+be replaced in tests.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
@@ -20,16 +24,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 PER_PAGE, RETRIES, BACKOFF = 100, 5, 1.0
 RETRY_ON = frozenset({500, 502, 503, 504})
 RETRY_METHODS = frozenset({"GET", "POST", "PATCH"})
+#: Name of the client; some servers turn nameless ones away.
+AGENT = "catalith/1.0"
 #: Reply header with the number of rows.
 TOTAL = "X-Total-Count"
 SCHEMA = "id bigint, class_id int, template_id int, body string"
 
 
-def call(method: str, url: str, body: dict | None = None, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep):
+def call(method: str, url: str, body: dict | None = None, opener: Callable = urllib.request.urlopen, pause: Callable = time.sleep, agent: str = AGENT):
     """(decoded reply, headers) of a request."""
     data = None if body is None else json.dumps(body).encode()
     for attempt in range(RETRIES + 1):
-        request = urllib.request.Request(url, data, {"Content-Type": "application/json", "Connection": "close"}, method=method)
+        request = urllib.request.Request(url, data, {"Content-Type": "application/json", "Connection": "close", "User-Agent": agent}, method=method)
         try:
             with opener(request, timeout=60) as reply:
                 text = reply.read()
@@ -41,14 +47,27 @@ def call(method: str, url: str, body: dict | None = None, opener: Callable = url
     raise AssertionError
 
 
+def credentials(identity: str | None, credential: str | None) -> dict[str, str]:
+    """Query parameters that sign a request; none without both halves."""
+    return {"key_identity": identity, "key_credential": credential} if identity and credential else {}
+
+
+def property_filter(property_id: str | int, text: str) -> dict[str, str]:
+    """Query parameters of a search for a property's exact value, such as an identifier."""
+    return {"property[0][property]": str(property_id), "property[0][type]": "eq", "property[0][text]": text}
+
+
 def page_url(base: str, path: str, page: int, filters: dict[str, str] | None = None) -> str:
     return f"{base}/{path}?{urllib.parse.urlencode({**(filters or {}), 'per_page': PER_PAGE, 'page': page})}"
 
 
 def count(base: str, path: str, filters: dict[str, str] | None = None, call: Callable = call, header: str = TOTAL) -> int:
-    """The number of rows that the server reports."""
+    """The number of rows that the server reports; 0 with a warning where it reports none."""
     _, headers = call("GET", page_url(base, path, 1, filters))
-    return int(headers.get(header) or 0)
+    total = headers.get(header)
+    if total is None:
+        warnings.warn(f"no header {header}: pages of {path} are read one after another; set total_header", stacklevel=2)
+    return int(total or 0)
 
 
 def pages(base: str, path: str, first: int, last: int | None, filters: dict[str, str] | None = None, call: Callable = call) -> Iterator[dict]:
@@ -75,13 +94,19 @@ class Pages(InputPartition):
 
 
 class RestReader(DataSourceReader):
-    """Options: base, path, pages_per_partition, total_header."""
+    """Options: base, path, pages_per_partition, total_header, key_identity, key_credential, user_agent, property and text.
+
+    ``property`` (an id) with ``text`` asks the server for resources with just that value.
+    """
 
     def __init__(self, options):
         self.base, self.path = options["base"], options.get("path", "items")
         self.width = int(options.get("pages_per_partition", 20))
         self.header = options.get("total_header", TOTAL)
-        self.filters: dict[str, str] = {}
+        self.call = partial(call, agent=options.get("user_agent", AGENT))
+        self.filters = credentials(options.get("key_identity"), options.get("key_credential"))
+        if options.get("property"):
+            self.filters |= property_filter(options["property"], options.get("text", ""))
 
     def pushFilters(self, filters):
         """Class and template equality go to the server; others stay with Spark."""
@@ -93,11 +118,11 @@ class RestReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        n = -(-count(self.base, self.path, self.filters, header=self.header) // PER_PAGE)
+        n = -(-count(self.base, self.path, self.filters, self.call, self.header) // PER_PAGE)
         return [Pages(i, min(i + self.width - 1, n)) for i in range(1, n + 1, self.width)] or [Pages(1, None)]
 
     def read(self, partition):
-        for resource in pages(self.base, self.path, partition.first, partition.last, self.filters):
+        for resource in pages(self.base, self.path, partition.first, partition.last, self.filters, self.call):
             yield to_row(resource)
 
 
@@ -120,12 +145,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RestSource)
 
 
-def send(rows: DataFrame, base: str, path: str = "items", parallel: int = 4, apply: bool = False, call: Callable = call) -> DataFrame:
+def send(rows: DataFrame, base: str, path: str = "items", parallel: int = 4, apply: bool = False, call: Callable = call, sign: dict[str, str] | None = None) -> DataFrame:
     """(op, id, body) to the server, with (op, id, error) back, over ``parallel`` connections.
 
     op is create, patch, replace or delete. Without ``apply`` it is a dry run.
     A patch must carry whole resources: absent properties are erased (M12).
+    ``sign`` holds ``credentials``. A task that is run again repeats its requests,
+    so creates need identifiers by which repeats can be found.
     """
+    query = f"?{urllib.parse.urlencode(sign)}" if sign else ""
     methods = {"create": "POST", "patch": "PATCH", "replace": "PUT", "delete": "DELETE"}
 
     def run(batches):
@@ -138,10 +166,10 @@ def send(rows: DataFrame, base: str, path: str = "items", parallel: int = 4, app
                 if apply:
                     url = f"{base}/{path}" if op == "create" else f"{base}/{path}/{int(key)}"
                     try:
-                        call(methods[op], url, json.loads(body) if body else None)
+                        call(methods[op], url + query, json.loads(body) if body else None)
                     except Exception as e:
                         error = str(e)
                 errors.append(error)
             yield pd.DataFrame({"op": batch["op"], "id": batch["id"], "error": pd.Series(errors, index=batch.index, dtype="object")})
 
-    return rows.select("op", "id", "body").coalesce(parallel).mapInPandas(run, "op string, id bigint, error string")
+    return rows.select("op", "id", "body").repartition(parallel).mapInPandas(run, "op string, id bigint, error string")

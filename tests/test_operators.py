@@ -263,3 +263,25 @@ def test_constructors_headers_and_features(spark, rows):
     assert changes.insert_resources(table).where("op = 'insert'").count() == 2
     terms = spark.createDataFrame([("a:t",), ("a:u",)], "term string")
     assert rows(vocab.template_properties(terms, ["a:u"])) == [("a:t", False), ("a:u", True)]
+
+
+def test_enriching_again_is_passed_over(spark, rows):
+    mapping = spark.createDataFrame(
+        [(1, "A", 1, "u"), (2, "A", 2, "v"), (3, "A", 3, "v"), (4, "NEW", 4, "u"), (5, "B", 5, "u"), (6, "B", 6, "u"), (7, "NEW", 7, "u"), (8, "C", 8, None)],
+        "doc_id int, legacy_id string, pos int, uri string",
+    )
+    known = spark.createDataFrame([("A", 10), ("C", 11)], "identifier string, resource_id bigint")
+    held = spark.createDataFrame([(10, "u", "x"), (10, "u", "x"), (10, "v", "other"), (11, None, "x")], "resource_id bigint, uri string, label string")
+    want = [(1, "already", None), (2, "enrich", None), (3, "already", None), (4, "mint", 101), (5, "create", None), (6, "enrich_created", None), (7, "mint", 102), (8, "enrich", None)]
+    for spread in (None, 3):
+        assert rows(changes.enrich(mapping, known, 100, F.lit("x"), held, spread), "doc_id", "action", "number") == want
+    plain = rows(changes.enrich(mapping, known, 100, F.lit("x")), "doc_id", "action")
+    assert plain[:3] == [(1, "enrich"), (2, "enrich"), (3, "enrich")]
+
+
+def test_one_address_under_two_labels(spark, rows):
+    columns = "resource_id bigint, term string, pos int, type string, lang string, value string, value_resource_id bigint, uri string, label string, is_public boolean"
+    table = spark.createDataFrame([(1, "a:s", 0, "uri", None, None, None, "u", "x", True)], columns)
+    new = spark.createDataFrame([(1, "a:s", 0, "uri", None, None, None, "u", label, True) for label in ("x", "y", "y")], columns)
+    done = changes.apply(table, changes.change(new, "insert"))
+    assert rows(done, "pos", "uri", "label") == [(0, "u", "x"), (1, "u", "y")]

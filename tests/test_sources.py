@@ -1,6 +1,9 @@
+import http.server
 import io
 import json
+import threading
 import urllib.error
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,8 +88,6 @@ def test_retries():
 
 def server(n):
     def call(method, url, body=None):
-        import urllib.parse
-
         q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(url.split("?")[1]).items()}
         first = (q["page"] - 1) * q["per_page"]
         return [{"o:id": i} for i in range(first, min(n, first + q["per_page"]))], {"X-Total-Count": str(n)}
@@ -110,6 +111,46 @@ def test_pushed_filters():
     assert rest.to_row({"o:id": 1, "o:resource_class": {"o:id": 2}, "o:resource_template": None})[:3] == (1, 2, None)
 
 
+@pytest.fixture
+def catalogue():
+    """A server of 250 resources that answers signed requests of a known client only."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))
+            found = [i for i in range(250) if q.get("property[0][text]", str(i)) == str(i)]
+            signed = q.get("key_identity") == "me" and q.get("key_credential") == "secret" and self.headers["User-Agent"] == "reader/2"
+            self.send_response(200 if signed else 403)
+            self.send_header("X-Total-Count", str(len(found)))
+            self.end_headers()
+            first = (int(q["page"]) - 1) * int(q["per_page"])
+            self.wfile.write(json.dumps([{"o:id": i} for i in found[first : first + int(q["per_page"])]]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_reading_through_spark(spark, rows, catalogue):
+    rest.register(spark)
+    reader = spark.read.format("catalogue_rest").options(base=catalogue, pages_per_partition=1, user_agent="reader/2", key_identity="me", key_credential="secret")
+    table = reader.load()
+    assert table.rdd.getNumPartitions() == 3 and sorted(rows(table, "id")) == [(i,) for i in range(250)]
+    assert rows(reader.options(property="10", text="7").load(), "id") == [(7,)]
+
+
+def test_credentials_and_missing_totals():
+    assert rest.credentials("a", None) == {} and rest.credentials("a", "b") == {"key_identity": "a", "key_credential": "b"}
+    seen = []
+    with pytest.warns(UserWarning, match="set total_header"):
+        assert rest.count("http://h", "items", rest.property_filter(10, "x y"), call=lambda m, u: seen.append(u) or ([], {})) == 0
+    assert urllib.parse.parse_qs(seen[0].split("?")[1])["property[0][text]"] == ["x y"]
+
+
 def test_sending_is_a_dry_run_by_default(spark, rows):
     df = spark.createDataFrame([("delete", 1, None)], "op string, id bigint, body string")
     assert rows(rest.send(df, "http://nowhere.invalid")) == [("delete", 1, None)]
