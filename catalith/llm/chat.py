@@ -59,13 +59,14 @@ def visit_parts(content: Column) -> Column:
     """struct(text, attachments, expanded_tokens) of a content array.
 
     Placeholders are numbered within the message. Parts of an unknown type are
-    placeholders too, so that nothing vanishes silently.
+    placeholders too, so that nothing vanishes silently; signs other than ASCII
+    letters, digits, - and _ in its name become _ there, so that none ends the placeholder.
     """
     parts = F.coalesce(content, F.array().cast("array<struct<type:string,text:string,ref:string,tokens:bigint>>"))
     pieces = F.transform(
         parts,
         lambda p, i: F.when(p["type"] == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), F.coalesce(p["type"], F.lit("unknown")), F.lit(":"), i.cast("string"), F.lit("|>"))
+            F.concat(F.lit("<|"), F.regexp_replace(F.coalesce(p["type"], F.lit("unknown")), "[^A-Za-z0-9_-]", "_"), F.lit(":"), i.cast("string"), F.lit("|>"))
         ),
     )
     others = F.filter(

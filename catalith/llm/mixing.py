@@ -24,6 +24,8 @@ from catalith.llm.common import cut, word_count
 
 #: Sources up to which the table of targets is broadcast; it is counted first.
 BROADCAST_SOURCES = 20_000
+#: Buckets of the seeded order: three hex digits.
+BUCKETS = 4096
 
 
 def cycle_weights(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -55,15 +57,14 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weigh, size: Column, max_epochs: float = 3.0, seed: int = 17, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weigh, size: Column, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken).
 
     ``weigh`` maps the table (source, source_size) to one with ``weight``. The
     seeded order is that of md5(seed:doc_id). Its first hex digits are buckets:
     sums by bucket find the bucket in which a source's target is reached, and
-    only that bucket's documents, 1 in ``buckets``, are ordered one by one.
+    only that bucket's documents, 1 in ``BUCKETS``, are ordered one by one.
     """
-    assert buckets == 4096, "three hex digits"
     rows = cut(
         docs.select(
             F.col("doc_id"),
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, weigh, size: Column, max_epochs: float = 3.0, seed: int
         .agg(F.min(F.struct("_bucket", "_before")).alias("_edge"))
     )
     plan = _null_safe(targets, reached, "source", "left")
-    plan = cut(plan.withColumn("_at", F.coalesce("_edge._bucket", F.lit(buckets))).withColumn("_before", F.col("_edge._before")).drop("_edge"))
+    plan = cut(plan.withColumn("_at", F.coalesce("_edge._bucket", F.lit(BUCKETS))).withColumn("_before", F.col("_edge._before")).drop("_edge"))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     joined = _null_safe(rows, plan, "source")
