@@ -40,15 +40,26 @@ BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _BASE = _U(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=_U)
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
+
+
+def _grown(base: np.uint64, n: int) -> np.ndarray:
+    held = _powers.get(int(base), np.ones(1, dtype=_U))
+    while len(held) < n:
+        held = np.concatenate([held, held * (held[-1:] * base)])
+    _powers[int(base)] = held
+    return held
 
 
 def powers(n: int) -> np.ndarray:
     """At least ``n`` powers of an odd base."""
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _BASE)])
-    return _powers
+    return _grown(_BASE, n)
+
+
+def inverses(n: int) -> np.ndarray:
+    """At least ``n`` powers of the base's inverse modulo 2**64."""
+    return _grown(_INVERSE, n)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.llm.common import cut
-from catalith.llm.grams import mix, utf8
+from catalith.llm.grams import inverses, mix, powers, utf8
 
 #: Bytes of text in a segment, and at least in a part, for a range and for each partition.
 SEGMENT, PART, RANGE, PARTITION = 2 << 20, 4 << 20, 2 << 20, 16 << 20
@@ -90,9 +90,10 @@ class Segment:
 
     def distinct(self, units: np.ndarray, ranges_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first unit of each content by range, their ranges, of which of them each unit is a copy)."""
-        total = np.cumsum(self.run)
+        # windows weigh by their place in the unit, so that units with the same windows in another order differ
+        total = np.cumsum(self.run * powers(len(self.run))[: len(self.run)])
         lo, hi = self.lo[units], self.lo[units] + self.count[units] - 1
-        name = total[hi] - np.where(lo > 0, total[lo - 1], _U(0))
+        name = (total[hi] - np.where(lo > 0, total[lo - 1], _U(0))) * inverses(len(self.run))[lo]
         name = mix(name + self.seed[units] * _U(0x9E3779B97F4A7C15) + ((self.place[units] - lo) * 256 + hi - lo).astype(_U))
         to = (self.seed[units] % _U(ranges_)).astype(np.int64)
         order = np.lexsort((units, self.owner[units], name, to))

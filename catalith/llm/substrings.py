@@ -1,8 +1,9 @@
 """Repeated word sequences by seed and extend.
 
 Anchors are winnowed: of the seven-word grams of each window of 13 words the one with
-the least identifier is an anchor, so equal windows have one in common at the same
-place. Documents are joined on anchors (``repeats``). From a shared anchor the match
+the least identifier is an anchor, at every place where the window has it. Which places
+those are depends on the window's words alone, not on where it stands, so equal windows
+have all their anchors in common, at the same places. Documents are joined on anchors (``repeats``). From a shared anchor the match
 is extended word by word: to the left, each step parts the occurrences by the word
 there, and an occurrence that no other one shares stops; to the right likewise. What
 occurrences share on both sides is a match; it counts once it is 13 words long, in
@@ -101,19 +102,18 @@ def _read(text: np.ndarray, at: np.ndarray, ids: np.ndarray, copies: np.ndarray)
         total += len(got)
     symbols, first = (np.concatenate(held) if held else np.zeros(0, _U)), np.concatenate(first)
     n = len(symbols)
-    run, gram, key = np.zeros(n, _U), np.zeros(n, _U), np.zeros(n, _U)
+    run, gram = np.zeros(n, _U), np.zeros(n, _U)
+    anchors, valid = np.zeros(n, bool), repeats.starts(n, first, LENGTH, copies)
     for s in range(0, n - LENGTH + 1, BLOCK):
         g = qgrams(symbols[s : s + BLOCK + LENGTH - 1], ANCHOR)
         m = len(g) - REACH
         run[s : s + m] = mix(join_ids(g[:m], g[REACH:][:m]))
         g = mix(g)
         gram[s : s + len(g)] = g
-        g = (g & ~_U(63)) | (np.arange(s, s + len(g), dtype=_U) & _U(63))
-        key[s : s + m] = sliding_min(g, REACH + 1)
-    valid = repeats.starts(n, first, LENGTH, copies)
-    start = np.flatnonzero(valid)
-    place = start + ((key[start] & _U(63)).astype(np.int64) - start) % 64  # the anchor's place, from its low bits
-    anchor = np.unique(place)
+        least = sliding_min(g, REACH + 1)
+        for k in range(REACH + 1):
+            anchors[s + k : s + k + m] |= valid[s : s + m] & (g[k : k + m] == least)
+    anchor = np.flatnonzero(anchors)
     doc = np.searchsorted(first, anchor, "right") - 1
     lo = np.maximum(first[doc], anchor - REACH)
     hi = np.minimum(first[doc + 1] - LENGTH, anchor)

@@ -69,6 +69,38 @@ def test_periodic_texts(spark, corpus):
     check(corpus(spark, texts), list(enumerate(texts)))
 
 
+PERIODIC = ["a " * 13, "ha ho hi " * 5, "na na x " * 6, "x " + "ha ho hi " * 5, "p q r s t u v w p q r s t " * 2, "menu home menu about menu home menu about home " * 2]
+
+
+@pytest.mark.parametrize("method", [BYTES, WORDS])
+def test_periodic_passages_at_every_place(method):
+    """A repeated periodic passage is found wherever its copies stand in one segment."""
+    for passage in PERIODIC:
+        for pad in range(131):
+            texts = [" ".join(f"p{i}" for i in range(pad)), f"{passage}u1 ", f"u2 u3 {passage}u4 ", f"{passage}{passage}"]
+            raw = [t.encode() for t in texts]
+            segment = method.read(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])), np.arange(4), np.zeros(4, bool))
+            units = [tuple(t.split()) for t in raw] if method.words else raw
+            want = [bool(g) for part in brute(list(enumerate(units)), method.length) for g in part]
+            assert segment.cover(method.local(segment), method.length).tolist() == want, (passage, pad)
+
+
+def test_periodic_passages_across_segments(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 300)
+    texts = []
+    for pad in range(0, 131):
+        texts += [" ".join(f"p{pad}-{i}" for i in range(pad)) + f" {PERIODIC[pad % 6]}e{pad} "]
+    check(corpus(spark, texts).repartition(5), list(enumerate(texts)))
+
+
+def test_units_with_windows_in_another_order_differ():
+    """Copies of a unit have the same windows in the same order."""
+    run = np.array([5, 9, 9, 5, 9, 5, 5, 9, 5, 9, 9, 5], np.uint64)
+    lo, count = np.array([0, 4, 8]), np.array([4, 4, 4])
+    segment = repeats.Segment(np.arange(1), np.array([0, 12]), run, run, lo, count, np.full(3, 3, np.uint64), lo)
+    assert segment.distinct(np.arange(3), 1)[2].tolist() in ([0, 1, 0], [1, 0, 1])
+
+
 def test_odd_rows(spark, odd):
     from tests.llm.conftest import ODD
 
