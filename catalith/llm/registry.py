@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from catalith.llm.chat import op5_chat
 from catalith.llm.common import table
 from catalith.llm.decontaminate import links
+from catalith.llm.divergence import op12_divergence
 from catalith.llm.licences import op3_licenses
 from catalith.llm.mixing import op2_mix
 from catalith.llm.near_dup import op1_minhash
 from catalith.llm.pages import op7_html
 from catalith.llm.pii import op4_pii
 from catalith.llm.quality import op8_quality
+from catalith.llm.search import op13_search
 from catalith.llm.substrings import op10_words
 from catalith.llm.suffixes import op9_bytes
 
@@ -37,6 +39,8 @@ def queries() -> dict[str, Query]:
         "op8_quality": lambda s, d: op8_quality(table(s, d, "documents")),
         "op9_suffixes": lambda s, d: op9_bytes(table(s, d, "documents")),
         "op10_substrings": lambda s, d: op10_words(table(s, d, "documents")),
+        "op12_divergence": lambda s, d: op12_divergence(table(s, d, "documents")),
+        "op13_search": lambda s, d: op13_search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
 
 
@@ -117,4 +121,32 @@ p AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
 o AS (SELECT p.r, count(k.j)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p.j) FILTER (k.j IS NULL) AS kept FROM p LEFT JOIN k ON p.r = k.r AND p.j = k.j GROUP BY p.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o USING (r)""",
+        "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM k GROUP BY lang),
+s AS (SELECT DISTINCT lang, source FROM d),
+g AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+z AS (SELECT lang, source, sum(n) AS total FROM g GROUP BY ALL),
+p AS (SELECT g.*, 1 + (1000000000::HUGEINT * (g.n + 5)) // (z.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (g.lang_n + 5)) // (l.total + 5 * l.v) AS q
+  FROM g JOIN z USING (lang, source) JOIN l USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, b.source AS item FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM e LEFT JOIN f USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50""",
+        "op13_search": r"""
+WITH i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+x AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, docs),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w)::BIGINT * docs) // total AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT item_id, r, sum(x.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN t USING (term) JOIN x USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     }
