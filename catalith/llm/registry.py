@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL for DuckDB.
 
-No SQL is given where it can't express the query (op3, op4, op6, op7, the
-pipeline); tests hold those against brute force.
+No SQL is given where it can't express the query (op3, op4, op6, op7, op11,
+the pipeline); tests hold those against brute force.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalith.llm.chat import op5_chat
+from catalith.llm.classifier import op11_quality
 from catalith.llm.common import table
 from catalith.llm.decontaminate import links
 from catalith.llm.divergence import op12_divergence
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": lambda s, d: op8_quality(table(s, d, "documents")),
         "op9_suffixes": lambda s, d: op9_bytes(table(s, d, "documents")),
         "op10_substrings": lambda s, d: op10_words(table(s, d, "documents")),
+        "op11_classifier": lambda s, d: op11_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op12_divergence": lambda s, d: op12_divergence(table(s, d, "documents")),
         "op13_search": lambda s, d: op13_search(table(s, d, "documents"), table(s, d, "benchmark")),
     }
