@@ -190,9 +190,7 @@ class _Tile:
     def head(self, block: int, names: list[str], totals: np.ndarray, kept: int) -> None:
         self.names[block], self.kept = names, kept
         self.totals[block] = totals + self.smooth * kept
-        if len(self.names) == (1 if self.key[1] == self.key[2] else 2):
-            a, b = self.totals[self.key[1]], self.totals[self.key[2]]
-            self.sums = np.zeros((len(a), len(b)), np.int64)
+        self.sums = np.zeros([len(self.names.get(k, [])) for k in self.key[1:]], np.int64)
 
     def add(self, chunk: int, block: int, width: int, source: np.ndarray, term: np.ndarray, counts: np.ndarray) -> None:
         if chunk != self.chunk:
@@ -202,7 +200,7 @@ class _Tile:
 
     def close(self) -> None:
         """Add the chunk's share to the matrix."""
-        if self.held:
+        if self.held and self.sums.size:  # a block may have got no sources
             a, b = (self._dense(k) for k in self.key[1:])
             for i in range(len(a)):
                 self.sums[i] += np.abs(b - a[i]).sum(axis=1)
@@ -218,8 +216,8 @@ class _Tile:
     def rows(self) -> pa.RecordBatch:
         self.close()
         lang, a, b = self.key
-        x, y = self.names[a], self.names[b]
-        if self.kept > self.seen:  # chunks that neither block has terms of
+        x, y = self.names.get(a, []), self.names.get(b, [])
+        if self.kept > self.seen and self.sums.size:  # chunks that neither block has terms of
             flat = [_shares(np.full(len(self.names[k]), self.smooth, np.int64), self.totals[k]) for k in (a, b)]
             self.sums += (self.kept - self.seen) * np.abs(flat[0][:, None] - flat[1])
         i, j = (k.ravel() for k in np.indices(self.sums.shape))

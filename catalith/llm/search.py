@@ -25,6 +25,7 @@ columns not at all; no documents or no items give no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -141,7 +142,7 @@ class Best:
         keep = np.flatnonzero(score >= self.worst[item])
         item, score, doc = item[keep], score[keep], doc[keep]
         edge = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
-        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(item)], strict=True):
+        for i, j in itertools.pairwise([*edge.tolist(), len(item)]):
             k, scores, docs = int(item[i]), score[i:j], doc[i:j]
             if j - i > 4 * self.top:
                 some = np.flatnonzero(scores >= np.partition(scores, -self.top)[-self.top])
