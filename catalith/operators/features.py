@@ -30,8 +30,7 @@ def extract(images: DataFrame, model: Callable[[list[bytes]], list[list[float]]]
 def project(rows: DataFrame, features: str = "features") -> DataFrame:
     """Add x and y, the first two principal components.
 
-    A neighbour embedding has no distributed form; principal components are the
-    scalable substitute, and their coordinates differ from it.
+    They keep the table's main directions; ``neighbours.embed`` keeps neighbours instead.
     """
     vectors = rows.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(vectors)

@@ -21,6 +21,7 @@ from catalith.operators import (
     changes,
     features,
     localise,
+    neighbours,
     parse,
     reconcile,
     sequences,
@@ -762,6 +763,18 @@ def pca_rect(t):
     return features.select_rectangle(features.project(t.embeddings, "embedding"), -1, 1, -1, 1).select("vec_id", "x", "y")
 
 
+@query("neighbour_embedding")
+def neighbour_embedding(t):
+    """Every embedding in two coordinates."""
+    return neighbours.embed(t.embeddings, "embedding").select("vec_id", "x", "y")
+
+
+@query("nearest_neighbours")
+def nearest_neighbours(t):
+    """The fifteen nearest other vectors of every embedding, as the graph finds them."""
+    return neighbours.nearest(t.embeddings, "vec_id", 15, "embedding")
+
+
 @query("parse_stub", """WITH s AS (SELECT p_partkey, unnest([p_name || '.', 'General: ' || p_type]) AS item_description, unnest([0, 1]) AS item_pos FROM part) SELECT p_partkey, item_pos::BIGINT AS item_pos, item_description, starts_with(item_description, 'General') AS is_general FROM s""")
 def parse_stub(t):
     rows = t.part.select("p_partkey", F.concat("p_name", F.lit(". General: "), "p_type").alias("d"))
