@@ -1,7 +1,7 @@
 """Changes to a catalogue.
 
 A change set is a table of rows (op, resource_id, term, pos, type, lang, value,
-value_resource_id, uri, label, is_public); op is insert, update, delete or drop
+value_resource_id, uri, label, is_public, seq); op is insert, update, delete or drop
 (the whole resource). It is lazy: building one is the dry run (M13). ``apply``
 merges it by column and never touches values that no row names (M12).
 """
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.text import sql_literal, strip
-from catalith.operators.reconcile import redirect
+from catalith.operators.reconcile import redirect, resolve_chains
 from catalith.operators.sequences import numbered
 from catalith.operators.values import IDENTITY, union_values
 
@@ -20,41 +20,59 @@ VALUE = ("resource_id", "term", "pos", *IDENTITY, "label", "is_public")
 
 
 def change(rows: DataFrame, op: str) -> DataFrame:
-    """Rows as changes; absent columns are null."""
-    kinds = {"resource_id": "bigint", "pos": "int", "value_resource_id": "bigint", "is_public": "boolean"}
+    """Rows as changes; absent columns are null. ``seq`` is the place of a change in the order in which they were written."""
+    kinds = {"resource_id": "bigint", "pos": "int", "value_resource_id": "bigint", "is_public": "boolean", "seq": "bigint"}
     return rows.select(
         F.lit(op).alias("op"),
-        *[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in VALUE],
+        *[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in (*VALUE, "seq")],
     )
 
 
+def in_order(*sets: DataFrame) -> DataFrame:
+    """Change sets one after another: whatever a later set says comes after all of the earlier ones."""
+    placed = [s.withColumn("seq", F.struct(F.lit(k).alias("set"), F.col("seq").alias("seq"))) for k, s in enumerate(sets)]
+    every = placed[0]
+    for s in placed[1:]:
+        every = every.unionByName(s)
+    return every
+
+
 def apply(values: DataFrame, changes: DataFrame) -> DataFrame:
     """The table after the changes: drops, deletes and updates by (resource, term, pos), then inserts.
 
-    An insert whose value (of an address with its label) the resource has already under the term is passed
-    over, and so is one that repeats another, so applying a set of inserts
-    twice is applying it once (T3). Inserted values follow the existing ones.
-    Only values under a (resource, term) that gets inserts are compared and
-    counted; the others pass through joins with the changes.
+    Of several updates of one place the last by ``seq`` holds; where that is equal or
+    absent, the one with the greatest value and language. An insert whose value (of
+    an address with its label) the resource has already under the term is passed over, and so is one
+    that repeats another, so applying a set of inserts twice is applying it once (T3).
+    Inserted values follow the existing ones, by ``seq``, then by ``pos``.
+    Values under a (resource, term) that no change names pass through one join; the
+    others meet their changes in one shuffle, by (resource, term).
     """
-    key = ["resource_id", "term", "pos"]
-    same = F.to_json(F.struct(*IDENTITY, F.when(F.col("type") == "uri", F.col("label")).alias("label")))
+    fresh = [c for c in VALUE if c not in ("resource_id", "term", "pos")]
+    if "seq" not in changes.columns:
+        changes = changes.withColumn("seq", F.lit(None).cast("bigint"))
     dropped = changes.where("op = 'drop'").select("resource_id").distinct()
-    deleted = changes.where("op = 'delete'").select(*key).distinct()
-    fresh = [c for c in VALUE if c not in key]
-    updates = changes.where("op = 'update'").groupBy(*key).agg(F.max_by(F.struct(*fresh), F.struct("value", "lang")).alias("_u"))
-    held = values.select(*VALUE).join(dropped, "resource_id", "left_anti").join(deleted, key, "left_anti")
-    held = held.join(updates, key, "left").select(*key, *[F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) for c in fresh])
-    new = changes.where("op = 'insert'").select(*VALUE).withColumn("_s", same)
-    touched = held.join(new.select("resource_id", "term").distinct(), ["resource_id", "term"], "left_semi")
-    own = touched.select("resource_id", "term", same.alias("_s")).distinct()
-    new = new.join(dropped, "resource_id", "left_anti").join(own, ["resource_id", "term", "_s"], "left_anti")
-    repeat = F.row_number().over(Window.partitionBy("resource_id", "term", "_s").orderBy("pos"))
-    new = new.withColumn("_n", repeat).where("_n = 1")
-    last = touched.groupBy("resource_id", "term").agg((F.max("pos") + 1).alias("_next"))
-    line = F.row_number().over(Window.partitionBy("resource_id", "term").orderBy("pos", "_s"))
-    new = new.join(last, ["resource_id", "term"], "left").withColumn("pos", (F.coalesce("_next", F.lit(0)) + line - 1).cast("int"))
-    return held.select(*VALUE).unionByName(new.select(*VALUE))
+    other = changes.where("op <> 'drop'")
+    touched = other.select("resource_id", "term").distinct().withColumn("_touched", F.lit(True))
+    held = values.select(*VALUE).join(dropped, "resource_id", "left_anti").join(touched, ["resource_id", "term"], "left")
+    plain = held.where("_touched is null").select(*VALUE)
+    none = F.lit(None).cast(changes.schema["seq"].dataType)
+    own = held.where("_touched").select(*VALUE, F.lit("own").alias("op"), none.alias("seq"))
+    rows = own.unionByName(other.join(dropped, "resource_id", "left_anti").select(*VALUE, "op", "seq")).repartition("resource_id", "term")
+    place, group = Window.partitionBy("resource_id", "term", "pos"), Window.partitionBy("resource_id", "term")
+    is_own, is_new = F.col("op") == "own", F.col("op") == "insert"
+    update = F.max(F.when(F.col("op") == "update", F.struct("seq", "value", "lang", F.struct(*fresh).alias("row")))).over(place)
+    rows = rows.withColumn("_update", update["row"]).withColumn("_gone", F.max(F.col("op") == "delete").over(place))
+    rows = rows.where((is_own & (~F.col("_gone") | F.col("pos").isNull())) | is_new)
+    changed = is_own & F.col("_update").isNotNull() & F.col("pos").isNotNull()
+    rows = rows.select("resource_id", "term", "pos", "op", "seq", *[F.when(changed, F.col(f"_update.{c}")).otherwise(F.col(c)).alias(c) for c in fresh])
+    same = F.to_json(F.struct(*IDENTITY, F.when(F.col("type") == "uri", F.col("label")).alias("label")))
+    turn = F.row_number().over(Window.partitionBy("resource_id", "term", "_same").orderBy(is_new, "seq", "pos"))
+    rows = rows.withColumn("_same", same).withColumn("_turn", turn).where(is_own | (F.col("_turn") == 1))
+    line = F.row_number().over(Window.partitionBy("resource_id", "term", "op").orderBy("seq", "pos", "_same"))
+    rows = rows.withColumn("_next", F.coalesce(F.max(F.when(is_own, F.col("pos"))).over(group) + 1, F.lit(0))).withColumn("_line", line)
+    rows = rows.withColumn("pos", F.when(is_new, F.col("_next") + F.col("_line") - 1).otherwise(F.col("pos")).cast("int"))
+    return plain.unionByName(rows.select(*VALUE))
 
 
 def insert_resources(values: DataFrame) -> DataFrame:
@@ -92,12 +110,16 @@ def enrich(mapping: DataFrame, identifiers: DataFrame, last: int, label: Column,
     return minted.unionByName(rows.where("action <> 'mint'").withColumn("number", F.lit(None).cast("bigint")))
 
 
-def merge_pairs(values: DataFrame, pairs: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+def merge_pairs(values: DataFrame, pairs: DataFrame, skip: tuple[str, ...] = (), follow: bool = False) -> DataFrame:
     """Changes that move what the older resource has alone to the newer and drop the older.
 
     ``pairs`` has old and new; a pair of one id with itself is passed over (Q10).
+    With ``follow`` chains of pairs end at their last resource, which gets the values of all;
+    pairs that lead into a cycle are passed over.
     """
     pairs = pairs.where("old <> new").distinct()
+    if follow:
+        pairs = followed(pairs)
     older = values.join(pairs.select(F.col("old").alias("resource_id"), F.col("new").alias("pair")), "resource_id")
     newer = values.join(pairs.select(F.col("new").alias("resource_id"), F.col("new").alias("pair")).distinct(), "resource_id")
     merged = union_values(newer, older, skip).where("added").withColumn("resource_id", F.col("pair"))
@@ -112,9 +134,14 @@ def redirects(*maps: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def rewrite_links(values: DataFrame, moved: DataFrame, base: str) -> DataFrame:
-    """M5: updates of links to merged resources. All values of a changed property are carried."""
-    rows = redirect(values, moved, base)
+def followed(moved: DataFrame, order: str | None = None) -> DataFrame:
+    """(old, new) with new at the end of the chain of redirects; without those that lead into a cycle."""
+    return resolve_chains(moved, order).where("status = 'resolved'").select("old", F.col("last").alias("new"))
+
+
+def rewrite_links(values: DataFrame, moved: DataFrame, base: str, follow: bool = False) -> DataFrame:
+    """M5: updates of links to merged resources, with ``follow`` to the end of chains. All values of a changed property are carried."""
+    rows = redirect(values, followed(moved) if follow else moved, base)
     touched = rows.where("changed").select("resource_id", "term").distinct()
     return change(rows.join(touched, ["resource_id", "term"], "left_semi"), "update")
 

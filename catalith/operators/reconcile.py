@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.idents import collection_of, folder_of
 from catalith.functions.text import language_key, strip, url_id
+from catalith.session import fixed
 
 
 def only_listed(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -104,6 +105,38 @@ def redirect(values: DataFrame, moved: DataFrame, base: str) -> DataFrame:
     ).drop("_target", "old", "new")
 
 
+def resolve_chains(moved: DataFrame, order: str | None = None) -> DataFrame:
+    """(old, last, hops, status) of redirects (old, new) by pointer jumping.
+
+    ``last`` is where the chain from old ends and ``hops`` how many redirects lead there.
+    status is resolved, or cycle, with last and hops null, where the chain never ends.
+    Of an id with several targets the last by the column ``order`` holds, else the greatest;
+    a redirect of an id to itself is none.
+
+    Each round joins open pointers with the table of pointers and doubles their
+    length, so rounds grow with the logarithm of the longest chain. Ended pointers
+    leave the join. A round in which none ends leaves only cycles: if a chain of any
+    length were open, so would be its shorter ends.
+    """
+    real = moved.where("old is not null and new is not null and old <> new")
+    links = real.groupBy("old").agg((F.max_by("new", order) if order else F.max("new")).alias("last"))
+    ends = links.select(F.col("old").alias("_to"))
+    start = links.join(ends, F.col("last") == F.col("_to"), "left")
+    state = fixed(start.select("old", "last", F.lit(1).cast("bigint").alias("hops"), F.col("_to").isNull().alias("done")))
+    open_ = state.where("not done").count()
+    while open_:
+        step = state.select(F.col("old").alias("_at"), F.col("last").alias("_last"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
+        jumped = state.where("not done").join(step, F.col("last") == F.col("_at")).select("old", F.col("_last").alias("last"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_done").alias("done"))
+        state = fixed(state.where("done").unionByName(jumped))
+        left = state.where("not done").count()
+        if left == open_:
+            break
+        open_ = left
+    return state.select(
+        "old", F.when(F.col("done"), F.col("last")).alias("last"), F.when(F.col("done"), F.col("hops")).alias("hops"), F.when(F.col("done"), "resolved").otherwise("cycle").alias("status")
+    )
+
+
 def first_parent(links: DataFrame, identifiers: DataFrame, parent: Column) -> DataFrame:
     """For each resource the parent id that its first decodable child shows.
 

@@ -840,6 +840,28 @@ def _updated(rows: DataFrame) -> DataFrame:
     return changes.apply(rows, updates.unionByName(drops)).select("resource_id", "value", "lang")
 
 
+@query("updates_in_order", f"""WITH {_VALUES} SELECT resource_id, CASE resource_id % 3 WHEN 1 THEN 'bbb' WHEN 2 THEN 'zzz' ELSE value END AS value, lang FROM v""")
+def updates_in_order(t):
+    """Two updates of each value of two resources in three, zzz and bbb in one order or the other; the last one holds."""
+    rows = fixed(_line_values(t))
+    first, second = (changes.change(rows.where("resource_id % 3 > 0").withColumn("value", F.when((F.col("resource_id") % 3 == 1) == one, "zzz").otherwise("bbb")), "update") for one in (True, False))
+    return changes.apply(rows, changes.in_order(first, second)).select("resource_id", "value", "lang")
+
+
+@query(
+    "redirect_chains",
+    """WITH RECURSIVE m AS (SELECT DISTINCT doc_id AS old, CASE WHEN doc_id % 8 < 7 THEN doc_id + 1 ELSE doc_id - 7 END AS new FROM documents WHERE doc_id % 8 < 7 OR (doc_id // 8) % 10 = 0),
+w AS (SELECT old, new AS last, 1 AS hops FROM m UNION ALL SELECT w.old, m.new, hops + 1 FROM w JOIN m ON w.last = m.old WHERE hops < 30),
+r AS (SELECT old, last, hops FROM w WHERE last NOT IN (SELECT old FROM m))
+SELECT m.old, r.last, r.hops::BIGINT AS hops, CASE WHEN r.old IS NULL THEN 'cycle' ELSE 'resolved' END AS status FROM m LEFT JOIN r ON m.old = r.old""",
+)
+def redirect_chains(t):
+    """Documents redirected to the next one, in chains of up to seven, every tenth chain closed to a cycle."""
+    place = F.col("doc_id") % 8
+    moved = t.documents.where((place < 7) | (F.call_function("div", F.col("doc_id"), F.lit(8)) % 10 == 0))
+    return reconcile.resolve_chains(moved.select(F.col("doc_id").alias("old"), F.when(place < 7, F.col("doc_id") + 1).otherwise(F.col("doc_id") - 7).alias("new")))
+
+
 @query("delete_targets", """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 25 = 0)""")
 def delete_targets(t):
     return changes.delete(t.customer.select(F.col("c_custkey").alias("id")), t.orders.where("o_orderkey % 25 = 0").select(F.col("o_custkey").alias("id")))

@@ -285,3 +285,56 @@ def test_one_address_under_two_labels(spark, rows):
     new = spark.createDataFrame([(1, "a:s", 0, "uri", None, None, None, "u", label, True) for label in ("x", "y", "y")], columns)
     done = changes.apply(table, changes.change(new, "insert"))
     assert rows(done, "pos", "uri", "label") == [(0, "u", "x"), (1, "u", "y")]
+
+
+def test_the_last_of_several_updates_holds(spark, rows):
+    table = spark.createDataFrame([literal(1, "a:t", 0, "x"), literal(1, "a:t", 1, "y"), literal(2, "a:t", 0, "z"), literal(3, "b:t", None, "n")], VALUE)
+    one = changes.change(spark.createDataFrame([literal(1, "a:t", 0, "zzz"), literal(3, "b:t", None, "never")], VALUE), "update")
+    two = changes.change(spark.createDataFrame([literal(1, "a:t", 0, "bbb")], VALUE), "update")
+    pick = ("resource_id", "pos", "value")
+    rest = [(1, 1, "y"), (2, 0, "z"), (3, None, "n")]
+    assert rows(changes.apply(table, changes.in_order(one, two)), *pick) == [(1, 0, "bbb"), *rest]
+    assert rows(changes.apply(table, changes.in_order(two, one)), *pick) == [(1, 0, "zzz"), *rest]
+    seq = one.where("resource_id = 1").withColumn("seq", F.lit(5).cast("bigint")).unionByName(two.withColumn("seq", F.lit(9).cast("bigint")))
+    assert rows(changes.apply(table, seq), *pick) == [(1, 0, "bbb"), *rest]
+    # a deleted place stays deleted, and what is inserted comes after what is there, in order
+    gone = changes.change(spark.createDataFrame([literal(1, "a:t", 0, None), literal(1, "a:t", 1, None)], VALUE), "delete")
+    new = [changes.change(spark.createDataFrame([literal(1, "a:t", 0, v)], VALUE), "insert") for v in ("q", "b", "q", "z")]
+    assert rows(changes.apply(table, changes.in_order(one, gone, *new)), *pick) == [(1, 0, "q"), (1, 1, "b"), (1, 2, "z"), (2, 0, "z"), (3, None, "n")]
+    assert rows(changes.apply(table, changes.in_order(new[0], new[1])), *pick) == [(1, 0, "x"), (1, 1, "y"), (1, 2, "q"), (1, 3, "b"), *rest[1:]]
+
+
+def test_chains_of_redirects(spark, rows):
+    def chain(ids, closed=False):
+        return list(zip(ids, [*ids[1:], ids[0]] if closed else ids[1:], strict=False))
+
+    ids = list(range(100, 170))
+    pairs = chain([1, 2, 3, 4, 5, 6, 7]) + chain([20, 21, 22], True) + [(19, 20), (30, 31), (32, 31), (40, 40), (None, 5), (8, None)] + chain(ids) + [(31, 33)] * 2
+    moved = spark.createDataFrame(pairs, "old long, new long")
+    got = {r["old"]: (r["last"], r["hops"], r["status"]) for r in reconcile.resolve_chains(moved).collect()}
+    want = {k: (7, 7 - k, "resolved") for k in range(1, 7)} | {k: (None, None, "cycle") for k in (19, 20, 21, 22)} | {30: (33, 2, "resolved"), 31: (33, 1, "resolved"), 32: (33, 2, "resolved")}
+    assert got == want | {k: (169, 169 - k, "resolved") for k in ids[:-1]}
+    placed = spark.createDataFrame([(1, 2, 0), (1, 3, 1), (2, 9, 2), (3, 4, 9), (1, 2, 5)], "old long, new long, at int")
+    assert rows(changes.followed(placed, "at")) == [(1, 9), (2, 9), (3, 4)]
+    assert rows(changes.followed(placed)) == [(1, 4), (2, 9), (3, 4)]
+    assert reconcile.resolve_chains(moved.limit(0)).count() == 0
+
+
+def test_merges_and_links_follow_chains(spark, rows):
+    table = spark.createDataFrame([literal(1, "a:t", 0, "x"), literal(2, "a:t", 0, "y"), literal(3, "a:t", 0, "z"), literal(8, "a:t", 0, "c")], VALUE)
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (8, 9), (9, 8)], "old long, new long")
+    done = changes.apply(table, changes.merge_pairs(table, pairs, follow=True))
+    assert rows(done, "resource_id", "value") == [(3, "x"), (3, "y"), (3, "z"), (8, "c")]
+    link = spark.createDataFrame([(5, "a:l", 0, "resource", None, None, 1, None, None, True)], VALUE)
+    plan = changes.rewrite_links(link, pairs, "http://h", follow=True)
+    assert rows(changes.apply(link, plan), "resource_id", "value_resource_id") == [(5, 3)]
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    from catalith.operators import reconcile as module
+
+    rounds = []
+    real = module.fixed
+    monkeypatch.setattr(module, "fixed", lambda df: rounds.append(1) or real(df))
+    moved = spark.range(300).select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))
+    assert {r["last"] for r in module.resolve_chains(moved).collect()} == {300} and len(rounds) <= 11
