@@ -923,7 +923,7 @@ def stream_resume(t):
     source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
     step = lambda b: b.select("event_id", "user_id", F.length("props").cast("bigint").alias("size"))
     batches.run_available(source, step, "event_id", f"{root}/out", f"{root}/state").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out")
+    return batches.read_output(t.spark, f"{root}/out")
 
 
 @query("outcome_counts", """SELECT count(*) FILTER (value > 10) AS done, count(*) FILTER (NOT value > 10) AS failed FROM events""")

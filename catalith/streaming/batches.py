@@ -4,29 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def run_available(source: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, output: str, checkpoint: str) -> StreamingQuery:
-    """Process what is new, append it, and stop; a restart goes on where it ended.
+    """Process what is new, each key once, and stop; a restart goes on where it ended.
 
-    A batch that is repeated after a failure appends only keys that the output
-    lacks, so each key is written once.
+    Which keys have come is streaming state, so a batch costs what its own rows cost, and
+    no batch reads what earlier ones have written. A batch writes a folder of its number;
+    one that is repeated after a failure overwrites its own folder and leaves the others
+    alone. ``read_output`` gives all batches as one table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = step(batch)
-        try:
-            done = done.join(spark.read.parquet(output).select(key), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        done.dropDuplicates([key]).write.mode("append").parquet(output)
-
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        step(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    once = source.dropDuplicates([key])
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_output(spark: SparkSession, output: str) -> DataFrame:
+    """What ``run_available`` has written so far."""
+    return spark.read.parquet(output).drop("batch")
 
 
 def upsert_new(rows: DataFrame, present: DataFrame, identity: list[str]) -> DataFrame:

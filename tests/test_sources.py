@@ -163,4 +163,46 @@ def test_resumable_stream(spark, rows, tmp_path):
     batches.run_available(stream(), lambda b: b.withColumn("n", F.length("v")), "k", out, state).awaitTermination()
     spark.createDataFrame([(2, "again"), (3, "c")], "k int, v string").write.mode("append").parquet(source)
     batches.run_available(stream(), lambda b: b.withColumn("n", F.length("v")), "k", out, state).awaitTermination()
-    assert rows(spark.read.parquet(out), "k", "v") == [(1, "a"), (2, "b"), (3, "c")]
+    assert rows(batches.read_output(spark, out), "k", "v") == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_batch_reads_only_what_is_new(spark, rows, tmp_path):
+    """Earlier output isn't read, even where it is broken, and the rows read are those of the new files."""
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    run = lambda step: batches.run_available(spark.readStream.schema("k int, v string").parquet(source), step, "k", out, state)
+    read = []
+    for n in range(4):
+        spark.createDataFrame([(10 * n + k, "v") for k in range(5)] + [(0, "old")], "k int, v string").coalesce(1).write.mode("append").parquet(source)
+        query = run(lambda b: b)
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+        for f in (tmp_path / "out").glob(f"batch={n}/*.parquet"):
+            f.with_suffix(".kept").write_bytes(f.read_bytes())
+            f.write_bytes(b"broken")
+    assert read == [6, 6, 6, 6]
+    for f in (tmp_path / "out").glob("batch=*/*.kept"):
+        f.rename(f.with_suffix(".parquet"))
+    for f in (tmp_path / "out").glob("batch=*/.*.crc"):
+        f.unlink()
+    assert sorted(rows(batches.read_output(spark, out), "k")) == sorted((10 * n + k,) for n in range(4) for k in range(5))
+
+
+def test_a_batch_that_failed_is_repeated_whole(spark, rows, tmp_path):
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    spark.createDataFrame([(k, "v") for k in range(10)], "k int, v string").write.parquet(source)
+    stream = lambda: spark.readStream.schema("k int, v string").parquet(source)
+    slip = F.when(F.col("k") == 7, F.raise_error(F.lit("slip"))).otherwise(F.col("v"))
+    with pytest.raises(Exception, match="slip"):
+        batches.run_available(stream(), lambda b: b.withColumn("v", slip.cast("string")), "k", out, state).awaitTermination()
+    for _ in range(2):
+        batches.run_available(stream(), lambda b: b, "k", out, state).awaitTermination()
+    assert sorted(rows(batches.read_output(spark, out), "k")) == [(k,) for k in range(10)]
+
+
+def test_distinct_events(spark, rows, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events = [("a", 0), ("a", 10), ("b", 20), ("a", 30), ("c", 7200)]
+    spark.createDataFrame(events, "event_id string, s long").select("event_id", F.timestamp_seconds("s").alias("ts")).write.parquet(source)
+    stream = batches.distinct_events(spark.readStream.schema("event_id string, ts timestamp").parquet(source))
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+    assert rows(spark.read.parquet(out), "event_id") == [("a",), ("b",), ("c",)]
