@@ -20,25 +20,40 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, spre
     """
     if spread is None:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    moved = _with_before(rows, keys, order, spread, F.count("*"), F.sum).withColumn(name, (place + F.coalesce("_before", F.lit(0))).cast("bigint"))
+    return moved.select(*rows.columns, name)
+
+
+def highest_so_far(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, spread: int | None = None) -> DataFrame:
+    """The greatest ``value`` of a key up to each row, that one included; ``spread`` as for ``numbered``."""
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if spread is None:
+        return rows.withColumn(name, F.max(value).over(upto.partitionBy(*keys)))
+    moved = _with_before(rows, keys, order, spread, F.max(value), F.max)
+    return moved.withColumn(name, F.greatest(F.max(value).over(upto.partitionBy("_part", *keys)), "_before")).select(*rows.columns, name)
+
+
+def _with_before(rows: DataFrame, keys: list[str], order: list[str], spread: int, part: Column, together) -> DataFrame:
+    """The rows dealt by ranges (``_part``), with ``_before``: what ``part`` gives for a key's earlier ranges, put together."""
     dealt = fixed(rows.repartitionByRange(spread, *keys, *order).withColumn("_part", F.spark_partition_id()))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
-    counts = counts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), "_before")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_part").agg(part.alias("_own")).withColumn("_before", together("_own").over(earlier))
+    sums = sums.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), "_before")
     on = F.col("_part") == F.col("_of")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
-    moved = dealt.join(counts, on).withColumn(name, (place + F.col("_before")).cast("bigint"))
-    return moved.select(*rows.columns, name)
+    return dealt.join(sums, on)
 
 
 def mint(rows: DataFrame, collection: str, order: list[str], used: DataFrame | None = None, spread: int | None = None) -> DataFrame:
     """Add ``item_id``: the smallest unused numbers of each collection, in order.
 
-    ``spread`` is for collections with a large share of all rows (see ``numbered``).
     ``used`` holds ids (column item_id) that are taken. The n-th new row gets the
-    n-th free number: the one after as many taken numbers as lie below it. Free
-    stretches between taken numbers are few, so rows join stretches by number.
+    n-th free number: the one after as many taken numbers as lie below it. Rows and
+    the steps at which that count rises are put in one order, and each row takes the highest
+    step so far. ``spread`` is for collections with a large share of all rows or of all
+    taken numbers (see ``numbered``): then no window holds a collection.
     """
     rows = numbered(rows, [collection], order, "_n", spread)
     if used is None:
@@ -48,17 +63,13 @@ def mint(rows: DataFrame, collection: str, order: list[str], used: DataFrame | N
         .where("_t >= 1")
         .distinct()
     )
-    line = Window.partitionBy("_c").orderBy("_t")
     # Before the k-th taken number t, t - k numbers are free: place n moves up by the count of taken with t - k < n.
-    steps = taken.withColumn("_k", F.row_number().over(line)).withColumn("_free", F.col("_t") - F.col("_k"))
-    steps = steps.groupBy("_c", "_free").agg(F.max("_k").alias("_k"))
-    both = rows.select(F.col(collection).alias("_c"), F.col("_n"), F.lit(None).cast("int").alias("_k")).unionByName(
-        steps.select("_c", (F.col("_free") + 1).alias("_n"), "_k")
-    )
-    shift = F.max("_k").over(Window.partitionBy("_c").orderBy("_n", F.col("_k").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    shifts = both.withColumn("_s", F.coalesce(shift, F.lit(0))).where("_k is null").select("_c", F.col("_n").alias("_m"), "_s")
-    joined = rows.join(shifts, (F.col(collection) == F.col("_c")) & (F.col("_n") == F.col("_m")))
-    return joined.withColumn("item_id", record_id(F.col(collection), F.col("_n") + F.col("_s"))).drop("_c", "_n", "_m", "_s")
+    steps = numbered(taken, ["_c"], ["_t"], "_k", spread).groupBy("_c", (F.col("_t") - F.col("_k")).alias("_free")).agg(F.max("_k").alias("_k"))
+    held = F.struct(*[c for c in rows.columns if c != "_n"])
+    both = rows.select(F.col(collection).alias("_c"), "_n", F.lit(True).alias("_is_row"), F.lit(None).cast("bigint").alias("_k"), held.alias("_held"))
+    both = both.unionByName(steps.select("_c", (F.col("_free") + 1).cast("bigint").alias("_n"), F.lit(False).alias("_is_row"), "_k"), allowMissingColumns=True)
+    moved = highest_so_far(both, ["_c"], ["_n", "_is_row"], "_k", "_shift", spread).where("_is_row")
+    return moved.select("_held.*", record_id(F.col("_c"), F.col("_n") + F.coalesce("_shift", F.lit(0))).alias("item_id"))
 
 
 def greatest_suffix(collection: str, *sources: DataFrame) -> DataFrame:

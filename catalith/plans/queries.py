@@ -98,6 +98,13 @@ def mint_free_ids(t):
     return sequences.mint(t.documents.select("source", "doc_id"), "source", ["doc_id"], used)
 
 
+@query("mint_free_spread", SQL["mint_free_ids"])
+def mint_free_spread(t):
+    """W1 among taken numbers, with no window that holds a source."""
+    used = t.documents.join(t.labels.select("doc_id"), "doc_id").select(idents.record_id(F.col("source"), F.col("doc_id") % 23 + 1).alias("item_id"))
+    return sequences.mint(t.documents.select("source", "doc_id"), "source", ["doc_id"], used, spread=16)
+
+
 @query(
     "mint_continue",
     """WITH m AS (SELECT source, max(d.doc_id) AS last FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source),
@@ -957,3 +964,8 @@ def cube_sales(t):
 def approx_users(t):
     """Extension: approximate distinct users per event type."""
     return t.events.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+
+
+# --- written and read back; these need what is above ------------------------------------
+
+from catalith.plans import roundtrips  # noqa: E402, F401

@@ -338,3 +338,21 @@ def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
     monkeypatch.setattr(module, "fixed", lambda df: rounds.append(1) or real(df))
     moved = spark.range(300).select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))
     assert {r["last"] for r in module.resolve_chains(moved).collect()} == {300} and len(rounds) <= 11
+
+
+def test_minting_among_taken_numbers_over_many_tasks(spark):
+    """One collection with all rows: dealt over the tasks, equal to the window, and no window holds a collection."""
+    new = spark.range(20_000).select(F.lit("A").alias("c"), (F.col("id") * 7919 % 20_011).alias("n")).unionByName(spark.createDataFrame([("B", 1), ("B", 2)], "c string, n long"))
+    used = spark.range(15_000).select(F.format_string("A-R%04d", F.col("id") * F.col("id") % 17_001 + 1).alias("item_id")).unionByName(spark.createDataFrame([("B-R0001",), ("C-R0009",)], "item_id string"))
+    dealt = sequences.mint(new, "c", ["n"], used, spread=8)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, sequences.mint(new, "c", ["n"], used).collect()))
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_part" in line for line in windows) and dealt.count() == 20_002
+
+
+def test_highest_so_far(spark):
+    data = [(k % 3 if k % 7 else None, k * 31 % 97, None if k % 2 else k * 53 % 89) for k in range(97)]
+    df = spark.createDataFrame(data, "k int, o int, v int")
+    pick = lambda spread: sorted(map(tuple, sequences.highest_so_far(df, ["k"], ["o"], "v", "m", spread).collect()), key=repr)
+    assert pick(None) == pick(5)
