@@ -1,7 +1,7 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a mask over twelve token positions of which eight count; tokens at the
-others may differ. Each mask gives every window of twelve tokens a hash.
+A seed is a mask over eleven token positions of which seven count; tokens at the
+others may differ. Each mask gives every window of eleven tokens a hash.
 
 1. Items with equal tokens are one class, named by the least item_id. Hashes of the
    classes' windows go into a table and a Bloom filter, which has a fixed largest size.
@@ -20,11 +20,12 @@ Tokens are runs of letters and digits, ASCII lower-cased; other ASCII characters
 part them. Items of up to ``SHORT`` tokens have masks of their own length, which leave
 out as many of five sets of positions as tokens may differ, so no substitution that
 the rule allows is missed; items of fewer than ``shortest`` tokens, a parameter, are
-no evidence. The masks of longer items find a whole copy with one token changed
-anywhere, and most copies with more; README has the shares. Null texts have no
+no evidence. The masks of longer items find at least 0.96 of whole copies with as many
+tokens changed, anywhere, as the rule allows; README has the shares. Null texts have no
 tokens. Repeated rows are found each for itself; of equally good diagonals the
 first counts. A document with a null doc_id is reported with it and never
-dropped. ``decontaminate`` keeps all columns, whatever their names; no rows, or no
+dropped. ``decontaminate`` drops rows by doc_id and text together, so of two texts with
+one doc_id a clean one stays; it keeps all columns, whatever their names. No rows, or no
 benchmark, find nothing.
 """
 
@@ -44,14 +45,14 @@ from catalith.llm.common import cut
 from catalith.llm.graph import join_keys
 from catalith.llm.grams import LOWER, PUNCT, chunks, mix, stream, tokens, utf8
 
-MASKS = ("111010110101", "110110010111", "101101110011")
+MASKS = ("11110001101", "10011010111", "11101010011")
 SHORTEST, SHORT, LEAST = 5, 15, 13
 #: Rows of benchmark hashes, and of found documents, up to which they are broadcast; they are counted first.
 BROADCAST_HASHES, BROADCAST_FOUND = 1_000_000, 1_000_000
 
 _U = np.uint64
 _PLACE = stream(64, 21)
-_SCHEMA = "uid long, doc_id long, digest binary, tokens binary, hits array<struct<hash:long,pos:long>>"
+_SCHEMA = "uid long, doc_id long, text_hash long, digest binary, tokens binary, hits array<struct<hash:long,pos:long>>"
 
 
 def masks_of(n: int) -> list[str]:
@@ -115,7 +116,7 @@ def _scan(short: list[int], bits: int, bitmap):
         has = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             data, at = utf8(batch.column(1))
-            names = batch.column(0).to_pylist()
+            names, of_text = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, j in chunks(at):
                 ids, _, _, first = tokens(data, at[i : j + 1], LOWER, PUNCT)
                 found = []
@@ -129,16 +130,17 @@ def _scan(short: list[int], bits: int, bitmap):
                 order = np.argsort(pos, kind="stable")
                 pos, h = pos[order], h[order]
                 doc = np.searchsorted(first, pos, "right") - 1
-                rows: list[list] = [[], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], []]
                 for d in np.unique(doc).tolist():
                     a, b = np.searchsorted(doc, [d, d + 1])
                     rows[0].append(next(serial))
                     rows[1].append(names[i + d])
-                    rows[3].append(ids[first[d] : first[d + 1]].tobytes())
-                    rows[2].append(hashlib.blake2b(rows[3][-1], digest_size=16).digest())
-                    rows[4].append([{"hash": x, "pos": y} for x, y in zip(h[a:b].tolist(), (pos[a:b] - first[d]).tolist(), strict=True)])
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["uid", "doc_id", "digest", "tokens", "hits"])
+                    rows[2].append(of_text[i + d])
+                    rows[4].append(ids[first[d] : first[d + 1]].tobytes())
+                    rows[3].append(hashlib.blake2b(rows[4][-1], digest_size=16).digest())
+                    rows[5].append([{"hash": x, "pos": y} for x, y in zip(h[a:b].tolist(), (pos[a:b] - first[d]).tolist(), strict=True)])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["uid", "doc_id", "text_hash", "digest", "tokens", "hits"])
 
     return run
 
@@ -199,7 +201,7 @@ def _verify(least: int):
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, least: int, shortest: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with hits (uid, doc_id, digest), and overlaps (digest, item_id, copies, start, end, matched) of classes."""
+    """Documents with hits (uid, doc_id, text_hash, digest), and overlaps (digest, item_id, copies, start, end, matched) of classes."""
     spark = docs.sparkSession
     items = (
         benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -213,7 +215,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: int, shortest: int) ->
     n = hashes.count()
     bitmap, bits = bloom(hashes.select("hash"), n)
     shared = spark.sparkContext.broadcast(bitmap)
-    found = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(short, bits, shared), _SCHEMA))
+    text = F.col("text").cast("string")
+    found = cut(docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(_scan(short, bits, shared), _SCHEMA))
     one = found.join(found.groupBy("digest").agg(F.min("uid").alias("uid")).select("uid"), "uid", "left_semi")
     known = F.broadcast(hashes) if n <= BROADCAST_HASHES else hashes
     hits = one.select("uid", F.explode("hits").alias("h")).select("uid", F.col("h.hash").alias("hash"), F.col("h.pos").alias("pos"))
@@ -222,7 +225,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: int, shortest: int) ->
     pairs = pairs.select("digest", "item_id", "copies", "tokens", "other", "diagonals").mapInArrow(
         _verify(least), "digest binary, item_id long, copies long, start long, end long, matched long"
     )
-    return found.select("uid", "doc_id", "digest"), pairs
+    return found.select("uid", "doc_id", "text_hash", "digest"), pairs
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
@@ -251,6 +254,8 @@ def links(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: i
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST) -> DataFrame:
     """The documents without an overlap, with the columns they came with; those with a null id stay."""
     found, pairs = _found(docs, benchmark, least, shortest)
-    hit = cut(found.join(pairs.select("digest").distinct(), "digest", "left_semi").select("doc_id").distinct())
+    hit = found.join(pairs.select("digest").distinct(), "digest", "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hit = cut(hit)
     few = hit.count() <= BROADCAST_FOUND
-    return docs.join(F.broadcast(hit) if few else hit.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    same = (docs["doc_id"].cast("long") == hit["_id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["_hash"])
+    return docs.join(F.broadcast(hit) if few else hit.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)
