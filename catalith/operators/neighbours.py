@@ -39,12 +39,12 @@ from catalith.session import fixed
 
 #: Points in a leaf on average, trees, rounds of comparing neighbours of neighbours at most, and the share of
 #: links that a round must change for another one to follow.
-LEAF, TREES, ROUNDS, CHANGED = 1000, 8, 8, 0.02
+LEAF, TREES, ROUNDS, CHANGED = 1000, 12, 8, 0.02
 #: Points that the splits are learned from and that are laid out, at most.
 SAMPLE, LANDMARKS = 20_000, 1_000
 PERPLEXITY, STEPS, MOVES = 5.0, 400, 3
 #: Nearest points that are held while searching, for each one wanted.
-SPARE = 3
+SPARE = 2
 #: Points compared at a time within a leaf.
 BLOCK = 1024
 
@@ -145,13 +145,13 @@ def _keep(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _among(k: int):
-    """Compare the points of each row's lists with one another."""
+    """Compare the points of each row's lists (ids, vectors, reach) with one another; pairs beyond a point's reach aren't sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array([len(x) for x in batch.column(0)])
             ids, vectors = batch.column(0).flatten().to_numpy(), _matrix(batch.column(1).flatten())
-            begin = np.cumsum(sizes) - sizes
+            reach, begin = batch.column(2).flatten().to_numpy(), np.cumsum(sizes) - sizes
             for n in np.unique(sizes[sizes > 1]).tolist():
                 at = begin[sizes == n]
                 for part in np.array_split(at, max(1, len(at) // 512)):
@@ -160,12 +160,11 @@ def _among(k: int):
                     distance[:, np.arange(n), np.arange(n)] = np.inf
                     distance = distance.reshape(-1, n)
                     some = _best(distance, min(k, n - 1))
-                    own = ids[rows].reshape(-1)
                     other = np.take_along_axis(np.repeat(ids[rows], n, 0), some, 1)
                     found = np.take_along_axis(distance, some, 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(own, some.shape[1])), pa.array(other.ravel()), pa.array(found.ravel())], ["point", "other", "distance"]
-                    )
+                    near = found < reach[rows].reshape(-1, 1)
+                    own = np.repeat(ids[rows].reshape(-1), near.sum(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other[near]), pa.array(found[near])], ["point", "other", "distance"])
 
     return run
 
@@ -183,8 +182,11 @@ def graph(points: DataFrame, k: int, trees: int = TREES, rounds: int = ROUNDS, l
     edges = fixed(_keep(dealt.groupBy("tree", "leaf").applyInArrow(_within_leaf(k), _EDGES), k))
     for _ in range(rounds):
         self_too = edges.select("point", "other").unionByName(points.select("point", F.col("point").alias("other")))
-        lists = self_too.join(points.withColumnRenamed("point", "other"), "other").groupBy("point").agg(F.sort_array(F.collect_list(F.struct("other", "vector"))).alias("l"))
-        more = lists.select(F.col("l.other").alias("ids"), F.col("l.vector").alias("vectors")).mapInArrow(_among(k), _EDGES)
+        # How far the neighbours of a point reach: only what is nearer can change them.
+        far = F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach")
+        known = points.join(edges.groupBy("point").agg(far), "point").withColumnRenamed("point", "other")
+        lists = self_too.join(known, "other").groupBy("point").agg(F.sort_array(F.collect_list(F.struct("other", "vector", "reach"))).alias("l"))
+        more = lists.select(F.col("l.other").alias("ids"), F.col("l.vector").alias("vectors"), F.col("l.reach").alias("reach")).mapInArrow(_among(k), _EDGES)
         both = edges.withColumn("new", F.lit(0)).unionByName(more.withColumn("new", F.lit(1)))
         kept = fixed(_keep(both, k))
         edges = kept.drop("new")
