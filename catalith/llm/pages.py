@@ -6,7 +6,7 @@ stands in the marked article, and nothing where it has no text outside links. Th
 weights are summed over sliding windows of lines. Where a sum reaches ``SURGE``
 there is text; the stretch goes on to both sides until a sum dives below ``DIVE``,
 as over a run of short lines. Short lines at the ends of a stretch are left out.
-This is so on every page, with an article element or without.
+On pages that mark their article, tags decide more than windows do (below).
 
 Tags cut lines and set weights. Lines inside menus, footers, asides, forms and what
 a class or id names as advert, notice, comments and the like weigh nothing and are
