@@ -6,14 +6,16 @@ are rules made of expressions, so that plans run without a network.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.functions.json import parse_object
+from catalith.functions.json import held_to, parse_object
 from catalith.functions.text import strip
+from catalith.sources.files import read_checkpoint
 
 # The fields of a classification reply (U2) and of a letter reply.
 FIELDS = (
@@ -25,6 +27,13 @@ LETTER_FIELDS = (
     "from_person", "to_person", "from_place", "to_place", "send_date", "mentioned_places", "mentioned_persons",
     "is_heimat_relevant", "notes",
 )
+#: Fixed value: the schema of a letter reply.
+LETTER_SCHEMA = {
+    "type": "object",
+    "properties": {f: {"type": "boolean"} if f == "is_heimat_relevant" else {"type": ["string", "null"]} for f in LETTER_FIELDS},
+    "required": list(LETTER_FIELDS),
+    "additionalProperties": False,
+}
 #: Fixed order in which tasks are put to the model (P14); the place is asked for too (Q5).
 TASKS = (
     "german_translation", "english_translation", "format", "language", "creation_place", "creation_date", "publication_date",
@@ -72,10 +81,13 @@ def classify(c: Column, keywords: Sequence[tuple[str, str]], default: str = "")
     return out
 
 
-def ask(rows: DataFrame, message: Column, model: Callable[[list[str]], list[str | None]], fields: Sequence[str] = FIELDS) -> DataFrame:
-    """Rows with ``reply``: struct(ok, fields) from a model that answers batches of messages.
+Model = Callable[[list[str]], list[str | None]]
 
-    A batch that raises gives ok = false for its rows; the job goes on.
+
+def _call(model: Model):
+    """The model as a column function; a batch that raises gives nulls.
+
+    It counts as nondeterministic, so no plan asks twice, once for a filter and once for a column.
     """
 
     @F.pandas_udf("string")
@@ -86,4 +98,38 @@ def ask(rows: DataFrame, message: Column, model: Callable[[list[str]], list[str
             except Exception:
                 yield pd.Series([None] * len(batch), index=batch.index, dtype="object")
 
-    return rows.withColumn("_raw", call(message)).withColumn("reply", parse_object(F.col("_raw"), list(fields))).drop("_raw")
+    return call.asNondeterministic()
+
+
+def ask(rows: DataFrame, message: Column, model: Model, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """Rows with ``reply``: struct(ok, fields) from a model that answers batches of messages.
+
+    A batch that raises gives ok = false for its rows; the job goes on.
+    """
+    return rows.withColumn("_raw", _call(model)(message)).withColumn("reply", parse_object(F.col("_raw"), list(fields))).drop("_raw")
+
+
+def cached_replies(rows: DataFrame, cache: str) -> DataFrame:
+    """What ``ask_once`` keeps: (digest, reply, model, run)."""
+    return read_checkpoint(rows.sparkSession, cache, "digest string, reply string, model string, run string")
+
+
+def ask_once(rows: DataFrame, message: Column, model: Model, name: str, cache: str, schema: dict = LETTER_SCHEMA) -> DataFrame:
+    """Rows with ``reply``: struct(ok, errors, value) held to a schema; a message is put to the model ``name`` once.
+
+    ``cache`` is a shared folder of replies by the digest of their message. What it
+    lacks is asked, each different message once, and written before anything is
+    returned, so a second run over the same rows asks nothing. A reply that breaks the schema is
+    kept, too, with its errors; a message without a reply (its batch raised) isn't and
+    is asked again by the next run. A null message is not asked; its reply is no object.
+    A run writes a folder of its own, so runs may overlap; of two replies the lesser counts.
+    A task that is repeated asks its messages again but leaves one reply.
+    """
+    told = rows.withColumn("_m", message).withColumn("_d", F.sha2("_m", 256))
+    wanted = told.where("_m is not null").groupBy("_d").agg(F.min("_m").alias("_m"))
+    have = cached_replies(rows, cache).where(F.col("model") == name)
+    new = wanted.join(have.select(F.col("digest").alias("_d")), "_d", "left_anti")
+    replies = new.select(F.col("_d").alias("digest"), _call(model)("_m").alias("reply"), F.lit(name).alias("model")).where("reply is not null")
+    replies.write.partitionBy("model").parquet(f"{cache}/run={uuid.uuid4().hex}")
+    kept = cached_replies(rows, cache).where(F.col("model") == name).groupBy(F.col("digest").alias("_d")).agg(F.min("reply").alias("_r"))
+    return held_to(told.join(kept, "_d", "left"), "_r", schema, "reply").select(*[c for c in rows.columns if c != "reply"], "reply")

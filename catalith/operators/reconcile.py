@@ -57,6 +57,27 @@ def children(parents: DataFrame, records: DataFrame, parent: str, identifier: st
     return parents.join(other, parents[parent] == other["_parent"]).drop("_parent")
 
 
+def starting_with(rows: DataFrame, value: str, prefixes: DataFrame, prefix: str, first: int | None = None) -> DataFrame:
+    """Pairs of a row and each different prefix that its value starts with, for prefixes of any lengths.
+
+    An equi-join in place of a comparison of all pairs: each value gives its beginnings
+    of those lengths that prefixes have, so a row is sent once for each such length and
+    every joined pair is a result. The lengths, at most as many as the longest
+    prefix has characters, are the only thing gathered. With ``first``, of each prefix that many
+    rows with the least values stay (equal ones in any order). Nulls match nothing; an
+    empty prefix matches every value that isn't null.
+    """
+    wanted = prefixes.where(F.col(prefix).isNotNull()).select(F.col(prefix)).distinct()
+    lengths = [r[0] for r in wanted.select(F.length(prefix)).distinct().collect()]
+    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length(value))
+    keyed = rows.where(F.col(value).isNotNull()).withColumn("_n", F.explode(fitting)).withColumn("_p", F.expr(f"left(`{value}`, _n)"))
+    pairs = wanted.join(keyed, wanted[prefix] == keyed["_p"]).drop("_n", "_p")
+    if first is None:
+        return pairs
+    place = F.row_number().over(Window.partitionBy(prefix).orderBy(value))
+    return pairs.withColumn("_n", place).where(F.col("_n") <= first).drop("_n")
+
+
 def with_parents(records: DataFrame, known: DataFrame, identifier: str) -> DataFrame:
     """Folder and collection ids of each record, null where the catalogue has no such id (column ``id``)."""
     rows = records.withColumn("_f", folder_of(F.col(identifier))).withColumn("_c", collection_of(F.col(identifier)))

@@ -252,6 +252,30 @@ def prefix_children(t):
     return reconcile.children(t.orders.select(F.format_string("F%d", "o_orderkey").alias("parent")), records, "parent", "child")
 
 
+_PREFIXES = "SELECT DISTINCT left(p_name, (p_partkey % 14)::INT) AS prefix FROM part"
+
+
+def _prefixes(t) -> DataFrame:
+    """Beginnings of part names, from none to thirteen characters long."""
+    return t.part.select(F.expr("left(p_name, int(p_partkey % 14))").alias("prefix"))
+
+
+@query("prefix_search", f"WITH w AS ({_PREFIXES}) SELECT prefix, p_partkey FROM w JOIN part ON starts_with(p_name, prefix)")
+def prefix_search(t):
+    return reconcile.starting_with(t.part.select("p_partkey", "p_name"), "p_name", _prefixes(t), "prefix").select("prefix", "p_partkey")
+
+
+@query(
+    "prefix_first",
+    f"""WITH w AS ({_PREFIXES}), v AS (SELECT p_name || ' ' || p_partkey AS name FROM part)
+SELECT prefix, name FROM w JOIN v ON starts_with(name, prefix) QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY name) <= 200""",
+)
+def prefix_first(t):
+    """At most 200 for each prefix, as the catalogue lists them."""
+    names = t.part.select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
+    return reconcile.starting_with(names, "name", _prefixes(t), "prefix", 200).select("prefix", "name")
+
+
 @query("items_lacking", """SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')""")
 def items_lacking(t):
     held = t.orders.select(F.col("o_custkey").alias("resource_id"), F.lit("id").alias("term"), F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("value"))
@@ -747,6 +771,60 @@ def json_validate(t):
     return jsonf.valid_elements(rows, "reply", {"k": "bigint"}).select("event_id", "k")
 
 
+_KINDS_SQL = "'click', 'view', 'purchase'"
+_SCHEMA = {
+    "type": "object",
+    "properties": {"kind": {"type": "string", "enum": ["click", "view", "purchase"]}, "k": {"type": "integer"}, "note": {"type": ["string", "null"]}},
+    "required": ["kind", "k", "note"],
+    "additionalProperties": False,
+}
+
+
+@query(
+    "replies_held",
+    f"""WITH e AS (SELECT event_id, event_id % 6 AS m, event_type IN ({_KINDS_SQL}) AS listed, event_type AS kind, json_extract(props, '$.k')::BIGINT AS k FROM events)
+SELECT event_id, CASE WHEN m = 1 THEN ':object' WHEN m = 2 THEN 'k:missing' WHEN m = 3 THEN 'k:type' WHEN m = 4 THEN 'more:unknown' ELSE '' END
+  || CASE WHEN m <> 1 AND NOT listed THEN ',kind:enum' ELSE '' END AS faults,
+  m IN (0, 5) AND listed AS ok, CASE WHEN m IN (0, 4, 5) THEN k END AS k, CASE WHEN m <> 1 AND listed THEN kind END AS kind FROM e""",
+)
+def replies_held(t):
+    """Replies under a schema; of six, one is cut, one lacks a property, one has a text for a number and one a property too many."""
+    m, k = F.col("event_id") % 6, F.get_json_object("props", "$.k")
+    number = F.when(m == 2, "").when(m == 3, F.concat(F.lit('"k": "'), k, F.lit('", '))).otherwise(F.concat(F.lit('"k": '), k, F.lit(", ")))
+    whole = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", '), number, F.when(m == 4, '"more": [1], ').otherwise(""), F.lit('"note": '), F.when(m == 5, '"x"}').otherwise("null}"))
+    rows = t.events.select("event_id", F.when(m == 1, F.expr("left('{\"kind\": \"click\", \"k\": 1}', 12)")).otherwise(whole).alias("reply"))
+    held = jsonf.held_to(rows, "reply", _SCHEMA)
+    faults = F.transform("checked.errors", lambda e: F.concat(F.coalesce(e["field"], F.lit("")), F.lit(":"), e["error"]))
+    own = F.filter(faults, lambda f: f != "kind:enum")
+    shown = F.concat(F.array_join(own, ","), F.when(F.array_contains(faults, "kind:enum"), ",kind:enum").otherwise(""))
+    return held.select("event_id", shown.alias("faults"), "checked.ok", "checked.value.k", "checked.value.kind")
+
+
+def answer(messages: list[str]) -> list[str]:
+    """A stand-in for a model: the message's lines as JSON, with a text for a number where that is over 90."""
+    out = []
+    for message in messages:
+        kind, k = (line.split(": ")[1] for line in message.split("\n"))
+        out.append('{"kind": "%s", "k": %s, "note": null}' % (kind, k if int(k) <= 90 else f'"{k}"'))
+    return out
+
+
+@query(
+    "replies_once",
+    f"""WITH e AS (SELECT event_id, event_type IN ({_KINDS_SQL}) AS listed, json_extract(props, '$.k')::BIGINT AS k FROM events)
+SELECT event_id, listed AND k <= 90 AS ok, CASE WHEN k <= 90 THEN k END AS k, (SELECT count(DISTINCT event_type || ' ' || json_extract_string(props, '$.k')) FROM events) AS asked, 1 AS runs FROM e""",
+)
+def replies_once(t):
+    """Each different message is asked once, and a second run asks nothing."""
+    rows = t.events.select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    message = parse.labelled_message([("kind: ", "event_type"), ("k: ", "k")])
+    cache = f"{scratch(t.spark)}/replies-{uuid.uuid4().hex}"
+    parse.ask_once(rows, message, answer, "rules", cache, _SCHEMA)
+    found = parse.ask_once(rows, message, answer, "rules", cache, _SCHEMA)
+    kept = parse.cached_replies(rows, cache).agg(F.count("*").alias("asked"), F.count_distinct("run").alias("runs")).first()
+    return found.select("event_id", "reply.ok", "reply.value.k", F.lit(kept["asked"]).cast("bigint").alias("asked"), F.lit(kept["runs"]).cast("int").alias("runs"))
+
+
 @query("status_cells", """SELECT o_orderkey, 'F' AS status, (o_orderkey % 5)::BIGINT AS n FROM orders UNION ALL SELECT o_orderkey, 'GT', NULL FROM orders""")
 def status_cells(t):
     cell = F.concat(F.lit("F:9,F:"), (F.col("o_orderkey") % 5).cast("string"), F.lit(",GT:x"))

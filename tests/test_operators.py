@@ -356,3 +356,75 @@ def test_highest_so_far(spark):
     df = spark.createDataFrame(data, "k int, o int, v int")
     pick = lambda spread: sorted(map(tuple, sequences.highest_so_far(df, ["k"], ["o"], "v", "m", spread).collect()), key=repr)
     assert pick(None) == pick(5)
+
+
+def test_starting_with_any_prefix(spark, rows):
+    values = [(1, "abc"), (2, "abd"), (3, "b"), (4, ""), (5, None), (6, "äöü"), (7, "abc"), (8, "a%c")]
+    df = spark.createDataFrame(values, "id int, v string")
+    prefixes = ["a", "ab", "abc", "abcd", "", None, "äö", "a%", "ab"]
+    wanted = spark.createDataFrame([(p,) for p in prefixes], "p string")
+    found = reconcile.starting_with(df, "v", wanted, "p")
+    want = sorted(((p, i) for p in {q for q in prefixes if q is not None} for i, v in values if v is not None and v.startswith(p)), key=repr)
+    assert rows(found, "p", "id") == want and found.columns == ["p", "id", "v"]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert rows(reconcile.starting_with(df, "v", wanted, "p", 1).where("p = 'ab'"), "v") == [("abc",)]
+    none = wanted.where("p = 'x'")
+    assert reconcile.starting_with(df, "v", none, "p").count() == reconcile.starting_with(df.where("id < 0"), "v", wanted, "p").count() == 0
+
+
+def test_replies_held_to_a_schema(spark):
+    from catalith.functions.json import held_to
+
+    schema = {
+        "properties": {"s": {"type": ["string", "null"]}, "n": {"type": "integer"}, "x": {"type": "number"}, "l": {"type": "array"}, "e": {"enum": ["a", 1, None, True]}, "m": {"type": ["string", "integer"]}},
+        "required": ["s", "n"],
+        "additionalProperties": False,
+    }
+    cases = [
+        ('{"s": null, "n": 3, "x": 2, "l": [1, "b"], "e": "a", "m": 1}', [], (None, 3, 2.0, '[1,"b"]', '"a"', "1")),
+        ('```json\n{"s": "é", "n": 3.0, "e": 1}\n```', [], ("é", 3, None, None, "1", None)),
+        ('{"s": 1, "n": "3", "e": true}', [("s", "type"), ("n", "type")], (None, None, None, None, "true", None)),
+        ('{"n": 3.5, "x": "2", "e": "b", "z": 1, "a.b": 2}', [("s", "missing"), ("n", "type"), ("x", "type"), ("e", "enum"), ("a.b", "unknown"), ("z", "unknown")], (None,) * 6),
+        ("[1]", [(None, "object")], (None,) * 6),
+        ('{"s": 1, "s": 2, "n": 1}', [(None, "object")], (None,) * 6),
+        ("no", [(None, "object")], (None,) * 6),
+        (None, [(None, "object")], (None,) * 6),
+    ]
+    df = spark.createDataFrame([(i, c[0], "kept") for i, c in enumerate(cases)], "id int, reply string, checked string")
+    for row in held_to(df, "reply", schema, "out").collect():
+        _, errors, value = cases[row["id"]]
+        assert [tuple(e) for e in row["out"]["errors"]] == errors and tuple(row["out"]["value"]) == value, row
+        assert row["out"]["ok"] == (not errors) and row["checked"] == "kept"
+    with pytest.raises(ValueError):
+        held_to(df, "reply", {"properties": {"s": {"type": "string", "minLength": 2}}})
+
+
+def test_a_message_is_asked_once(spark, tmp_path):
+    """Messages are counted by the files that the model leaves; a batch that raises is asked again."""
+    log, cache = tmp_path / "asked", str(tmp_path / "cache")
+    log.mkdir()
+
+    def model(messages):
+        if "bad" in messages and not (log / "mended").exists():
+            raise RuntimeError
+        for m in messages:
+            (log / f"{m}-{len(list(log.iterdir()))}").touch()
+        return [None if m == "mute" else f'{{"k": {len(m)}}}' for m in messages]
+
+    schema = {"properties": {"k": {"type": "integer"}}, "required": ["k"]}
+
+    def run(messages, name="m"):
+        df = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "id int, text string").coalesce(1)
+        found = parse.ask_once(df, F.col("text"), model, name, cache, schema).orderBy("id").collect()
+        return [r["reply"]["value"]["k"] if r["reply"]["ok"] else None for r in found]
+
+    def asked():
+        return sorted(p.name.split("-")[0] for p in log.iterdir() if p.name != "mended")
+
+    assert run(["aa", "aa", None, "b"]) == [2, 2, None, 1] and asked() == ["aa", "b"]
+    assert run(["aa", "ccc"]) == [2, 3] and run(["ccc"]) == [3] and asked() == ["aa", "b", "ccc"]
+    assert run(["bad"]) == [None]
+    (log / "mended").touch()
+    assert run(["bad", "mute"]) == [3, None] and run([]) == []
+    assert run(["mute"]) == [None] and asked().count("mute") == 2
+    assert run(["aa"], "other") == [2] and asked().count("aa") == 2
