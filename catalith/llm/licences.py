@@ -7,7 +7,8 @@ signs alone are blank), the run of blocks around it, its lines and sentences, an
 windows in long lines; each of them only where a cue occurs in it. Inverse document
 frequencies are those of the template collection; a term that no template has
 weighs as much as the rarest, so foreign words and other versions lower the cosine.
-Reserved rights name a file only where nothing else does.
+Reserved rights name a file only where nothing else does. A licence of another version
+than the passage names is no match; several licences come as one SPDX expression.
 
 A file without a licence of its own takes the one of the licence file in the
 nearest directory above it: distinct directories are joined with licensed
@@ -55,6 +56,9 @@ VERSIONED = (
     ("OFL-{}", "SIL Open Font License", ("OFL",), ("1.1",)),
     ("Artistic-{}", "Artistic License", ("Artistic",), ("1.0", "2.0")),
     ("BSL-{}", "Boost Software License", ("BSL",), ("1.0",)),
+    ("PHP-{}", "PHP License", ("PHP",), ("3.0", "3.01")),
+    ("PSF-{}", "Python Software Foundation License", ("PSF", "PSFL"), ("2.0",)),
+    ("SSPL-{}", "Server Side Public License", ("SSPL",), ("1.0",)),
 )
 UNVERSIONED = (
     ("MIT", ("MIT License", "MIT")),
@@ -90,6 +94,8 @@ NOTICES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "You can redistribute it under the terms of the GNU GPL, version 2 only."),
+    ("GPL-3.0", "You can redistribute it under the terms of the GNU GPL, version 3 only."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
@@ -120,7 +126,7 @@ NOTICES = (
 GRANTS = ("Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This program is made available under the terms of")
 _CUE = re.compile(
     r"(?i:licen[sc]|copyright|rights reserved|spdx|public domain|permission (?:is hereby|to use)|redistribution and use|creative commons|free software|gplv|-clause|zlib)"
-    r"|\b(?:[AL]?GPL|MIT|BSD|ISC|MPL|EPL|EUPL|CDDL|OFL|WTFPL|CC[ -]BY|CC0|Apache-|Boost Software)"
+    r"|\b(?:[AL]?GPL|MIT|BSD|ISC|MPL|EPL|EUPL|CDDL|OFL|PSFL?|SSPL|WTFPL|CC[ -]BY|CC0|Apache-|Boost Software)"
 )
 _BLOCK = re.compile(r"(?:[^\n]*[^\W_][^\n]*(?:\n|\Z))+")
 _SENTENCE = re.compile(r"(?<=[.;:!?])\s+(?=[A-Z(])")
@@ -140,7 +146,7 @@ def templates() -> Iterator[tuple[str, str]]:
             key, forms = pattern.format(v), [v, v.removesuffix(".0")] if v.endswith(".0") else [v]
             names = [f"the {name}, {word} {f}" for f in forms for word in ("version", "v")]
             names += [f"the {name} {lead}{f}" for f in forms for lead in ("", "v")]
-            names += [n for s in short for f in forms for n in (f"{s} {f}", f"{s}v{f}", f"{s}-{f}", f"the {s} {f} license")]
+            names += [n for s in short for f in forms for n in (f"{s} {f}", f"the {s}, version {f}", f"{s}v{f}", f"{s}-{f}", f"the {s} {f} license")]
             later = [f"{key}-only", f"{key}-or-later"] if "GPL" in key else []
             named.append((key, names, [key, *later]))
     for code, name in CREATIVE:
@@ -163,7 +169,6 @@ def templates() -> Iterator[tuple[str, str]]:
 
 _BAGS = [(name, Counter(terms(text))) for name, text in templates()]
 _DF = Counter(t for _, bag in _BAGS for t in bag)
-_PLACE = {t: i for i, t in enumerate(_DF)}
 _IDF = {t: math.log(1 + len(_BAGS) / n) for t, n in _DF.items()}
 _UNKNOWN = max(_IDF.values())
 
@@ -176,11 +181,44 @@ def vector(bag: Counter) -> dict[str, float]:
 
 
 _NAMES = [name for name, _ in _BAGS]
-#: A row for each term, a column for each template.
-_WEIGHTS = np.zeros((len(_PLACE), len(_BAGS)))
-for _k, (_, _bag) in enumerate(_BAGS):
-    for _t, _x in vector(_bag).items():
-        _WEIGHTS[_PLACE[_t], _k] = _x
+
+
+def _postings() -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each term the templates that have it and its weights in them."""
+    found: dict[str, list[tuple[int, float]]] = {}
+    for k, (_, bag) in enumerate(_BAGS):
+        for t, x in vector(bag).items():
+            found.setdefault(t, []).append((k, x))
+    return {t: (np.array([k for k, _ in p]), np.array([x for _, x in p])) for t, p in found.items()}
+
+
+_POSTINGS = _postings()
+_NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+#: A term that ends in a version, or in one and what SPDX puts after it.
+_NUMBERED = re.compile(r"(?:[a-z0-9.-]*[a-z]-?)?([0-9]+(?:\.[0-9]+)*)(?:-only|-or-later)?$")
+_VERSIONED_KEYS = tuple(pattern.removesuffix("{}") for pattern, *_ in VERSIONED) + tuple(f"CC-{code}-" for code, _ in CREATIVE)
+#: Terms after which a number is a version.
+_BEFORE_VERSION = {"version", "v", "license"} | {
+    w for _, name, short, _ in VERSIONED for n in (name, *short) for w in terms(n)[-1:]
+} | {t for code, name in CREATIVE for t in (code.lower(), terms(name)[-1])}
+
+
+def _short(version: str) -> str:
+    return version.removesuffix(".0")
+
+
+#: The version of each template's licence, '' where it has none.
+_VERSION = np.array([next((_short(name[len(p) :]) for p in _VERSIONED_KEYS if name.startswith(p) and _NUMBER.fullmatch(name[len(p) :])), "") for name in _NAMES])
+
+
+def versions(words: tuple[str, ...]) -> set[str]:
+    """Versions that a passage names: numbers after ``version`` or a licence's name, and those joined to a name."""
+    out = set()
+    for before, word in zip(("", *words), words, strict=False):
+        m = _NUMBERED.match(word)
+        if m and (not _NUMBER.fullmatch(word) or before in _BEFORE_VERSION):
+            out.add(_short(m[1]))
+    return out
 
 
 def passages(text: str) -> Iterator[tuple[list[str], float]]:
@@ -225,12 +263,16 @@ def windows(line: str) -> Iterator[tuple[list[str], float]]:
 
 
 def _nearest(words: tuple[str, ...]) -> tuple[tuple[float, str] | None, tuple[float, str] | None]:
-    """(cosine, licence) of the best template, apart for those that grant something and reserved rights."""
-    v = [(_PLACE[t], x) for t, x in vector(Counter(words)).items() if t in _PLACE]
+    """(cosine, licence) of the best template, apart for those that grant something and reserved rights.
+
+    Where a passage names versions, a licence of another version is no match, however near.
+    """
+    v = [(*_POSTINGS[t], x) for t, x in vector(Counter(words)).items() if t in _POSTINGS]
     if not v:
         return None, None
-    places, x = zip(*v, strict=True)
-    cosine = np.round(np.array(x) @ _WEIGHTS[list(places)], 9)
+    cosine = np.round(np.bincount(np.concatenate([k for k, _, _ in v]), np.concatenate([w * x for _, w, x in v]), len(_NAMES)), 9)
+    if named := versions(words):
+        cosine[(_VERSION != "") & ~np.isin(_VERSION, list(named))] = 0.0
     out = []
     for group in (_GRANTED, _RESERVED):
         top = cosine[group].max()
@@ -243,10 +285,90 @@ _RESERVED = np.array([k for k, name in enumerate(_NAMES) if name == RESERVED])
 _nearest_short = lru_cache(1 << 15)(_nearest)
 
 
+# An SPDX expression of several parts, a choice of two licences in a sentence, and a denial.
+_PART = r"\(*[ \t]*[A-Za-z0-9][A-Za-z0-9.+-]*[ \t]*\)*"
+_EXPRESSION = re.compile(rf"SPDX-License-Identifier:[ \t]*({_PART}(?:[ \t]*\b(?:AND|OR|WITH)\b[ \t]*{_PART})+)")
+_SYMBOL = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_CHOICE = re.compile(
+    r"\b(dual[- ])?licen[sc]ed\s+under\s+(?:the\s+terms\s+of\s+)?(either\s+|both\s+)?(?:(?:of\s+)?the\s+|an?\s+)?([^\n;]{2,60}?),?\s+(or|and)\s+(?:the\s+|an?\s+)?([^\n;]{2,60}?)(?:,?\s+at\s+your\s+option)?(?=[,;]|\.(?:\s|\Z)|\s*(?:\n|\Z))",
+    re.IGNORECASE,
+)
+_DENIAL = re.compile(
+    r"(?:\b(?:not|never|neither|no\s+longer)\b|n['’]t\b)(?:\s+\w+){0,2}?\s+(?:licen[sc]ed|released|distributed|available|covered|governed)\s+(?:under|by)\b(?:(?!\.\s|\n[ \t]*\n|;|\bbut\b).)*(?:but\b)?",
+    re.IGNORECASE | re.DOTALL,
+)
+
+
+@lru_cache(1 << 12)
+def _name(text: str) -> tuple[str, float] | None:
+    """(licence, cosine) of a licence's bare name or identifier."""
+    granted, _ = _nearest(tuple(terms(f"Licensed under the {text}.")))
+    tagged, _ = _nearest(tuple(terms(f"SPDX-License-Identifier: {text}")))
+    best = max((x for x in (granted, tagged) if x), default=None)
+    return (best[1], best[0]) if best and best[0] >= LEAST_WINDOW else None
+
+
+def _expression(text: str) -> tuple[str, float] | None:
+    """An SPDX expression with its parts' names, and the least cosine; None if a part has no name."""
+    out, least, exception = [], 1.0, False
+    for symbol in _SYMBOL.findall(text):
+        if symbol in ("AND", "OR", "WITH", "(", ")") or exception:
+            exception = symbol == "WITH"
+            out.append(symbol)
+            continue
+        found = _name(symbol.removesuffix("+"))
+        if found is None:
+            return None
+        out.append(found[0])
+        least = min(least, found[1])
+    if out.count("(") != out.count(")"):
+        out = [x for x in out if x not in "()"]
+    return " ".join(out).replace("( ", "(").replace(" )", ")"), least
+
+
+def _several(text: str) -> tuple[str, float] | None:
+    """The first expression of several licences: an SPDX one, or a sentence that offers two."""
+    for m in _EXPRESSION.finditer(text):
+        if found := _expression(m[1]):
+            return found
+    for m in _CHOICE.finditer(text):
+        one, two = _name(m[3]), _name(m[5])
+        if one and two and one[0] != two[0]:
+            joint = "AND" if m[4].lower() == "and" and not m[1] and not m[2] else "OR"
+            return f"{one[0]} {joint} {two[0]}", min(one[1], two[1])
+    return None
+
+
+# What every cue holds, folded or as it is; looked for first, as a search for literals is faster.
+_FOLDED = ("licen", "copyright", "rights reserved", "spdx", "public domain", "permission ", "redistribution and use", "creative commons", "free software", "gplv", "-clause", "zlib")
+_EXACT = ("GPL", "MIT", "BSD", "ISC", "MPL", "EPL", "EUPL", "CDDL", "OFL", "PSF", "SSPL", "WTFPL", "CC BY", "CC-BY", "CC0", "Apache-", "Boost Software")
+
+
+def _cued(text: str) -> bool:
+    """Whether a cue occurs in the text."""
+    if not any(x in text for x in _EXACT):
+        folded = text.casefold()
+        if not any(x in folded for x in _FOLDED):
+            return False
+    return _CUE.search(text) is not None
+
+
 def classify(text: str | None) -> tuple[str | None, float]:
-    """The best licence and its cosine; (None, 0.0) below the threshold."""
+    """The best licence and its cosine; (None, 0.0) below the threshold.
+
+    Several licences come as one SPDX expression with the least cosine of its parts. An
+    SPDX expression of which a part has no template names nothing, and a denial
+    (``not licensed under ...``, to the end of its sentence or ``but``) is passed over.
+    """
+    text = text or ""
+    if not _cued(text):
+        return None, 0.0
+    text = _DENIAL.sub("\n", text)
+    if found := _several(text):
+        return found[0], round(found[1], 6)
+    text = _EXPRESSION.sub("\n", text)
     best: list[tuple[float, str] | None] = [None, None]
-    for words, least in passages(text or ""):
+    for words, least in passages(text):
         if len(words) < 2:
             continue
         for i, near in enumerate((_nearest_short if len(words) <= PASSAGE else _nearest)(tuple(words))):

@@ -239,6 +239,20 @@ def test_page_tables(spark, none):
         ("the GPL is a topic that many people like to discuss at lunch", None),
         ("All rights reserved.", "Proprietary"),
         ("a driving licence is needed to drive a car on the roads of this country", None),
+        ("redistribute it under the terms of the GNU GPL, version 2 only", "GPL-2.0"),
+        ("Licensed under GPL version 4", None),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "MIT OR Apache-2.0"),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "GPL-2.0 WITH Classpath-exception-2.0"),
+        ("SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-3.0-or-later", "(MIT AND BSD-3-Clause) OR GPL-3.0"),
+        ("SPDX-License-Identifier: MIT AND Foo-1.0", None),
+        ("This file is not licensed under the GPL-3.0 license.", None),
+        ("It isn't released under the MIT License but under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Dual-licensed under BSD 2-Clause and GPL-2.0", "BSD-2-Clause OR GPL-2.0"),
+        ("Licensed under the MIT License and the BSD 2-Clause License.", "MIT AND BSD-2-Clause"),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0 OR MIT"),
+        ("Licensed under the PHP License, version 3.01.", "PHP-3.01"),
+        ("This is under the PSF License 2.0", "PSF-2.0"),
+        ("Licensed under the Server Side Public License, version 1", "SSPL-1.0"),
         (None, None),
         ("", None),
         ("word " * 5000 + "Licensed under the Apache License, Version 2.0. " + "word " * 5000, "Apache-2.0"),
