@@ -126,10 +126,9 @@ def ask_once(rows: DataFrame, message: Column, model: Model, name: str, cache: s
     A task that is repeated asks its messages again but leaves one reply.
     """
     told = rows.withColumn("_m", message).withColumn("_d", F.sha2("_m", 256))
-    wanted = told.where("_m is not null").groupBy("_d").agg(F.min("_m").alias("_m"))
-    have = cached_replies(rows, cache).where(F.col("model") == name)
-    new = wanted.join(have.select(F.col("digest").alias("_d")), "_d", "left_anti")
+    have = cached_replies(rows, cache).where(F.col("model") == name).select(F.col("digest").alias("_d"))
+    new = told.where("_m is not null").select("_d", "_m").join(have, "_d", "left_anti").distinct()
     replies = new.select(F.col("_d").alias("digest"), _call(model)("_m").alias("reply"), F.lit(name).alias("model")).where("reply is not null")
     replies.write.partitionBy("model").parquet(f"{cache}/run={uuid.uuid4().hex}")
     kept = cached_replies(rows, cache).where(F.col("model") == name).groupBy(F.col("digest").alias("_d")).agg(F.min("reply").alias("_r"))
-    return held_to(told.join(kept, "_d", "left"), "_r", schema, "reply").select(*[c for c in rows.columns if c != "reply"], "reply")
+    return held_to(told.drop("_m").join(kept, "_d", "left"), "_r", schema, "reply").select(*[c for c in rows.columns if c != "reply"], "reply")

@@ -276,6 +276,18 @@ def prefix_first(t):
     return reconcile.starting_with(names, "name", _prefixes(t), "prefix", 200).select("prefix", "name")
 
 
+@query(
+    "prefix_sections",
+    r"""WITH w AS (SELECT DISTINCT regexp_extract(url, '^([^/]*//[^/]*/)', 1) AS section FROM pages UNION SELECT regexp_extract(url, '^(.*/)', 1) FROM pages)
+SELECT section, page_id FROM w JOIN pages ON starts_with(url, section)""",
+)
+def prefix_sections(t):
+    """The pages below each host and each folder of an address."""
+    sections = F.array(F.regexp_extract("url", "^([^/]*//[^/]*/)", 1), F.regexp_extract("url", "^(.*/)", 1))
+    wanted = t.pages.select(F.explode(sections).alias("section"))
+    return reconcile.starting_with(t.pages.select("page_id", "url"), "url", wanted, "section").select("section", "page_id")
+
+
 @query("items_lacking", """SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')""")
 def items_lacking(t):
     held = t.orders.select(F.col("o_custkey").alias("resource_id"), F.lit("id").alias("term"), F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderpriority")).alias("value"))
@@ -825,6 +837,31 @@ def replies_once(t):
     return found.select("event_id", "reply.ok", "reply.value.k", F.lit(kept["asked"]).cast("bigint").alias("asked"), F.lit(kept["runs"]).cast("int").alias("runs"))
 
 
+def read_letters(messages: list[str]) -> list[str]:
+    """A stand-in for a model: notes of a letter's length; of a long one the relevance comes as a text."""
+    fields = {f: "null" for f in parse.LETTER_FIELDS}
+    out = []
+    for message in messages:
+        relevant = '"yes"' if len(message) > 5000 else "true" if "a" in message else "false"
+        out.append("{%s}" % ", ".join(f'"{f}": {v}' for f, v in (fields | {"is_heimat_relevant": relevant, "notes": f'"{len(message)}"'}).items()))
+    return out
+
+
+@query(
+    "letters_once",
+    """SELECT doc_id, text IS NOT NULL AND length(text) <= 5000 AS ok, CASE WHEN length(text) <= 5000 THEN contains(text, 'a') END AS relevant, length(text)::VARCHAR AS notes,
+  (SELECT count(DISTINCT text) FROM documents) AS asked, 1 AS runs FROM documents""",
+)
+def letters_once(t):
+    """letters' fields under their schema; equal texts are asked once, and a second run asks nothing."""
+    rows, cache = t.documents.select("doc_id", "text"), f"{scratch(t.spark)}/letters-{uuid.uuid4().hex}"
+    for _ in range(2):
+        found = parse.ask_once(rows, F.col("text"), read_letters, "rules", cache)
+    kept = parse.cached_replies(rows, cache).agg(F.count("*").alias("asked"), F.count_distinct("run").alias("runs")).first()
+    value = F.col("reply.value")
+    return found.select("doc_id", "reply.ok", value["is_heimat_relevant"].alias("relevant"), value["notes"].alias("notes"), F.lit(kept["asked"]).cast("bigint").alias("asked"), F.lit(kept["runs"]).cast("int").alias("runs"))
+
+
 @query("status_cells", """SELECT o_orderkey, 'F' AS status, (o_orderkey % 5)::BIGINT AS n FROM orders UNION ALL SELECT o_orderkey, 'GT', NULL FROM orders""")
 def status_cells(t):
     cell = F.concat(F.lit("F:9,F:"), (F.col("o_orderkey") % 5).cast("string"), F.lit(",GT:x"))
