@@ -127,7 +127,8 @@ def ask_once(rows: DataFrame, message: Column, model: Model, name: str, cache: s
     """
     told = rows.withColumn("_m", message).withColumn("_d", F.sha2("_m", 256))
     have = cached_replies(rows, cache).where(F.col("model") == name).select(F.col("digest").alias("_d"))
-    new = told.where("_m is not null").select("_d", "_m").join(have, "_d", "left_anti").distinct()
+    wanted = told.where("_m is not null").groupBy("_d").agg(F.min("_m").alias("_m"))  # copies meet before they are sent
+    new = wanted.join(have, "_d", "left_anti")
     replies = new.select(F.col("_d").alias("digest"), _call(model)("_m").alias("reply"), F.lit(name).alias("model")).where("reply is not null")
     replies.write.partitionBy("model").parquet(f"{cache}/run={uuid.uuid4().hex}")
     kept = cached_replies(rows, cache).where(F.col("model") == name).groupBy(F.col("digest").alias("_d")).agg(F.min("reply").alias("_r"))
