@@ -19,6 +19,7 @@ from catalith.functions import json as jsonf
 from catalith.operators import (
     aggregates,
     changes,
+    compare,
     features,
     localise,
     neighbours,
@@ -903,6 +904,45 @@ def parse_stub(t):
     return parse.parse_items(rows, "d").select("p_partkey", big("item_pos", "item_pos"), "item_description", "is_general")
 
 
+_COMPARED = r"""p AS (SELECT doc_id, unnest(l) AS txt, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.;])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_matches(x, '\S')) AS l FROM documents)),
+k AS (SELECT *, (doc_id * 7 + pos) % 25 AS k FROM p),
+i AS (SELECT doc_id, unnest(CASE k WHEN 3 THEN [] WHEN 7 THEN [txt || ' added at review'] WHEN 15 THEN [txt, txt] WHEN 11 THEN [txt, 'no such passage ' || doc_id || ' ' || pos] ELSE [txt] END) AS txt, pos FROM k),
+b AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(txt), '[\p{L}\p{N}]+'), ' ') AS words, d, i, CASE d WHEN 1 THEN pos END AS pos_d, CASE i WHEN 1 THEN pos END AS pos_i FROM (SELECT *, 1 AS d, 0 AS i FROM p UNION ALL SELECT *, 0, 1 FROM i)),
+u AS (SELECT doc_id, words, sum(d)::BIGINT AS n_d, sum(i)::BIGINT AS n_i, min(pos_d) AS pos_d, min(pos_i) AS pos_i, string_split(words, ' ') AS w FROM b WHERE words <> '' GROUP BY doc_id, words),
+g AS (SELECT doc_id, words, n_d > 0 AS told, f, list_slice(w, f, f + 2) AS run FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS f FROM u WHERE n_d = 0 OR n_i = 0)),
+h AS (SELECT doc_id, run FROM g GROUP BY doc_id, run HAVING bool_or(told) AND bool_or(NOT told)),
+c AS (SELECT doc_id, words, count(DISTINCT f + o) AS covered FROM (SELECT g.*, unnest(range(len(g.run))) AS o FROM g SEMI JOIN h ON g.doc_id = h.doc_id AND g.run = h.run) GROUP BY doc_id, words),
+r AS (SELECT u.doc_id AS collection, CASE WHEN n_d > n_i THEN 'description' ELSE 'items' END AS side, CASE WHEN n_d > n_i THEN pos_d ELSE pos_i END AS pos, abs(n_d - n_i)::BIGINT AS times, len(w)::BIGINT AS n_words, coalesce(covered, 0)::BIGINT AS covered,
+  CASE WHEN n_d > 0 AND n_i > 0 THEN CASE WHEN n_d > n_i THEN 'fewer' ELSE 'repeated' END WHEN 100 * coalesce(covered, 0) >= 50 * len(w) THEN 'altered' WHEN n_d > n_i THEN 'lost' ELSE 'invented' END AS status, u.words
+  FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.words = c.words WHERE n_d <> n_i)"""
+
+
+def _reviewed(t: Tables) -> DataFrame:
+    """Items of all documents, of 25 in a row one lost, one altered, one repeated and one invented after it."""
+    item, k = F.col("item_description"), F.pmod(F.col("doc_id") * 7 + F.col("item_pos"), F.lit(25))
+    invented = F.concat(F.lit("no such passage "), "doc_id", F.lit(" "), "item_pos")
+    found = F.when(k == 3, F.array().cast("array<string>")).when(k == 7, F.array(F.concat(item, F.lit(" added at review")))).when(k == 15, F.array(item, item))
+    return parse.parse_items(t.documents.select("doc_id", "text"), "text").select("doc_id", "item_pos", F.explode(found.when(k == 11, F.array(item, invented)).otherwise(F.array(item))).alias("item_description"))
+
+
+@query("item_differences", f"WITH {_COMPARED} SELECT * FROM r")
+def item_differences(t):
+    """U8: documents against the items parsed from them, with planted losses, changes, copies and inventions."""
+    return compare.differences(t.documents, _reviewed(t), "doc_id", "text")
+
+
+@query(
+    "item_coverage",
+    f"""WITH {_COMPARED},
+a AS (SELECT doc_id AS collection, sum(n_d)::BIGINT AS n_passages, sum(n_i)::BIGINT AS n_items, sum(least(n_d, n_i))::BIGINT AS n_kept, sum(n_d * len(w))::BIGINT AS n_words, sum(least(n_d, n_i) * len(w))::BIGINT AS s FROM u GROUP BY doc_id),
+e AS (SELECT collection, sum(times) FILTER (status IN ('lost', 'fewer')) AS l, sum(times) FILTER (status = 'altered' AND side = 'description') AS x, sum(times) FILTER (status = 'invented') AS v, sum(times) FILTER (status = 'repeated') AS y, sum(times * covered) FILTER (side = 'description') AS q FROM r GROUP BY collection)
+SELECT a.collection, n_passages, n_items, n_kept, coalesce(l, 0)::BIGINT AS n_lost, coalesce(x, 0)::BIGINT AS n_altered, coalesce(v, 0)::BIGINT AS n_invented, coalesce(y, 0)::BIGINT AS n_repeated, n_words, (s + coalesce(q, 0))::BIGINT AS n_covered, (s + coalesce(q, 0))::DOUBLE / nullif(n_words, 0) AS share FROM a LEFT JOIN e ON a.collection = e.collection""",
+)
+def item_coverage(t):
+    """U8: how much of each document its items hold."""
+    return compare.coverage(t.documents, _reviewed(t), "doc_id", "text")
+
+
 @query("classify_stub", """SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'legal' WHEN contains(lower(text), '@') THEN 'contact' ELSE '' END AS class FROM documents""")
 def classify_stub(t):
     return t.documents.select("doc_id", parse.classify(F.col("text"), [("license", "legal"), ("@", "contact")]).alias("class"))
