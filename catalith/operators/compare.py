@@ -9,22 +9,25 @@ rest has, too.
 Where less than ``percent`` of its words are covered a passage is lost and an item is
 invented, else it is altered. Copies beyond the other side's count are ``fewer`` (in
 the items) or ``repeated`` (by the items), with no word covered. Shorter texts than
-``gram`` words count as one run. Null and blank texts, and those without letters and
+``gram`` words have no run. Null and blank texts, and those without letters and
 digits, are passed over; a description without items has only lost passages, items
 without a description are all invented; a null collection is a collection.
 
 Counts are added up before anything is sent, keys hold the collection and the words,
 so a large collection is dealt over all tasks. The kept texts are sent once for each
-side; runs are made of what differs alone.
+side; runs are made of what differs alone and are sent once. Different texts of one
+collection that have a run in common meet in one task, sorted and spilled, not held.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.operators.parse import parse_items
-from catalith.session import fixed
+from catalith.session import scratch
 
 GRAM, PERCENT = 3, 50
 
@@ -54,32 +57,39 @@ def counted(descriptions: DataFrame, items: DataFrame, collection: str, text: st
     return both.groupBy("collection", "words").agg(F.sum("d").alias("n_d"), F.sum("i").alias("n_i"), F.min("pos_d").alias("pos_d"), F.min("pos_i").alias("pos_i"))
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The table, computed once, as compressed columns in the shared folder; it holds texts."""
+    folder = f"{scratch(rows.sparkSession)}/compared-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _runs(units: DataFrame, gram: int) -> DataFrame:
     """Runs of words of the texts that one side alone has: (unit, described, run, at)."""
     words = F.split("words", " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - gram, F.lit(0)))
-    rows = units.where("n_d = 0 or n_i = 0").select("collection", "unit", (F.col("n_d") > 0).alias("described"), words.alias("_w"))
+    starts = F.sequence(F.lit(0), F.size("_w") - gram)
+    rows = units.where("n_d = 0 or n_i = 0").select("collection", "unit", (F.col("n_d") > 0).alias("described"), words.alias("_w")).where(F.size("_w") >= gram)
     each = F.transform(starts, lambda k: F.xxhash64("collection", F.slice("_w", k + 1, gram)))
     return rows.select("unit", "described", F.posexplode(each).alias("at", "run"))
 
 
-def _covered(starts: Column, n_words: Column, gram: int) -> Column:
+def _covered(starts: Column, gram: int) -> Column:
     """How many words the runs from ``starts`` (sorted) cover."""
-    length = F.least(F.lit(gram), n_words)
     none = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("sum"))
-    step = lambda a, p: F.struct((p + length).alias("end"), (a["sum"] + p + length - F.greatest(a["end"], p)).alias("sum"))
+    step = lambda a, p: F.struct((p + gram).alias("end"), (a["sum"] + p + gram - F.greatest(a["end"], p)).alias("sum"))
     return F.aggregate(starts, none, step)["sum"]
 
 
 def _of_counts(units: DataFrame, gram: int, percent: int) -> DataFrame:
-    """``differences`` from the rows of ``counted`` whose counts differ, which are read three times."""
+    """``differences`` from the rows of ``counted`` whose counts differ, which are read twice."""
     units = units.withColumn("unit", F.xxhash64("collection", "words"))
     runs = _runs(units, gram)
-    shared = runs.groupBy("run").agg(F.bool_or("described").alias("d"), F.bool_or(~F.col("described")).alias("i")).where("d and i").select("run")
-    hits = runs.join(shared, "run", "left_semi").groupBy("unit").agg(F.array_sort(F.collect_list(F.col("at").cast("bigint"))).alias("starts"))
+    same = Window.partitionBy("run")
+    shared = runs.withColumn("_d", F.bool_or("described").over(same)).withColumn("_i", F.bool_or(~F.col("described")).over(same)).where("_d and _i")
+    hits = shared.groupBy("unit").agg(F.array_sort(F.collect_list(F.col("at").cast("bigint"))).alias("starts"))
     n_words = F.size(F.split("words", " ")).cast("bigint")
     rows = units.join(hits, "unit", "left").withColumn("n_words", n_words)
-    covered = F.coalesce(_covered(F.col("starts"), F.col("n_words"), gram), F.lit(0).cast("bigint"))
+    covered = F.coalesce(_covered(F.col("starts"), gram), F.lit(0).cast("bigint"))
     described, both = F.col("n_d") > F.col("n_i"), (F.col("n_d") > 0) & (F.col("n_i") > 0)
     rows = rows.withColumn("covered", covered)
     status = (
@@ -103,7 +113,7 @@ def _of_counts(units: DataFrame, gram: int, percent: int) -> DataFrame:
 def differences(descriptions: DataFrame, items: DataFrame, collection: str, text: str, item: str = "item_description", pos: str = "item_pos", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """U8: what description and items don't share: (collection, side, pos, times, n_words, covered, status, words)."""
     counts = counted(descriptions, items, collection, text, item, pos)
-    return _of_counts(fixed(counts.where("n_d <> n_i")), gram, percent)
+    return _of_counts(_written(counts.where("n_d <> n_i")), gram, percent)
 
 
 def coverage(descriptions: DataFrame, items: DataFrame, collection: str, text: str, item: str = "item_description", pos: str = "item_pos", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -114,7 +124,7 @@ def coverage(descriptions: DataFrame, items: DataFrame, collection: str, text: s
     and those of them that the items have, share is their ratio (null without words).
     """
     counts = counted(descriptions, items, collection, text, item, pos).withColumn("n_words", F.size(F.split("words", " ")))
-    counts = fixed(counts.withColumn("words", F.when(F.col("n_d") != F.col("n_i"), F.col("words"))))  # kept texts are only counted
+    counts = _written(counts.withColumn("words", F.when(F.col("n_d") != F.col("n_i"), F.col("words"))))  # kept texts are only counted
     n_words, kept, zero = F.col("n_words"), F.least("n_d", "n_i"), F.lit(0).cast("bigint")
     whole = counts.select(
         "collection",
