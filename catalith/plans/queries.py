@@ -1110,6 +1110,16 @@ def session_events(t):
     return batches.sessions(t.events)
 
 
+@query("distinct_events", """SELECT event_id, user_id, event_type FROM events""")
+def distinct_events(t):
+    """Extension: a stream in which each event comes twice, each kept once."""
+    root = f"{scratch(t.spark)}/distinct-{uuid.uuid4().hex}"
+    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    once = batches.distinct_events(source.unionByName(source)).select("event_id", "user_id", "event_type")
+    once.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(once.schema).parquet(f"{root}/out")
+
+
 @query("cube_sales", """SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus)::BIGINT AS gid FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def cube_sales(t):
     return aggregates.cube_counts(t.lineitem, ["l_returnflag", "l_linestatus"])

@@ -42,20 +42,25 @@ def outcome_counts(rows: DataFrame, ok: Column) -> DataFrame:
     return rows.agg(F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed"))
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """The stream with a watermark on ``ts``, which has to be an instant; a time without a zone is one of the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Extension: count and sum per window and type; ``late`` is the watermark of a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _watermarked(events, late) if late else events
     grouped = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """Extension: sessions of each user."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = _watermarked(events, late) if late else events
     grouped = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return grouped.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Extension: each event id once, within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _watermarked(events, late).dropDuplicatesWithinWatermark(["event_id"])

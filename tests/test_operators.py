@@ -428,3 +428,14 @@ def test_a_message_is_asked_once(spark, tmp_path):
     assert run(["bad", "mute"]) == [3, None] and run([]) == []
     assert run(["mute"]) == [None] and asked().count("mute") == 2
     assert run(["aa"], "other") == [2] and asked().count("aa") == 2
+
+
+def test_distinct_events_keeps_each_once_within_the_watermark(spark, tmp_path):
+    at = lambda hour: f"2024-01-01 {hour:02d}:00:00"
+    parts = [[(1, at(1)), (1, at(1)), (2, at(2))], [(1, at(1)), (3, at(9))], [(2, at(2)), (4, at(9)), (3, at(9))]]
+    schema, out = "event_id bigint, ts timestamp", str(tmp_path / "out")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "event_id bigint, ts string").select("event_id", F.col("ts").cast("timestamp").alias("ts")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = batches.distinct_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]  # the second 2 comes after the watermark
