@@ -45,34 +45,42 @@ def apply(values: DataFrame, changes: DataFrame) -> DataFrame:
     an address with its label) the resource has already under the term is passed over, and so is one
     that repeats another, so applying a set of inserts twice is applying it once (T3).
     Inserted values follow the existing ones, by ``seq``, then by ``pos``.
-    Values under a (resource, term) that no change names pass through one join; the
-    others meet their changes in one shuffle, by (resource, term).
+    Values pass through two joins, with what is dropped and with updates and deletes by
+    place. Only inserts are ordered by windows, and with them, without their other columns,
+    the values of a resource that gets inserts. What changes name is dealt to
+    all shuffle partitions: rows of a catalogue shrink so much while they are sent that partitions put
+    together by the size sent would be large in memory.
     """
-    fresh = [c for c in VALUE if c not in ("resource_id", "term", "pos")]
+    group, place = ["resource_id", "term"], ["resource_id", "term", "pos"]
+    fresh = [c for c in VALUE if c not in place]
     if "seq" not in changes.columns:
         changes = changes.withColumn("seq", F.lit(None).cast("bigint"))
-    dropped = changes.where("op = 'drop'").select("resource_id").distinct()
-    other = changes.where("op <> 'drop'")
-    touched = other.select("resource_id", "term").distinct().withColumn("_touched", F.lit(True))
-    held = values.select(*VALUE).join(dropped, "resource_id", "left_anti").join(touched, ["resource_id", "term"], "left")
-    plain = held.where("_touched is null").select(*VALUE)
-    none = F.lit(None).cast(changes.schema["seq"].dataType)
-    own = held.where("_touched").select(*VALUE, F.lit("own").alias("op"), none.alias("seq"))
-    rows = own.unionByName(other.join(dropped, "resource_id", "left_anti").select(*VALUE, "op", "seq")).repartition("resource_id", "term")
-    place, group = Window.partitionBy("resource_id", "term", "pos"), Window.partitionBy("resource_id", "term")
-    is_own, is_new = F.col("op") == "own", F.col("op") == "insert"
-    update = F.max(F.when(F.col("op") == "update", F.struct("seq", "value", "lang", F.struct(*fresh).alias("row")))).over(place)
-    rows = rows.withColumn("_update", update["row"]).withColumn("_gone", F.max(F.col("op") == "delete").over(place))
-    rows = rows.where((is_own & (~F.col("_gone") | F.col("pos").isNull())) | is_new)
-    changed = is_own & F.col("_update").isNotNull() & F.col("pos").isNotNull()
-    rows = rows.select("resource_id", "term", "pos", "op", "seq", *[F.when(changed, F.col(f"_update.{c}")).otherwise(F.col(c)).alias(c) for c in fresh])
-    same = F.to_json(F.struct(*IDENTITY, F.when(F.col("type") == "uri", F.col("label")).alias("label")))
-    turn = F.row_number().over(Window.partitionBy("resource_id", "term", "_same").orderBy(is_new, "seq", "pos"))
-    rows = rows.withColumn("_same", same).withColumn("_turn", turn).where(is_own | (F.col("_turn") == 1))
-    line = F.row_number().over(Window.partitionBy("resource_id", "term", "op").orderBy("seq", "pos", "_same"))
-    rows = rows.withColumn("_next", F.coalesce(F.max(F.when(is_own, F.col("pos"))).over(group) + 1, F.lit(0))).withColumn("_line", line)
-    rows = rows.withColumn("pos", F.when(is_new, F.col("_next") + F.col("_line") - 1).otherwise(F.col("pos")).cast("int"))
-    return plain.unionByName(rows.select(*VALUE))
+    dropped = _dealt(changes.where("op = 'drop'").select("resource_id"), "resource_id").distinct()
+    # A delete comes before the updates of its place, then the last update.
+    first = Window.partitionBy(*place).orderBy("op", *[F.desc(c) for c in ("seq", "value", "lang", *fresh)])
+    named = _dealt(changes.where("op in ('update', 'delete') and pos is not null").select(*place, *fresh, "op", "seq"), *place)
+    named = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*place, F.col("op").alias("_op"), *[F.col(c).alias(f"_{c}") for c in fresh])
+    kept = values.select(*VALUE).join(dropped, "resource_id", "left_anti").join(named, place, "left").where("_op is null or _op = 'update'")
+    kept = kept.select(*place, *[F.when(F.col("_op").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fresh])
+    new = changes.where("op = 'insert'").join(dropped, "resource_id", "left_anti")
+    touched = _dealt(new.select("resource_id"), "resource_id").distinct()
+    label = F.when(F.col("type") == "uri", F.col("label")).alias("_label")
+    # What an own value needs here: its identity and place.
+    none = [F.lit(None).cast(changes.schema[c].dataType).alias(c) for c in ("label", "is_public", "seq")]
+    own = kept.join(touched, "resource_id", "left_semi").select(*place, *IDENTITY, label, *none, F.lit(False).alias("_new"))
+    rows = _dealt(own.unionByName(new.select(*place, *IDENTITY, label, "label", "is_public", "seq", F.lit(True).alias("_new"))), *group)
+    turn = F.row_number().over(Window.partitionBy(*group, *IDENTITY, "_label").orderBy("_new", "seq", "pos"))
+    end = F.max(F.when(~F.col("_new"), F.col("pos"))).over(Window.partitionBy(*group))
+    rows = rows.withColumn("_turn", turn).withColumn("_end", end).where("_new and _turn = 1")
+    same = F.to_json(F.struct(*IDENTITY, F.col("_label").alias("label")))
+    line = F.row_number().over(Window.partitionBy(*group).orderBy("seq", "pos", same))
+    rows = rows.withColumn("pos", (F.coalesce(F.col("_end") + 1, F.lit(0)) + line - 1).cast("int"))
+    return kept.unionByName(rows.select(*VALUE))
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key in as many partitions as the session shuffles to, not put together to fewer."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def insert_resources(values: DataFrame) -> DataFrame:

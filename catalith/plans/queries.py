@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import dates, idents, predicates, text
@@ -29,7 +29,7 @@ from catalith.operators import (
     values,
     vocab,
 )
-from catalith.session import fixed, scratch
+from catalith.session import fixed, scratch, stored
 from catalith.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -432,14 +432,15 @@ _VALUES = """v AS (SELECT DISTINCT l_orderkey AS resource_id, 'ex:part' AS term,
 def _line_values(t) -> DataFrame:
     rows = t.lineitem.select(
         F.col("l_orderkey").alias("resource_id"),
-        F.lit("ex:part").alias("term"),
         F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("value"),
         F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("l"), (F.col("l_suppkey") % 3).cast("string"))).alias("lang"),
     )
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("resource_id", "term").orderBy("value", "lang")) - 1
-    return changes.change(rows.distinct().withColumn("type", F.lit("literal")).withColumn("pos", place), "insert").drop("op")
+    # Copies stand together in the order of places, so one sort serves to drop them and to number the others.
+    copy = F.row_number().over(Window.partitionBy("resource_id", "value", "lang").orderBy("value", "lang"))
+    place = F.dense_rank().over(Window.partitionBy("resource_id").orderBy("value", "lang")) - 1
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "resource_id").withColumn("_copy", copy).withColumn("pos", place).where("_copy = 1")
+    return changes.change(rows.withColumns({"term": F.lit("ex:part"), "type": F.lit("literal")}), "insert").drop("op")
 
 
 @query(
@@ -979,7 +980,7 @@ def enrich_idempotent(t):
 
 @query("apply_inserts", f"""WITH {_VALUES} SELECT resource_id, value, lang FROM v UNION SELECT DISTINCT o_orderkey, 'p' || (o_custkey % 40), NULL FROM orders""")
 def apply_inserts(t):
-    return _inserted(_line_values(t), t.orders)
+    return _inserted(stored(_line_values(t)), t.orders)
 
 
 def _inserted(rows: DataFrame, orders: DataFrame) -> DataFrame:
@@ -987,7 +988,7 @@ def _inserted(rows: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("o_orderkey").alias("resource_id"), F.lit("ex:part").alias("term"), F.lit(0).alias("pos"), F.lit("literal").alias("type"), F.concat(F.lit("p"), (F.col("o_custkey") % 40).cast("string")).alias("value")
     )
     new = changes.change(new, "insert")
-    once = changes.apply(rows, new)
+    once = stored(changes.apply(rows, new))
     return changes.apply(once, new).select("resource_id", "value", "lang")
 
 

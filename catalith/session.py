@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,10 @@ def fixed(df: DataFrame) -> DataFrame:
     """The table computed once, with its lineage cut."""
     scratch(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written as Parquet and read again: computed once like ``fixed``, but small where columns repeat, and read by column."""
+    folder = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)

@@ -304,6 +304,23 @@ def test_the_last_of_several_updates_holds(spark, rows):
     assert rows(changes.apply(table, changes.in_order(new[0], new[1])), *pick) == [(1, 0, "x"), (1, 1, "y"), (1, 2, "q"), (1, 3, "b"), *rest[1:]]
 
 
+def test_changes_meet_values_in_all_shuffle_partitions(spark, rows):
+    table = spark.createDataFrame([literal(k, "a:t", 0, "x") for k in range(40)] + [literal(None, "a:t", 0, "n"), literal(3, "a:u", None, "u")], VALUE)
+    new = changes.change(spark.createDataFrame([literal(k, "a:t", 0, v) for k in range(50) for v in ("x", "y")], VALUE), "insert")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        done = changes.apply(table, new)
+        assert done.rdd.getNumPartitions() >= 23
+        want = [(k, "a:t", n, v) for k in range(50) for n, v in enumerate("xy")] + [(None, "a:t", 0, "n"), (3, "a:u", None, "u")]
+        assert rows(done, "resource_id", "term", "pos", "value") == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    plan = [new.where("resource_id < 2"), changes.change(table.where("resource_id < 5 and pos = 0").withColumn("value", F.lit("z")), "update"), changes.change(table.where("resource_id = 4"), "delete")]
+    got = rows(changes.apply(table.where("resource_id < 6"), changes.in_order(*plan)), "resource_id", "pos", "value")
+    assert got == [(0, 0, "z"), (0, 1, "x"), (0, 2, "y"), (1, 0, "z"), (1, 1, "x"), (1, 2, "y"), (2, 0, "z"), (3, 0, "z"), (3, None, "u"), (5, 0, "x")]
+
+
 def test_chains_of_redirects(spark, rows):
     def chain(ids, closed=False):
         return list(zip(ids, [*ids[1:], ids[0]] if closed else ids[1:], strict=False))
