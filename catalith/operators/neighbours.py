@@ -138,35 +138,49 @@ _EDGES = "point long, other long, distance double"
 
 
 def _keep(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each point, each once."""
+    """The k nearest of each point, each once. Sent once, by point, to all shuffle partitions, which serves both steps."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = Window.partitionBy("point").orderBy("distance", "other")
     others = [F.min(c).alias(c) for c in edges.columns if c not in ("point", "other")]
-    return edges.groupBy("point", "other").agg(*others).withColumn("place", F.row_number().over(line)).where(F.col("place") <= k).drop("place")
+    return edges.repartition(parts, "point").groupBy("point", "other").agg(*others).withColumn("place", F.row_number().over(line)).where(F.col("place") <= k).drop("place")
 
 
-def _among(k: int):
-    """Compare the points of each row's lists (ids, vectors, reach) with one another; pairs beyond a point's reach aren't sent."""
+def _among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare the members of each list with one another: rows (point, other, vector, reach, new), lists one after another.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([len(x) for x in batch.column(0)])
-            ids, vectors = batch.column(0).flatten().to_numpy(), _matrix(batch.column(1).flatten())
-            reach, begin = batch.column(2).flatten().to_numpy(), np.cumsum(sizes) - sizes
-            for n in np.unique(sizes[sizes > 1]).tolist():
-                at = begin[sizes == n]
-                for part in np.array_split(at, max(1, len(at) // 512)):
-                    rows = part[:, None] + np.arange(n)
-                    distance = squares(vectors[rows], vectors[rows])
-                    distance[:, np.arange(n), np.arange(n)] = np.inf
-                    distance = distance.reshape(-1, n)
-                    some = _best(distance, min(k, n - 1))
-                    other = np.take_along_axis(np.repeat(ids[rows], n, 0), some, 1)
-                    found = np.take_along_axis(distance, some, 1)
-                    near = found < reach[rows].reshape(-1, 1)
-                    own = np.repeat(ids[rows].reshape(-1), near.sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other[near]), pa.array(found[near])], ["point", "other", "distance"])
-
-    return run
+    Pairs of which neither is new have been compared before, and pairs beyond a point's
+    reach change nothing; neither are sent. A list that goes on in the next batch waits for it,
+    so a batch of lists is held, however long a partition is.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        if table.num_rows:
+            point = table["point"].to_numpy()
+            last = int(np.flatnonzero(point != point[-1])[-1]) + 1 if point[0] != point[-1] else 0
+            rest = table.slice(last).to_batches()[0]
+            yield from _lists(table.slice(0, last))
+    if rest is not None:
+        yield from _lists(pa.Table.from_batches([rest]))
+
+
+def _lists(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole lists."""
+    if not table.num_rows:
+        return
+    point = table["point"].to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]]))
+    sizes = np.diff(begin, append=len(point))
+    ids, vectors = table["other"].to_numpy(), _matrix(table["vector"].combine_chunks())
+    reach, new = table["reach"].to_numpy(), table["new"].to_numpy() > 0
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        at = begin[sizes == n]
+        for part in np.array_split(at, max(1, len(at) // 512)):
+            rows = part[:, None] + np.arange(n)
+            distance = squares(vectors[rows], vectors[rows])
+            near = (distance < reach[rows][:, :, None]) & (new[rows][:, :, None] | new[rows][:, None, :]) & ~np.eye(n, dtype=bool)
+            own, other = (np.broadcast_to(x, near.shape)[near] for x in (ids[rows][:, :, None], ids[rows][:, None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other), pa.array(distance[near])], ["point", "other", "distance"])
 
 
 def graph(points: DataFrame, k: int, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
@@ -179,20 +193,22 @@ def graph(points: DataFrame, k: int, trees: int = TREES, rounds: int = ROUNDS, l
     first = _matrix(some["vector"].combine_chunks())
     forest = [Tree(first, -(-n // leaf), seed + t) for t in range(trees)]
     dealt = points.select("point", "vector").mapInArrow(_leaves(forest), "tree int, leaf long, point long, vector array<float>")
-    edges = fixed(_keep(dealt.groupBy("tree", "leaf").applyInArrow(_within_leaf(k), _EDGES), k))
+    live = F.max("new").over(Window.partitionBy("point")) > 0
+    kept = fixed(_keep(dealt.groupBy("tree", "leaf").applyInArrow(_within_leaf(k), _EDGES), k).withColumns({"new": F.lit(1), "live": F.lit(True)}))
     for _ in range(rounds):
-        self_too = edges.select("point", "other").unionByName(points.select("point", F.col("point").alias("other")))
         # How far the neighbours of a point reach: only what is nearer can change them.
         far = F.when(F.count("*") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("reach")
-        known = points.join(edges.groupBy("point").agg(far), "point").withColumnRenamed("point", "other")
-        lists = self_too.join(known, "other").groupBy("point").agg(F.sort_array(F.collect_list(F.struct("other", "vector", "reach"))).alias("l"))
-        more = lists.select(F.col("l.other").alias("ids"), F.col("l.vector").alias("vectors"), F.col("l.reach").alias("reach")).mapInArrow(_among(k), _EDGES)
-        both = edges.withColumn("new", F.lit(0)).unionByName(more.withColumn("new", F.lit(1)))
-        kept = fixed(_keep(both, k))
-        edges = kept.drop("new")
+        known = points.join(kept.groupBy("point").agg(far), "point").withColumnRenamed("point", "other")
+        # Lists without a new member have nothing left to compare.
+        lists = kept.where("live").select("point", "other", "new")
+        both = lists.unionByName(lists.select("point", F.col("point").alias("other"), F.lit(0).alias("new")).distinct())
+        sent = both.join(known, "other").select("point", "other", "vector", "reach", "new").repartition("point").sortWithinPartitions("point", "other")
+        more = sent.mapInArrow(_among, _EDGES)
+        every = kept.drop("live").withColumn("new", F.lit(0)).unionByName(more.withColumn("new", F.lit(1)))
+        kept = fixed(_keep(every, k).withColumn("live", live))
         if kept.agg(F.avg("new")).first()[0] < CHANGED:
             break
-    return _keep(edges, wanted)
+    return _keep(kept.select("point", "other", "distance"), wanted)
 
 
 def nearest(rows: DataFrame, key: str, k: int = 15, features: str = "features", **options) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,24 @@ def test_small_tables(spark, table):
     assert {(r["id"], r["neighbour"]) for r in nearest(three, "id", 5).collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
 
 
+def test_lists_are_compared_across_batches_and_only_where_new():
+    rng = np.random.default_rng(4)
+    rows = [(p, 100 * p + j, rng.normal(size=3).astype(np.float32).tolist(), 4.0 + j, int((p + j) % 3 == 0)) for p, n in ((1, 4), (2, 1), (3, 7), (4, 5)) for j in range(n)]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.float64(), pa.int32()]
+    names = ["point", "other", "vector", "reach", "new"]
+
+    def batches(size):
+        for i in range(0, len(rows), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), kinds, strict=True)], names)
+
+    x = squares(*[np.array([r[2] for r in rows], float)] * 2)
+    want = [(a[1], b[1], x[i, j]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and a[0] == b[0] and (a[4] or b[4]) and x[i, j] < a[3]]
+    for size in (1, 3, 100):
+        got = sorted(tuple(r.values()) for b in neighbours._among(batches(size)) for r in b.to_pylist())
+        assert np.allclose(got, sorted(want)) and len(got) == len(want) > 10
+    assert list(neighbours._among(iter([]))) == []
+
+
 def test_bandwidths_reach_the_perplexity():
     distance = np.random.default_rng(1).random((50, 15)) * 10
     distance[0, 5:], distance[1] = np.inf, 1.0
