@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.idents import collection_of, folder_of
 from catalith.functions.text import language_key, strip, url_id
+from catalith.operators.sequences import numbered
 from catalith.session import fixed
 
 
@@ -64,18 +65,25 @@ def starting_with(rows: DataFrame, value: str, prefixes: DataFrame, prefix: str,
     of those lengths that prefixes have, so a row is sent once for each such length and
     every joined pair is a result. The lengths, at most as many as the longest
     prefix has characters, are the only thing gathered. With ``first``, of each prefix that many
-    rows with the least values stay (equal ones in any order). Nulls match nothing; an
+    rows with the least values stay (equal ones in any order): in the order of values those that
+    share a prefix stand together, so all rows are numbered once and each prefix takes the
+    numbers from its first row on. Then no task holds all rows of a prefix. Nulls match nothing; an
     empty prefix matches every value that isn't null.
     """
     wanted = prefixes.where(F.col(prefix).isNotNull()).select(F.col(prefix)).distinct()
     lengths = [r[0] for r in wanted.select(F.length(prefix)).distinct().collect()]
     fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length(value))
-    keyed = rows.where(F.col(value).isNotNull()).withColumn("_n", F.explode(fitting)).withColumn("_p", F.expr(f"left(`{value}`, _n)"))
-    pairs = wanted.join(keyed, wanted[prefix] == keyed["_p"]).drop("_n", "_p")
+    rows = rows.where(F.col(value).isNotNull())
+    length, start = F.explode(fitting).alias("_n"), F.expr(f"left(`{value}`, _n)").alias("_p")
     if first is None:
-        return pairs
-    place = F.row_number().over(Window.partitionBy(prefix).orderBy(value))
-    return pairs.withColumn("_n", place).where(F.col("_n") <= first).drop("_n")
+        keyed = rows.select("*", length).select("*", start)
+        return wanted.join(keyed, wanted[prefix] == keyed["_p"]).drop("_n", "_p")
+    placed = numbered(rows, [], [value], "_place", int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    starts = placed.select(value, "_place", length).select("_place", start)
+    spans = starts.groupBy("_p").agg(F.min("_place").alias("_from"), F.count("*").alias("_count"))
+    spans = wanted.join(spans, wanted[prefix] == spans["_p"])
+    taken = spans.select(prefix, F.explode(F.sequence("_from", F.col("_from") + F.least("_count", F.lit(first)) - 1)).alias("_place"))
+    return taken.join(placed, "_place").select(prefix, *rows.columns)
 
 
 def with_parents(records: DataFrame, known: DataFrame, identifier: str) -> DataFrame:

@@ -389,6 +389,18 @@ def test_starting_with_any_prefix(spark, rows):
     assert reconcile.starting_with(df, "v", none, "p").count() == reconcile.starting_with(df.where("id < 0"), "v", wanted, "p").count() == 0
 
 
+def test_first_of_a_prefix_without_a_window_that_holds_it(spark, rows):
+    values = [None, "", "b", "zä"] + [f"{'ab'[k % 2]}{k % 7}{k % 5 * 'x'}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string").repartition(3)
+    prefixes = ["", "a", "a1", "b3x", "z", "zä", "q", None, "b"]
+    wanted = spark.createDataFrame([(p,) for p in prefixes], "p string")
+    found = reconcile.starting_with(df, "v", wanted, "p", 20)
+    want = [(p, v) for p in prefixes if p is not None for v in sorted(v for v in values if v is not None and v.startswith(p))[:20]]
+    assert rows(found, "p", "v") == sorted(want, key=repr) and found.columns == ["p", "id", "v"]
+    assert len(set(rows(found, "p", "id"))) == len(want)
+    assert "partition by [p" not in found._jdf.queryExecution().toString().lower() and "windowspecdefinition(p#" not in found._jdf.queryExecution().toString()
+
+
 def test_replies_held_to_a_schema(spark):
     from catalith.functions.json import held_to
 
