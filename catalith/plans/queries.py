@@ -994,7 +994,7 @@ def _inserted(rows: DataFrame, orders: DataFrame) -> DataFrame:
 
 @query("apply_updates", f"""WITH {_VALUES} SELECT resource_id, CASE WHEN resource_id % 10 = 1 THEN 'X' ELSE value END AS value, lang FROM v WHERE resource_id % 10 > 0""")
 def apply_updates(t):
-    return _updated(_line_values(t))
+    return _updated(stored(_line_values(t)))
 
 
 def _updated(rows: DataFrame) -> DataFrame:
