@@ -1006,7 +1006,7 @@ def _updated(rows: DataFrame) -> DataFrame:
 @query("updates_in_order", f"""WITH {_VALUES} SELECT resource_id, CASE resource_id % 3 WHEN 1 THEN 'bbb' WHEN 2 THEN 'zzz' ELSE value END AS value, lang FROM v""")
 def updates_in_order(t):
     """Two updates of each value of two resources in three, zzz and bbb in one order or the other; the last one holds."""
-    rows = fixed(_line_values(t))
+    rows = stored(_line_values(t))
     first, second = (changes.change(rows.where("resource_id % 3 > 0").withColumn("value", F.when((F.col("resource_id") % 3 == 1) == one, "zzz").otherwise("bbb")), "update") for one in (True, False))
     return changes.apply(rows, changes.in_order(first, second)).select("resource_id", "value", "lang")
 
