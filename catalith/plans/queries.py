@@ -29,7 +29,7 @@ from catalith.operators import (
     values,
     vocab,
 )
-from catalith.session import fixed, scratch, stored
+from catalith.session import scratch, stored
 from catalith.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,11 +464,11 @@ SELECT resource_id, value, lang FROM n UNION ALL SELECT resource_id, value, lang
 )
 def merge_pairs(t):
     """All orders: each odd one merged into the even one after it, where both are present."""
-    rows = fixed(_line_values(t))
+    rows = stored(_line_values(t))
     ids = rows.select("resource_id").distinct()
     new = ids.select(F.col("resource_id").alias("new"), (F.col("resource_id") - 1).alias("old"))
     pairs = ids.where("resource_id % 2 = 1").withColumnRenamed("resource_id", "old").join(new, "old")
-    return changes.apply(rows, fixed(changes.merge_pairs(rows, pairs))).select("resource_id", "value", "lang")
+    return changes.apply(rows, stored(changes.merge_pairs(rows, pairs))).select("resource_id", "value", "lang")
 
 
 @query("union_sets", """SELECT o_custkey, array_to_string(list_concat(n, list_filter(o, lambda x: NOT list_contains(n, x))), ',') AS sets FROM (

@@ -321,6 +321,15 @@ def test_changes_meet_values_in_all_shuffle_partitions(spark, rows):
     assert got == [(0, 0, "z"), (0, 1, "x"), (0, 2, "y"), (1, 0, "z"), (1, 1, "x"), (1, 2, "y"), (2, 0, "z"), (3, 0, "z"), (3, None, "u"), (5, 0, "x")]
 
 
+def test_stored_tables_are_read_by_column(spark, rows):
+    from catalith.session import stored
+
+    table = spark.createDataFrame([literal(k, "a:t", 0, "x") for k in range(9)], VALUE)
+    kept = stored(table)
+    assert rows(kept) == rows(table) and kept.schema.simpleString() == table.schema.simpleString() and kept.inputFiles()
+    assert "label" not in kept.select("resource_id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chains_of_redirects(spark, rows):
     def chain(ids, closed=False):
         return list(zip(ids, [*ids[1:], ids[0]] if closed else ids[1:], strict=False))
